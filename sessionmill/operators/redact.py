@@ -147,11 +147,20 @@ def assert_no_leak(df: DataFrame, column: str, rules: list[Rule]) -> None:
         raise ValueError(f"redaction left matches: {[(r.category, r.total) for r in left]}")
 
 
+def assert_no_leak_json(df: DataFrame, column: str, rules: list[Rule]) -> None:
+    """The audit for redacted JSON text: a second pass over its strings must find nothing."""
+    totals = batch_totals(redact_json(df.select(column), column, rules))
+    left = totals.where("total > 0").limit(len(CATEGORIES)).collect()
+    if left:
+        raise ValueError(f"redaction left matches: {[(r.category, r.total) for r in left]}")
+
+
 __all__ = [
     "EMAIL_CATEGORY",
     "PATH_CATEGORIES",
     "RedactionContext",
     "assert_no_leak",
+    "assert_no_leak_json",
     "batch_totals",
     "leak_audit",
     "positive_counts",

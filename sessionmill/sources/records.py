@@ -35,15 +35,40 @@ def _record(line: Column) -> dict[str, Column]:
     }
 
 
+def _text_records(text: Column) -> Column:
+    """ARRAY<STRUCT<line_no, raw, is_malformed>> of a whole text, blank lines left out."""
+    numbered = F.transform(
+        lines(text),
+        lambda s, i: F.struct(i.cast("bigint").alias("line_no"), trim_blank(s).alias("line")),
+    )
+    kept = F.filter(numbered, lambda x: x["line"] != "")
+    return F.transform(
+        kept,
+        lambda x: F.struct(
+            x["line_no"].alias("line_no"), *[c.alias(n) for n, c in _record(x["line"]).items()]
+        ),
+    )
+
+
+def _hash_of(raws: Column) -> Column:
+    return F.sha2(F.concat(F.lit(POLICY_VERSION + "\n["), F.array_join(raws, ","), F.lit("]")), 256)
+
+
 def explode_ndjson(texts: DataFrame, column: str = "text") -> DataFrame:
-    """One row per non-blank line of a whole-file text column. No shuffle."""
+    """One row per non-blank line of a whole-file text column. No shuffle.
+
+    The first row of a file also carries the content hash of the file. It is made here, where the
+    whole text is at hand; if nobody reads it, it is not computed.
+    """
     keep = [c for c in texts.columns if c != column]
-    rows = texts.select(*keep, F.posexplode(lines(F.col(column))).alias("line_no", "_line"))
-    rows = rows.withColumn("_line", trim_blank(F.col("_line"))).where("_line <> ''")
-    return rows.select(
-        *keep,
-        F.col("line_no").cast("bigint").alias("line_no"),
-        *[c.alias(n) for n, c in _record(F.col("_line")).items()],
+    rows = texts.select(*keep, _text_records(F.col(column)).alias("_records"))
+    file_hash = _hash_of(F.transform("_records", lambda x: x["raw"]))
+    exploded = rows.withColumn("_hash", file_hash).select(
+        *keep, "_hash", F.posexplode("_records").alias("_pos", "_r")
+    )
+    return exploded.select(
+        *keep, "_r.line_no", "_r.raw", "_r.is_malformed",
+        F.when(F.col("_pos") == 0, F.col("_hash")).alias("file_hash"),
     )
 
 
@@ -102,7 +127,8 @@ def read_ndjson(
         .where("_line <> ''")
     )
     large = large.select(
-        "source_kind", "path", "line_no", *[c.alias(n) for n, c in _record(F.col("_line")).items()]
+        "source_kind", "path", "line_no", *[c.alias(n) for n, c in _record(F.col("_line")).items()],
+        F.lit(None).cast("string").alias("file_hash"),
     )
     return explode_ndjson(whole).unionByName(large)
 
@@ -149,13 +175,7 @@ def content_hash_of_text(text: Column) -> Column:
 
     Works inside one row, so hashing files read whole needs no shuffle.
     """
-    trimmed = F.filter(F.transform(lines(text), trim_blank), lambda s: s != "")
-    raws = F.transform(
-        trimmed, lambda s: F.when(is_json(s), s).otherwise(F.to_json(F.struct(s.alias("_raw"))))
-    )
-    return F.sha2(
-        F.concat(F.lit(POLICY_VERSION + "\n["), F.array_join(raws, ","), F.lit("]")), 256
-    )
+    return _hash_of(F.transform(_text_records(text), lambda x: x["raw"]))
 
 
 def content_hash(
@@ -168,8 +188,7 @@ def content_hash(
     """
     chunk = F.floor(F.col("line_no") / chunk_lines)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
-    body = F.array_join(F.transform(ordered, lambda x: x["raw"]), ",")
-    plain = F.sha2(F.concat(F.lit(POLICY_VERSION + "\n["), body, F.lit("]")), 256)
+    plain = _hash_of(F.transform(ordered, lambda x: x["raw"]))
     chunks = records.groupBy(*keys, chunk.alias("_chunk")).agg(
         plain.alias("_digest"), F.count("*").alias("_n")
     )
@@ -187,3 +206,22 @@ def content_hash(
         F.when(F.col("_chunks") == 1, F.col("_only")).otherwise(long_hash).alias("content_hash"),
         "record_count",
     )
+
+
+def file_hashes(records: DataFrame, appended: DataFrame | None = None) -> DataFrame:
+    """Content hash per (source_kind, path), by the cheapest way for each file.
+
+    Files read whole already carry theirs. Only files read in splits, and files with `appended`
+    records (their sidecars), have to be hashed over their rows.
+    """
+    keys = ["source_kind", "path"]
+    carried = records.where("file_hash IS NOT NULL").select(*keys, F.col("file_hash").alias("content_hash"))
+    rows = records.select(*keys, "line_no", "raw")
+    if appended is not None:
+        changed = appended.select(*keys).distinct()
+        again = rows.join(carried, keys, "left_anti").unionByName(rows.join(changed, keys, "left_semi")).distinct()
+        again = again.unionByName(appended.select(*keys, "line_no", "raw"))
+        carried = carried.join(changed, keys, "left_anti")
+    else:
+        again = rows.join(carried, keys, "left_anti")
+    return carried.unionByName(content_hash(again, keys).drop("record_count"))

@@ -9,6 +9,8 @@ its chain ends, and only those summaries are walked in order per endpoint.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,86 +23,121 @@ BLOCK_TTL_MS = 12 * 60 * 60 * 1000
 BLOCK_MS = 3_600_000
 
 
-def _next_start(ts: np.ndarray) -> np.ndarray:
-    """For each trigger the index of the one that starts next if this one started."""
-    return np.searchsorted(ts, ts + COOLDOWN_MS, side="left")
-
-
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block: (first possible start, last start of its chain), runs with equal ends merged."""
-    ts = np.sort(pdf["ts_ms"].to_numpy())
-    n = len(ts)
-    block = int(pdf["block"].iloc[0])
-    jump = np.append(_next_start(ts), n)
-    end = np.arange(n)
-    hop = jump.copy()
-    # Doubling: a chain has at most BLOCK_MS / COOLDOWN_MS + 1 starts in a block.
-    last = np.append(end, n)
-    for _ in range(int(BLOCK_MS / COOLDOWN_MS + 1).bit_length()):
-        reach = hop < n
-        last = np.where(reach, last[np.minimum(hop, n)], last)
-        hop = hop[np.minimum(hop, n)]
-    firsts = int(np.searchsorted(ts, block * BLOCK_MS + COOLDOWN_MS, side="left"))
-    cand = np.arange(min(firsts + 1, n))
-    ends = ts[last[cand]]
-    keep = np.append(True, ends[1:] != ends[:-1]) if len(cand) else np.array([], dtype=bool)
-    # The upper bound of a run is what a lookup needs: the last candidate with this end.
-    upper = np.append(cand[keep][1:] - 1, cand[-1])
-    return pd.DataFrame(
-        {
-            "endpoint": [pdf["endpoint"].iloc[0]],
-            "block": [block],
-            "upper_ts": [ts[upper].tolist()],
-            "end_ts": [ends[keep].tolist()],
-        }
-    )
-
-
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start that is in force when each block begins, for one endpoint."""
-    pdf = pdf.sort_values("block")
-    entry, last = [], None
-    for upper, end in zip(pdf["upper_ts"], pdf["end_ts"], strict=True):
-        entry.append(last)
-        earliest = -np.inf if last is None else last + COOLDOWN_MS
-        at = int(np.searchsorted(np.asarray(upper), earliest, side="left"))
-        if at < len(end):
-            last = int(end[at])
-    return pd.DataFrame(
-        {"endpoint": pdf["endpoint"], "block": pdf["block"], "entry_ms": pd.array(entry, dtype="Int64")}
-    )
-
-
-def _started(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Started triggers of one block, given the start in force at its begin."""
-    ts = np.sort(pdf["ts_ms"].to_numpy())
-    entry = pdf["entry_ms"].iloc[0]
-    jump = _next_start(ts)
-    i = 0 if pd.isna(entry) else int(np.searchsorted(ts, int(entry) + COOLDOWN_MS, side="left"))
-    starts = []
-    while i < len(ts):
-        starts.append(int(ts[i]))
-        i = int(jump[i])
-    return pd.DataFrame({"endpoint": pdf["endpoint"].iloc[0], "ts_ms": starts})
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of a sorted partition, cut so that no group is split."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        last = pdf[keys].iloc[-1]
+        open_ = (pdf[keys] == last).all(axis=1).to_numpy()
+        cut = int(np.argmax(open_))
+        if held and (cut > 0 or not (held[-1][keys].iloc[-1] == last).all()):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut > 0:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _chains(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group number, offset in its block, and next start in the same block (or the row count)."""
+    same = (pdf["endpoint"] == pdf["endpoint"].shift()) & (pdf["block"] == pdf["block"].shift())
+    group = (~same).to_numpy().cumsum() - 1
+    offset = (pdf["ts_ms"] - pdf["block"] * BLOCK_MS).to_numpy()
+    # Groups laid out one behind the other, further apart than a cooldown.
+    position = group * (BLOCK_MS + COOLDOWN_MS) + offset
+    after = np.searchsorted(position, position + COOLDOWN_MS, side="left")
+    n = len(position)
+    inside = (after < n) & (group[np.minimum(after, n - 1)] == group)
+    return group, offset, np.where(inside, after, n)
+
+
+def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block: which first start (up to `upper_ts`) leads to which last start (`end_ts`)."""
+    for pdf in _whole_groups(frames, ["endpoint", "block"]):
+        group, offset, after = _chains(pdf)
+        n = len(pdf)
+        last, hop = np.append(np.arange(n), n), np.append(after, n)
+        # A chain has at most BLOCK_MS / COOLDOWN_MS + 1 starts in a block; double until there.
+        for _ in range((BLOCK_MS // COOLDOWN_MS + 1).bit_length()):
+            last = np.where(hop < n, last[hop], last)
+            hop = hop[hop]
+        # Only a trigger in the first cooldown, or the first one behind it, can be a first start.
+        begins = np.append(True, group[1:] != group[:-1])
+        early = offset < COOLDOWN_MS
+        first = early | begins | np.append(False, early[:-1])
+        ts = pdf["ts_ms"].to_numpy()
+        end = ts[last[:n]]
+        cand = np.flatnonzero(first)
+        runs = np.append((group[cand][1:] != group[cand][:-1]) | (end[cand][1:] != end[cand][:-1]), True)
+        keep = cand[runs]
+        yield pd.DataFrame(
+            {"endpoint": pdf["endpoint"].to_numpy()[keep], "block": pdf["block"].to_numpy()[keep],
+             "upper_ts": ts[keep], "end_ts": end[keep]}
+        )
+
+
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The start in force when each block begins. An endpoint has one entry per hour or so."""
+    for pdf in _whole_groups(frames, ["endpoint"]):
+        out = []
+        for endpoint, rows in pdf.groupby("endpoint", sort=False):
+            upper, end = rows["upper_ts"].to_numpy(), rows["end_ts"].to_numpy()
+            blocks, at = np.unique(rows["block"].to_numpy(), return_index=True)
+            last = None
+            for block, lo, hi in zip(blocks, at, [*at[1:], len(rows)], strict=True):
+                out.append((endpoint, int(block), last))
+                earliest = upper[lo] if last is None else last + COOLDOWN_MS
+                i = lo if last is None else lo + int(np.searchsorted(upper[lo:hi], earliest))
+                if i < hi:
+                    last = int(end[i])
+        frame = pd.DataFrame(out, columns=["endpoint", "block", "entry_ms"])
+        yield frame.astype({"entry_ms": "Int64"})
+
+
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Started triggers of each block, given the start in force at its begin."""
+    for pdf in _whole_groups(frames, ["endpoint", "block"]):
+        group, _, after = _chains(pdf)
+        ts = pdf["ts_ms"].to_numpy()
+        entry = pdf["entry_ms"].fillna(-(2**62)).to_numpy().astype("int64")
+        allowed = ts >= entry + COOLDOWN_MS
+        starts = []
+        begins = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(pdf))
+        for lo, hi in zip(begins[:-1], begins[1:], strict=True):
+            # Times are sorted, so the first allowed one is the first start.
+            i = lo + int(np.argmax(allowed[lo:hi])) if allowed[hi - 1] else hi
+            while i < hi:
+                starts.append(i)
+                i = after[i]
+        yield pd.DataFrame({"endpoint": pdf["endpoint"].to_numpy()[starts], "ts_ms": ts[starts]})
 
 
 def started_triggers(triggers: DataFrame) -> DataFrame:
     """(endpoint, ts_ms) of the triggers that start an upload.
 
-    Duplicates collapse before the shuffle, which bounds a block by its milliseconds.
+    Duplicates collapse before the shuffle, which bounds a block by its milliseconds. A busy
+    endpoint is spread over one group per block.
     """
     distinct = triggers.select("endpoint", "ts_ms").distinct()
     blocks = distinct.withColumn("block", F.floor(F.col("ts_ms") / BLOCK_MS))
-    summaries = blocks.groupBy("endpoint", "block").applyInPandas(
-        _summarise, "endpoint string, block bigint, upper_ts array<bigint>, end_ts array<bigint>"
+
+    def clustered(df: DataFrame) -> DataFrame:
+        return df.repartition("endpoint", "block").sortWithinPartitions("endpoint", "block", "ts_ms")
+
+    summaries = clustered(blocks).mapInPandas(
+        _summaries, "endpoint string, block bigint, upper_ts bigint, end_ts bigint"
     )
-    entries = summaries.groupBy("endpoint").applyInPandas(
-        _walk, "endpoint string, block bigint, entry_ms bigint"
+    entries = (
+        summaries.repartition("endpoint")
+        .sortWithinPartitions("endpoint", "block", "upper_ts")
+        .mapInPandas(_walk, "endpoint string, block bigint, entry_ms bigint")
     )
-    return (
-        blocks.join(entries, ["endpoint", "block"])
-        .groupBy("endpoint", "block")
-        .applyInPandas(_started, "endpoint string, ts_ms bigint")
+    return clustered(blocks.join(entries, ["endpoint", "block"])).mapInPandas(
+        _starts, "endpoint string, ts_ms bigint"
     )
 
 
