@@ -39,7 +39,8 @@ class RedactionContext:
             owner = F.when(F.coalesce(self.owner_email, F.lit("")) != "", self.owner_email).otherwise(
                 F.raise_error(F.lit("redaction needs the owner's e-mail")).cast("string")
             )
-        homes = [F.lit(h) if isinstance(h, str) else h for h in dict.fromkeys(self.homes)]
+        fixed = dict.fromkeys(h for h in self.homes if isinstance(h, str))
+        homes = [F.lit(h) for h in fixed] + [h for h in self.homes if not isinstance(h, str)]
         return standard_rules(self.upload_id, owner, homes)
 
 

@@ -24,7 +24,10 @@ def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def list_files(
     spark: SparkSession, paths: str | list[str], source_kind: str, machine_id: str = ""
 ) -> DataFrame:
-    """One row per file of a glob. File contents are not read."""
+    """One row per file of a glob. File contents are not read.
+
+    Spark's listing leaves out files of zero bytes; they hold no session.
+    """
     return _binary(spark, paths).select(
         F.lit(machine_id).alias("machine_id"),
         F.lit(source_kind).alias("source_kind"),

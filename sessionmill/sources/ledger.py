@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ledger(ledger: DataFrame, path: str) -> int:
-    """Write the next generation beside the current one.
+    """Write the next generation beside the current one, then commit it with one more row.
 
-    A generation counts once its _SUCCESS file is there, so a job that dies half way leaves the
-    old one in force. One writer per ledger.
+    A job that dies half way leaves no commit, so the old generation stays in force and the next
+    attempt overwrites the leftover. One writer per ledger.
     """
     spark = ledger.sparkSession
     current = _current_generation(spark, path)
@@ -63,20 +64,16 @@ def write_ledger(ledger: DataFrame, path: str) -> int:
         .write.mode("overwrite")
         .parquet(f"{path}/generation={following}")
     )
+    commit = spark.range(1).select(F.lit(following).alias("generation"))
+    commit.write.mode("append").parquet(f"{path}/commits")
     return following
 
 
 def _current_generation(spark: SparkSession, path: str) -> int | None:
-    marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
     try:
-        found = (
-            marks.load(f"{path}/generation=*/_SUCCESS")
-            .select(F.regexp_extract("path", "generation=([0-9]+)/", 1).cast("int").alias("g"))
-            .agg(F.max("g"))
-            .first()
-        )
-    except Exception as err:  # no generation was written yet
-        if "PATH_NOT_FOUND" in str(err):
+        commits = spark.read.schema("generation int").parquet(f"{path}/commits")
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":  # nothing was committed yet
             return None
         raise
-    return found[0]
+    return commits.agg(F.max("generation")).first()[0]

@@ -1,0 +1,135 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionmill.operators import classify as C
+from sessionmill.operators.redact import RedactionContext
+from sessionmill.plans.upload import UploadRun, read_listed, run_upload
+from sessionmill.sources import ledger as L
+from sessionmill.sources.files import list_files
+from sessionmill.sources.records import read_ndjson
+from sessionmill.streaming.ingest import LISTING, ingest_listings
+
+H = {c: c * 64 for c in "abc"}
+
+
+def entry(i, h, path=None, mtime=1.5, size=10, policy="v0.2", derivation="native"):
+    return (i, h, "2026-01-01T00:00:00.000Z", "m", path, mtime, size, derivation, policy)
+
+
+def test_matrix(spark):
+    ledger = spark.createDataFrame(
+        [entry("s1", H["a"], "/1"), entry("s2", H["b"], "/2", mtime=9.0), entry("s3", H["c"], "/3", policy="v0.1"),
+         entry("s4", H["a"], "/4", derivation=None)], L.LEDGER_SCHEMA)
+    files = spark.createDataFrame([("claude-code", f"/{i}", 10, 1.5) for i in range(1, 7)], "source_kind string, path string, size_bytes bigint, mtime_ms double")
+    sessions = spark.createDataFrame(
+        [("claude-code", f"/{i}", f"s{i}", "native", h) for i, h in [(1, "x"), (2, H["b"]), (3, H["c"]), (4, H["b"]), (5, H["a"])]],
+        "source_kind string, path string, session_id string, derivation string, content_hash string")
+    checked = C.stat_check(files, ledger)
+    assert [r.path for r in checked.where("stat_hit").collect()] == ["/1"]
+    kinds = {r.session_id: r.kind for r in C.classify(checked, sessions, ledger).collect()}
+    # /6 vanished before it was read.
+    assert kinds == {"s1": "unchanged", "s2": "unchanged", "s3": "unchanged", "s4": "updated", "s5": "new"}
+
+
+def test_newest_copy_wins(spark):
+    files = spark.createDataFrame([("c", "/b", 1, 5.0), ("c", "/a", 1, 5.0), ("c", "/old", 1, 1.0), ("d", "/x", 1, 0.0)], "source_kind string, path string, size_bytes bigint, mtime_ms double")
+    sessions = files.select("source_kind", "path", F.lit("s").alias("session_id"), F.lit("native").alias("derivation"), F.lit("h").alias("content_hash"))
+    empty = spark.createDataFrame([], L.LEDGER_SCHEMA)
+    got = C.classify(C.stat_check(files, empty), sessions, empty).collect()
+    assert sorted((r.source_kind, r.path) for r in got) == [("c", "/a"), ("d", "/x")]
+
+
+def test_ledger_generations(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert L.read_ledger(spark, path).count() == 0
+    one = spark.createDataFrame([entry("s1", H["a"])], L.LEDGER_SCHEMA)
+    L.write_ledger(one, path)
+    newer = spark.createDataFrame([entry("s1", H["b"])], L.LEDGER_SCHEMA).withColumn("last_uploaded_at", F.lit("2026-02"))
+    L.write_ledger(L.upsert(L.read_ledger(spark, path), newer.unionByName(one)), path)
+    assert [(r.session_id, r.content_hash) for r in L.read_ledger(spark, path).collect()] == [("s1", H["b"])]
+
+
+def session(i, tokens, text="hi", model="claude-opus-4"):
+    return "\n".join([
+        json.dumps({"sessionId": f"n{i}", "cwd": "/w", "message": {"role": "user", "content": text}}),
+        json.dumps({"message": {"role": "assistant", "model": model, "usage": {"output_tokens": tokens}, "content": f"mail bob{i}@x.co"}}),
+    ]) + "\n"
+
+
+@pytest.fixture
+def fleet(tmp_path):
+    d = tmp_path / "home" / ".claude" / "projects" / "-w"
+    d.mkdir(parents=True)
+    for i, tokens in enumerate([1_000_000, 10_000, 1, 500_000]):
+        (d / f"{i}.jsonl").write_text(session(i, tokens))
+    return d
+
+
+def upload(spark, fleet, tmp_path, run_id, limit=None):
+    glob = str(fleet / "*.jsonl")
+    run = UploadRun(run_id, str(tmp_path / "out"), str(tmp_path / "ledger"), RedactionContext("u", "o@x.co", ("/w",)), "2026-01-01T00:00:00.000Z", limit=limit)
+    listing = list_files(spark, glob, "claude-code").drop("machine_id")
+    return run_upload(listing, lambda w: read_listed(w, {"claude-code": glob}), run).first(), run
+
+
+def test_run_twice_then_change(spark, fleet, tmp_path):
+    first, run = upload(spark, fleet, tmp_path, "r1")
+    assert (first.discovered, first.new, first.will_upload) == (4, 4, 3)
+    entries = {r.path[-7]: r for r in spark.read.parquet(f"{run.folder}/entries").collect()}
+    assert {k: (e.tier, e.expected_bytes > 0) for k, e in entries.items()} == {"0": ("full", True), "1": ("metadata", False), "3": ("full", True)}
+    bodies = spark.read.text(f"{run.folder}/payload", recursiveFileLookup=True)
+    text = "\n".join(r.value for r in bodies.collect())
+    assert "bob0@" not in text and "user_" in text and bodies.count() == 4
+    sizes = {r.path[-7]: r.expected_bytes for r in spark.read.json(f"{run.folder}/manifest/entries").collect()}
+    assert sizes["0"] == sum(len(r.value) for r in bodies.where("value LIKE '%n0%' OR value LIKE '%1000000%'").collect()) + 1
+
+    again, _ = upload(spark, fleet, tmp_path, "r2")
+    # The session below the floor was not sent, so it is still new.
+    assert (again.unchanged, again.new, again.will_upload) == (3, 1, 0)
+
+    with open(fleet / "3.jsonl", "a") as f:
+        f.write(json.dumps({"message": {"role": "user"}}) + "\n")
+    third, run = upload(spark, fleet, tmp_path, "r3")
+    assert (third.unchanged, third.updated, third.new, third.will_upload) == (2, 1, 1, 1)
+    # Same id again, as after a crash: same result, ledger not harmed.
+    rerun, _ = upload(spark, fleet, tmp_path, "r3")
+    assert rerun.will_upload == 0 and rerun.unchanged == 3
+
+
+def test_limit(spark, fleet, tmp_path):
+    row, _ = upload(spark, fleet, tmp_path, "r1", limit=1)
+    assert (row.will_upload, row.limited, row.candidates) == (1, True, 4)
+
+
+def test_long_path_list_is_joined(spark, fleet):
+    glob = str(fleet / "*.jsonl")
+    wanted = list_files(spark, glob, "claude-code").where("path NOT LIKE '%2.jsonl'")
+    a = read_listed(wanted, {"claude-code": glob})
+    b = read_listed(wanted, {"claude-code": glob}, max_paths=1)
+    key = lambda df: sorted((r.path, r.line_no, r.raw) for r in df.collect())
+    assert key(a) == key(b) and a.count() == 6
+    assert read_listed(wanted.limit(0), {"claude-code": glob}).count() == 0
+
+
+def test_ingest_stream(spark, fleet, tmp_path):
+    glob = str(fleet / "*.jsonl")
+    listings = str(tmp_path / "listings")
+    run = UploadRun("st", str(tmp_path / "out"), str(tmp_path / "ledger"), RedactionContext("u", "o@x.co"), "2026-01-01T00:00:00.000Z")
+
+    def sweep():
+        list_files(spark, glob, "claude-code").select(*[c.split()[0] for c in LISTING.split(", ")]).write.mode("append").parquet(listings)
+        q = ingest_listings(spark, listings, str(tmp_path / "cp"), run, lambda w: read_listed(w, {"claude-code": glob}))
+        q.awaitTermination()
+        return {r.session_id: r.content_hash for r in L.read_ledger(spark, run.ledger_path).collect()}
+
+    one = sweep()
+    assert len(one) == 3
+    (fleet / "0.jsonl").write_text(session(0, 2_000_000))
+    two = sweep()
+    assert len(two) == 3 and len(set(two.values()) - set(one.values())) == 1
+
+
+def test_missing_files_are_skipped(spark, tmp_path):
+    assert read_ndjson(spark, [str(tmp_path)], "codex").count() == 0
