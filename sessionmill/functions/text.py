@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,42 +26,16 @@ def lines(c: Column) -> Column:
     return F.split(c, "\r?\n", -1)
 
 
-def _as_pattern(pattern: str | Column) -> Column:
-    return F.lit(pattern) if isinstance(pattern, str) else pattern
-
-
-def replace_matches(c: Column, pattern: str | Column, replacement: Callable[[Column], Column]) -> Column:
-    """Replace every match of `pattern` by a Column computed from the match itself.
-
-    The text is cut at the matches and zipped with the rewritten matches, so the work is linear in
-    the text and needs no UDF.
-    """
-    rest = F.split(c, pattern, -1)
-    found = F.regexp_extract_all(c, _as_pattern(pattern), F.lit(0))
-    joined = F.zip_with(
-        rest,
-        F.transform(found, replacement),
-        lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))),
-    )
-    return F.array_join(joined, "")
-
-
-def count_matches(c: Column, pattern: str | Column, keep: Callable[[Column], Column]) -> Column:
-    found = F.regexp_extract_all(c, _as_pattern(pattern), F.lit(0))
-    return F.size(F.filter(found, keep)).cast("bigint")
-
-
 def shannon_entropy(c: Column) -> Column:
     """Bits per character; 0 for the empty string."""
-    chars = F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
+    chars = F.array_distinct(F.split(c, "", -1))
     total = F.length(c).cast("double")
 
     def share(ch: Column) -> Column:
         return (F.length(c) - F.length(F.replace(c, ch, F.lit("")))).cast("double") / total
 
-    return F.aggregate(
-        F.transform(chars, share), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)
-    )
+    shares = F.transform(F.filter(chars, lambda ch: ch != ""), share)
+    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
 def scrub_control_chars(c: Column) -> Column:

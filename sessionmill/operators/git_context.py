@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import normalize
 from sessionmill.functions.repo_urls import SHA_PATTERN, origin_url, remote_identity
+from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
 from sessionmill.operators.projects import nearest_ancestor
 
@@ -42,8 +43,9 @@ def repositories(git_files: DataFrame) -> DataFrame:
 def packed_refs(git_files: DataFrame) -> DataFrame:
     line = F.col("line")
     rows = (
-        git_files.where("rel_path = 'packed-refs'")
-        .select("git_dir", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+        unnest(
+            git_files.where("rel_path = 'packed-refs'"), ["git_dir"], lines(F.col("content")), "line", "pos"
+        )
         .withColumn("line", trim_blank(line))
         .where("line <> ''")
         .where(~line.rlike("^[#^]"))

@@ -83,8 +83,8 @@ def manifest_headers(entries: DataFrame) -> DataFrame:
 
 
 def latest_entries(updates: DataFrame) -> DataFrame:
-    """Current state of every entry out of its update log."""
-    return latest_per_key(updates, ["manifest_id", "session_id"], F.col("seq"))
+    """Current state of every entry out of its update log; equal seq is settled by the status."""
+    return latest_per_key(updates, ["manifest_id", "session_id"], F.struct("seq", "status"))
 
 
 def resumable(entries: DataFrame, jobs: DataFrame, batch: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import ancestors, encode_dir
+from sessionmill.functions.rows import unnest
 from sessionmill.sources.providers import by_source_kind
 
 REPO_PREFIX = "repo:"
@@ -39,7 +40,7 @@ def nearest_ancestor(
     Ancestors are spelled out, bounded by the path depth, so the search is an equi-join.
     """
     values = dirs.select(*keys, column).where(F.col(column).isNotNull()).distinct()
-    steps = values.select(*keys, column, F.explode(ancestors(F.col(column))).alias("root"))
+    steps = unnest(values, [*keys, column], ancestors(F.col(column)), "root").drop("_pos")
     hits = (
         steps.join(roots.select(*keys, "root").distinct(), [*keys, "root"])
         .groupBy(*keys, column)

@@ -61,13 +61,13 @@ def redact_text(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     df = _zero_counts(df, rules)
     for rule in rules:
         for step in rule.steps:
-            c = F.col(column)
+            c, found = F.col(column), F.col("_found")
             out = {
-                count_column(cat): F.col(count_column(cat)) + F.coalesce(step.count(i, c), F.lit(0))
+                count_column(cat): F.col(count_column(cat)) + step.count(i, found)
                 for i, cat in enumerate(step.categories)
             }
-            df = df.withColumns({**out, column: step.text(c)})
-    return df
+            df = df.withColumn("_found", step.found(c)).withColumns({**out, column: step.text(c, found)})
+    return df.drop("_found")
 
 
 def redact_json(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
@@ -86,18 +86,19 @@ def redact_json(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     df = df.withColumns({"_gaps": gaps, "_strings": strings})
     for rule in rules:
         for step in rule.steps:
+            df = df.withColumn("_found", F.transform("_strings", step.found))
             out = {}
             for i, cat in enumerate(step.categories):
-                per_string = F.transform("_strings", partial(step.count, i))
+                per_string = F.transform("_found", partial(step.count, i))
                 total = F.aggregate(per_string, F.lit(0).cast("bigint"), lambda a, n: a + n)
                 out[count_column(cat)] = F.col(count_column(cat)) + F.coalesce(total, F.lit(0))
-            out["_strings"] = F.transform("_strings", step.text)
+            out["_strings"] = F.zip_with("_strings", "_found", step.text)
             df = df.withColumns(out)
     encoded = F.transform("_strings", json_string)
     rebuilt = F.array_join(
         F.zip_with("_gaps", encoded, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""
     )
-    return df.withColumn(column, rebuilt).drop("_gaps", "_strings")
+    return df.withColumn(column, rebuilt).drop("_gaps", "_strings", "_found")
 
 
 def with_payload_digest(df: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions.json_text import is_json, string_or_null
+from sessionmill.functions.rows import unnest, unnest_map
 from sessionmill.functions.text import trim_blank, utf16_length
 from sessionmill.operators.ordering import carry_forward, first_per_key, running_sum
 from sessionmill.operators.projects import nearest_ancestor
@@ -29,7 +30,7 @@ _MCP_REMOTE = r"\s*\((?:HTTP|SSE)\)\s*$"
 
 def _doc_lines(docs: DataFrame, split: str = "\n") -> DataFrame:
     text_lines = F.split("text", split, -1)
-    return docs.select("doc_id", F.posexplode(text_lines).alias("line_no", "line")).select(
+    return unnest(docs, ["doc_id"], text_lines, "line", "line_no").select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
 
@@ -71,7 +72,7 @@ def json_mcp_servers(docs: DataFrame) -> DataFrame:
     """Names of a JSON MCP list; health is not part of that form."""
     items = F.when(is_json(F.col("text")), F.from_json("text", "array<struct<name: variant>>"))
     return (
-        docs.select("doc_id", F.posexplode(items).alias("line_no", "_s"))
+        unnest(docs, ["doc_id"], items, "_s", "line_no")
         .select(
             "doc_id",
             F.col("line_no").cast("bigint").alias("line_no"),
@@ -145,19 +146,20 @@ def _array_or_empty(v: Column) -> Column:
 
 def hooks(layers: DataFrame) -> DataFrame:
     """Hooks of settings layers and plugins: event, matcher, command, source."""
-    per_event = _hook_entries(layers).select(
-        "machine_id", "source", F.explode("events").alias("event", "_entries")
+    per_event = unnest_map(
+        _hook_entries(layers), ["machine_id", "source"], "events", "event", "_entries"
     )
-    per_entry = per_event.select(
-        "machine_id", "source", "event", F.posexplode(_array_or_empty(F.col("_entries"))).alias("entry_no", "_e")
+    per_entry = unnest(
+        per_event, ["machine_id", "source", "event"], _array_or_empty(F.col("_entries")), "_e", "entry_no"
     ).where(_is_object(F.col("_e")))
     matcher = F.try_variant_get("_e", "$.matcher", "variant")
-    per_hook = per_entry.select(
-        "machine_id", "source", "event", "entry_no",
-        F.when(F.schema_of_variant(matcher) == "STRING", F.try_variant_get(matcher, "$", "string")).alias(
-            "matcher"
-        ),
-        F.posexplode(_array_or_empty(F.try_variant_get("_e", "$.hooks", "variant"))).alias("hook_no", "_h"),
+    matcher = F.when(F.schema_of_variant(matcher) == "STRING", F.try_variant_get(matcher, "$", "string"))
+    per_hook = unnest(
+        per_entry,
+        ["machine_id", "source", "event", "entry_no", matcher.alias("matcher")],
+        _array_or_empty(F.try_variant_get("_e", "$.hooks", "variant")),
+        "_h",
+        "hook_no",
     ).where(_is_object(F.col("_h")))
     command = F.try_variant_get("_h", "$.command", "variant")
     return per_hook.select(
@@ -215,7 +217,7 @@ def skills_and_agents(roots: DataFrame, files: DataFrame) -> DataFrame:
         F.sequence(F.lit(2), F.size(parts) - 1),
         lambda i: F.get(parts, i - 1).isin(list(INVENTORY_DIRS)),
     )
-    cut = files.where(F.size(parts) > 2).select("machine_id", parts.alias("parts"), F.explode(at).alias("i"))
+    cut = unnest(files.where(F.size(parts) > 2), ["machine_id", parts.alias("parts")], at, "i")
     rows = cut.select(
         "machine_id",
         F.array_join(F.slice("parts", F.lit(1), F.col("i") - 1), "/").alias("dir"),
@@ -288,7 +290,7 @@ def json_mcp_names(docs: DataFrame) -> DataFrame:
     """Server names out of the keys of mcpServers in a settings file."""
     servers = F.get_json_object("text", "$.mcpServers")
     keys = F.when(is_json(F.col("text")) & F.startswith(servers, F.lit("{")), F.json_object_keys(servers))
-    return docs.select("doc_id", F.posexplode(keys).alias("line_no", "name")).select(
+    return unnest(docs, ["doc_id"], keys, "name", "line_no").select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "name"
     )
 

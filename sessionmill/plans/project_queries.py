@@ -133,9 +133,9 @@ UNION ALL SELECT 'cursor', CASE WHEN p_partkey % 3 = 0 THEN 'cursor' WHEN p_part
   CASE WHEN p_partkey % 3 = 0 THEN 'cursor' WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_type END, @big(count(*)) FROM part GROUP BY 1, 2, 3""")
 def project_groups(spark, sf_dir):
     """Groups of all four tools; worktree sessions count for their main checkout."""
-    chat = view(spark, sf_dir, "v_records").select("source_kind", "path").distinct()
-    codex = view(spark, sf_dir, "v_codex").select("source_kind", "path").distinct()
-    gemini = table(spark, sf_dir, "pages").select(
+    chat = view(spark, sf_dir, "v_records", heavy=True).select("source_kind", "path").distinct()
+    codex = view(spark, sf_dir, "v_codex", heavy=True).select("source_kind", "path").distinct()
+    gemini = table(spark, sf_dir, "pages", heavy=True).select(
         F.lit("gemini").alias("source_kind"),
         F.concat(F.lit("/u/.gemini/tmp/p/chats/"), F.col("page_id").cast("string"), F.lit(".jsonl")).alias("path"),
     )
@@ -214,7 +214,7 @@ def real_project_dirs(spark, sf_dir):
 
 def _kv(spark, sf_dir):
     """A key/value store of composers (conversations) and bubbles (turns)."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", heavy=True)
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     store = F.concat(F.lit("/s"), (F.col("conv_id") % 3).cast("string"), F.lit("/state.vscdb"))
     name = F.when(F.col("conv_id") % 4 == 0, F.lit("5")).otherwise(F.concat(F.lit('"chat '), conv, F.lit('"')))
@@ -295,7 +295,7 @@ def cursor_sessions(spark, sf_dir):
         (F.col("id") + 1000).alias("size_bytes"), F.lit(0.0).alias("mtime_ms"),
     )
     refs = K.composer_refs(_kv(spark, sf_dir), stores)
-    files = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+    files = table(spark, sf_dir, "conversations", heavy=True).select("conv_id").distinct().select(
         F.lit("cursor").alias("source_kind"),
         F.concat(F.lit("/u/.cursor/projects/w/agent-transcripts/"), F.col("conv_id").cast("string"), F.lit("/t.jsonl")).alias("path"),
         F.lit(7).cast("bigint").alias("size_bytes"), F.lit(0.0).alias("mtime_ms"),
@@ -313,7 +313,7 @@ WITH t AS (
 SELECT '/t/' || @str(conv_id) AS path, @big(pos) AS pos, 'b' || @str(pos) AS bubble_id, type, text, tools AS tool_names FROM t""")
 def transcript_export(spark, sf_dir):
     """Terminal transcripts in the export shape: numbered turns, joined text parts, tool names."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", heavy=True)
     text = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text")))
     tools = F.lit('{"type":"tool_use","name":"Read","input":{"x":1}},{"type":"tool_use","name":"Edit"},{"type":"tool_use","name":""}')
     content = (

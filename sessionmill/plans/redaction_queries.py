@@ -16,6 +16,7 @@ from sessionmill.functions.redaction_rules import (
     emails_rule,
     paths_rule,
 )
+from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import shannon_entropy
 from sessionmill.operators import redact as R
 from sessionmill.plans.registry import query
@@ -161,7 +162,7 @@ _DOCS, _ = redaction_ctes("v_text", "doc_id", "text")
 
 
 def _redacted(spark, sf_dir):
-    return R.redact_text(view(spark, sf_dir, "v_text"), "text", context().rules())
+    return R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", context().rules())
 
 
 @query(_DOCS + "SELECT doc_id, @sha256(text) AS redacted_hash, @big(strlen(text)) AS byte_size, 'v0.2' AS policy_version, "
@@ -204,7 +205,7 @@ _SECRET_CTES = "WITH r0 AS (SELECT page_id, html AS text FROM pages)" + "".join(
 @query(_SECRET_CTES + f"\nSELECT page_id, @sha256(text) AS h, {', '.join(_col(c) for c in _SECRETS)} FROM r{len(_SECRETS)}")
 def page_secrets(spark, sf_dir):
     """The secret rule alone over raw web pages."""
-    out = R.redact_text(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "text", [secrets_rule()])
+    out = R.redact_text(table(spark, sf_dir, "pages", heavy=True).select("page_id", F.col("html").alias("text")), "text", [secrets_rule()])
     return out.select("page_id", F.sha2("text", 256).alias("h"), *[_col(c) for c in _SECRETS])
 
 
@@ -213,7 +214,7 @@ def page_secrets(spark, sf_dir):
 ) + f") AS h, @big(len(list_filter(regexp_extract_all(text, '{_MAIL}'), lambda m: lower(m) <> '{OWNER}'))) AS mails FROM v_text")
 def pseudonymous_emails(spark, sf_dir):
     rule = emails_rule(F.lit(OWNER), UPLOAD_ID)
-    out = R.redact_text(view(spark, sf_dir, "v_text"), "text", [rule])
+    out = R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", [rule])
     return out.select("doc_id", F.sha2("text", 256).alias("h"), F.col(_col("third-party-email")).alias("mails"))
 
 
@@ -228,7 +229,7 @@ SELECT doc_id, @sha256({_interleave_sql("text", _HOME_RE, f"'<HOME>' || ({_proje
   @big(n1 + len(list_filter(regexp_extract_all(text, '{_HOME_RE}'), lambda m: regexp_matches({_PATHS_REST}, '\\.claude/projects/[^/\\\\]')))) AS project_names
 FROM b""")
 def private_paths(spark, sf_dir):
-    out = R.redact_text(view(spark, sf_dir, "v_text"), "text", [paths_rule([F.lit(HOME)], UPLOAD_ID)])
+    out = R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", [paths_rule([F.lit(HOME)], UPLOAD_ID)])
     return out.select(
         "doc_id", F.sha2("text", 256).alias("h"),
         F.col(_col("home-path")).alias("home_paths"), F.col(_col("project-name")).alias("project_names"),
@@ -239,8 +240,8 @@ def private_paths(spark, sf_dir):
 WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CANDIDATE}')) AS s FROM v_text)
 SELECT doc_id, s AS token, round({_entropy_sql('s')}, 6) AS bits, {_high_sql('s')} AS high FROM c""")
 def token_entropy(spark, sf_dir):
-    found = F.explode(F.regexp_extract_all("text", F.lit(ENTROPY_CANDIDATE), F.lit(0)))
-    t = view(spark, sf_dir, "v_text").select("doc_id", found.alias("token"))
+    found = F.regexp_extract_all("text", F.lit(ENTROPY_CANDIDATE), F.lit(0))
+    t = unnest(view(spark, sf_dir, "v_text", heavy=True), ["doc_id"], found, "token")
     return t.select(
         "doc_id", "token", F.round(shannon_entropy(F.col("token")), 6).alias("bits"),
         is_high_entropy(F.col("token")).alias("high"),
@@ -253,8 +254,8 @@ SELECT lower(s) AS value, {_pseudonym_sql('user_', 'third-party-email', 'lower(s
   {_pseudonym_sql('proj_', 'project-name', 'lower(s)')} AS as_project, {_pseudonym_sql('jwt_', 'jwt', 'lower(s)')} AS as_other, @big(count(*)) AS uses
 FROM c GROUP BY ALL""")
 def pseudonyms(spark, sf_dir):
-    found = F.explode(F.regexp_extract_all("text", F.lit(EMAIL_PATTERN), F.lit(0)))
-    t = view(spark, sf_dir, "v_text").select(found.alias("s")).select(F.lower("s").alias("value"))
+    found = F.regexp_extract_all("text", F.lit(EMAIL_PATTERN), F.lit(0))
+    t = unnest(view(spark, sf_dir, "v_text", heavy=True), [], found, "s").select(F.lower("s").alias("value"))
     n = t.groupBy("value").agg(F.count("*").alias("uses"))
     v = F.col("value")
     return n.select(
@@ -275,7 +276,7 @@ def redacted_json(spark, sf_dir):
         F.struct(F.array(F.col("text"), F.lit("plain")).alias("list"), F.lit(12.5).alias("n"), F.lit(True).alias("b")).alias("a"),
         F.create_map(F.lit(f"[{HOME}]"), F.lit(1)).alias("m"),
     )
-    raw = view(spark, sf_dir, "v_text").select("doc_id", F.to_json(doc).alias("raw"))
+    raw = view(spark, sf_dir, "v_text", heavy=True).select("doc_id", F.to_json(doc).alias("raw"))
     out = R.redact_json(raw, "raw", context().rules())
     parsed = F.from_json("raw", "a STRUCT<list: ARRAY<STRING>, n: DOUBLE>, m MAP<STRING, INT>")
     return out.select(

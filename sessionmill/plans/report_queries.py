@@ -80,7 +80,7 @@ def finished_manifests(spark, sf_dir):
 
 
 @query("""
-SELECT 'm' || @str(l_suppkey) AS manifest_id, 's' || @str(l_partkey) AS session_id, arg_max(status, l_orderkey * 10000000 + entry_no * 100000 + l_partkey) AS status
+SELECT 'm' || @str(l_suppkey) AS manifest_id, 's' || @str(l_partkey) AS session_id, arg_max(status, (l_orderkey * 10000000 + entry_no * 100000 + l_partkey, status)) AS status
 FROM v_entries GROUP BY l_suppkey, l_partkey""")
 def latest_entry_states(spark, sf_dir):
     """Last state of each entry in a log of updates."""

@@ -100,7 +100,7 @@ FROM (SELECT doc_id, {_interleave_sql("text", _MAIL, f"CASE WHEN lower(m) = '{OW
 def sql_functions(spark, sf_dir):
     """The registered SQL functions over whole texts."""
     register_sql_functions(spark, UPLOAD_ID, OWNER)
-    view(spark, sf_dir, "v_text").createOrReplaceTempView("texts_to_redact")
+    view(spark, sf_dir, "v_text", heavy=True).createOrReplaceTempView("texts_to_redact")
     return spark.sql(
         "SELECT doc_id, sha2(redact_emails(text), 256) AS mails, round(shannon_entropy(substr(md5(text), 1, 12)), 6) AS bits, "
         "session_uuid(text) AS id, pseudonym('project-name', md5(text)) AS key FROM texts_to_redact"

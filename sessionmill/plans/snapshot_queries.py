@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionmill.functions.redaction_rules import CATEGORIES
+from sessionmill.functions.rows import unnest
 from sessionmill.operators import snapshots as N
-from sessionmill.plans.registry import query
 from sessionmill.plans.redaction_queries import _col, context, redaction_ctes
+from sessionmill.plans.registry import query
 from sessionmill.plans.views import table
 from sessionmill.sources.files import sidecar_records, sidecars_as_records
 
@@ -161,7 +162,8 @@ def skills_and_agents(spark, sf_dir):
         F.concat(F.lit("/skills/deploy"), F.col("c_nationkey").cast("string"), F.lit("/commands/x.md")),
         F.lit("/commands/fix.md"), F.lit("/commands/.hidden.md"), F.lit("/notes/agents.md"), agent,
     ]
-    files = c.select(_machine("c_custkey").alias("machine_id"), F.explode(F.transform(F.array(*rels), lambda r: F.concat(root, r))).alias("path"))
+    paths = F.transform(F.array(*rels), lambda r: F.concat(root, r))
+    files = unnest(c, [_machine("c_custkey").alias("machine_id")], paths, "path").drop("_pos")
     roots = c.select(_machine("c_custkey").alias("machine_id"), F.lit("user").alias("source"), root.alias("dir"))
     return N.skills_and_agents(roots, files)
 

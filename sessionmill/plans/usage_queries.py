@@ -93,11 +93,11 @@ priced AS (SELECT *, {PRICE_CASES} AS p FROM usage)
 
 
 def _chat(spark, sf_dir):
-    return typed_records(view(spark, sf_dir, "v_records").drop("conv_id"))
+    return typed_records(view(spark, sf_dir, "v_records", heavy=True).drop("conv_id"))
 
 
 def _codex(spark, sf_dir):
-    return typed_records(view(spark, sf_dir, "v_codex"))
+    return typed_records(view(spark, sf_dir, "v_codex", heavy=True))
 
 
 def _money(name):
@@ -272,7 +272,7 @@ FROM trimmed WHERE line <> ''
 """)
 def ndjson_records(spark, sf_dir):
     """Whole document texts as session files: a JSON head, the text's own lines, a JSON tail."""
-    texts = table(spark, sf_dir, "documents").select(
+    texts = table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id",
         F.concat(
             F.lit('{"sessionId":"d'), F.col("doc_id").cast("string"), F.lit('"}\r\n \n'), F.col("text"),
@@ -399,7 +399,7 @@ SELECT path, @sha256('v0.2' || chr(10) || '[' || string_agg(raw, ',' ORDER BY li
 FROM v_records GROUP BY path
 """)
 def session_content_hash(spark, sf_dir):
-    return content_hash(view(spark, sf_dir, "v_records"), ["path"])
+    return content_hash(view(spark, sf_dir, "v_records", heavy=True), ["path"])
 
 
 @query("""
@@ -410,7 +410,7 @@ def file_content_hash(spark, sf_dir):
     """The same hash inside one row, for files read whole."""
     doc = F.col("doc_id").cast("string")
     text = F.concat(F.lit('{"doc":'), doc, F.lit("}\r\n\n "), F.col("raw"), F.lit("\ntail "), doc, F.lit("\n"))
-    return view(spark, sf_dir, "v_files").select("doc_id", content_hash_of_text(text).alias("content_hash"))
+    return view(spark, sf_dir, "v_files", heavy=True).select("doc_id", content_hash_of_text(text).alias("content_hash"))
 
 
 @query("""

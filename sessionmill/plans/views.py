@@ -279,19 +279,29 @@ def needed(text: str) -> list[str]:
     return out
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table as a DataFrame over the parquet files of `sf_dir`."""
-    for used in [*needed(VIEWS[name]), name]:
-        for table in TABLES:
-            if re.search(rf"\b{table}\b", VIEWS[used]):
-                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    parts = needed(VIEWS[name])
-    ctes = ",\n".join(f"{n} AS ({expand(VIEWS[n], 'spark')})" for n in [*parts, name])
-    return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where a scan has fewer partitions than there are cores.
+
+    Meant for scans in front of heavy per-row work. A large table has many more partitions than
+    cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
 
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """An input table as a DataFrame over the parquet files of `sf_dir`; `heavy` spreads its scans."""
+    parts = [*needed(VIEWS[name]), name]
+    for t in TABLES:
+        if any(re.search(rf"\b{t}\b", VIEWS[p]) for p in parts):
+            table(spark, sf_dir, t, heavy).createOrReplaceTempView(t)
+    ctes = ",\n".join(f"{n} AS ({expand(VIEWS[n], 'spark')})" for n in dict.fromkeys(parts))
+    return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")
 
 
 def check_sql(text: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.paths import COMPOSER_MARKER
+from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import utf16_length
 from sessionmill.operators.ordering import ranked
 
@@ -66,7 +67,7 @@ def headers(composer_rows: DataFrame) -> DataFrame:
     """Conversation order of the bubbles; entries without id and numeric type are dropped."""
     h = F.col("h")
     return (
-        composer_rows.select("store_path", "composer_id", F.posexplode("headers").alias("pos", "h"))
+        unnest(composer_rows, ["store_path", "composer_id"], "headers", "h", "pos")
         .select(
             "store_path", "composer_id", "pos",
             _text_at(h, "$.bubbleId").alias("bubble_id"),

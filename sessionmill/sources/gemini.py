@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.json_text import string_or_null
 from sessionmill.functions.paths import forward
+from sessionmill.functions.rows import unnest_map
 
 _TRANSCRIPT = r"^(.*/\.gemini)/tmp/([^/]+)/chats/"
 
@@ -15,7 +16,7 @@ def registry(files: DataFrame) -> DataFrame:
     """Candidates (root, label, cwd) out of projects.json texts; the text maps cwd to label."""
     projects = F.from_json("content", "projects map<string,variant>")["projects"]
     return (
-        files.select("root", F.explode(projects).alias("cwd", "_label"))
+        unnest_map(files, ["root"], projects, "cwd", "_label")
         .select("root", "cwd", string_or_null(F.col("_label")).alias("label"))
         .where("label IS NOT NULL AND cwd <> ''")
     )

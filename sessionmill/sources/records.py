@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.hashing import POLICY_VERSION
 from sessionmill.functions.json_text import is_json, string_or_null
+from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
 
 WHOLE_FILE_LIMIT = 256 * 1024 * 1024
@@ -26,9 +27,8 @@ RECORD_SCHEMA = """
 """
 
 
-def _record(line: Column) -> dict[str, Column]:
+def _record(line: Column, ok: Column) -> dict[str, Column]:
     """A line that is no JSON value is kept as {"_raw": line}."""
-    ok = is_json(line)
     return {
         "raw": F.when(ok, line).otherwise(F.to_json(F.struct(line.alias("_raw")))),
         "is_malformed": ~ok,
@@ -41,11 +41,16 @@ def _text_records(text: Column) -> Column:
         lines(text),
         lambda s, i: F.struct(i.cast("bigint").alias("line_no"), trim_blank(s).alias("line")),
     )
-    kept = F.filter(numbered, lambda x: x["line"] != "")
+    # The check is a step of its own, so each line is parsed once.
+    checked = F.transform(
+        F.filter(numbered, lambda x: x["line"] != ""),
+        lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), is_json(x["line"]).alias("ok")),
+    )
     return F.transform(
-        kept,
+        checked,
         lambda x: F.struct(
-            x["line_no"].alias("line_no"), *[c.alias(n) for n, c in _record(x["line"]).items()]
+            x["line_no"].alias("line_no"),
+            *[c.alias(n) for n, c in _record(x["line"], x["ok"]).items()],
         ),
     )
 
@@ -63,9 +68,7 @@ def explode_ndjson(texts: DataFrame, column: str = "text") -> DataFrame:
     keep = [c for c in texts.columns if c != column]
     rows = texts.select(*keep, _text_records(F.col(column)).alias("_records"))
     file_hash = _hash_of(F.transform("_records", lambda x: x["raw"]))
-    exploded = rows.withColumn("_hash", file_hash).select(
-        *keep, "_hash", F.posexplode("_records").alias("_pos", "_r")
-    )
+    exploded = unnest(rows.withColumn("_hash", file_hash), [*keep, "_hash"], "_records", "_r")
     return exploded.select(
         *keep, "_r.line_no", "_r.raw", "_r.is_malformed",
         F.when(F.col("_pos") == 0, F.col("_hash")).alias("file_hash"),
@@ -77,7 +80,7 @@ def explode_json_array(texts: DataFrame, column: str = "text") -> DataFrame:
     keep = [c for c in texts.columns if c != column]
     text = F.col(column)
     items = F.when(is_json(text), F.from_json(text, "array<variant>"))
-    return texts.select(*keep, F.posexplode(items).alias("line_no", "_item")).select(
+    return unnest(texts, keep, items, "_item", "line_no").select(
         *keep,
         F.col("line_no").cast("bigint").alias("line_no"),
         F.to_json("_item").alias("raw"),
@@ -126,8 +129,9 @@ def read_ndjson(
         )
         .where("_line <> ''")
     )
-    large = large.select(
-        "source_kind", "path", "line_no", *[c.alias(n) for n, c in _record(F.col("_line")).items()],
+    large = large.withColumn("_ok", is_json(F.col("_line"))).select(
+        "source_kind", "path", "line_no",
+        *[c.alias(n) for n, c in _record(F.col("_line"), F.col("_ok")).items()],
         F.lit(None).cast("string").alias("file_hash"),
     )
     return explode_ndjson(whole).unionByName(large)
