@@ -27,7 +27,7 @@ from sessionmill.plans.usage_queries import _FACTS, _HASHED, _UUID5
 from sessionmill.plans.views import view
 from sessionmill.sources.files import list_files
 from sessionmill.sources.records import read_ndjson, typed_records
-from sessionmill.sources.sinks import write_payloads
+from sessionmill.sources.sinks import write_bodies
 from sessionmill.streaming.triggers import gate_stream
 
 
@@ -43,8 +43,8 @@ def _chat_files(spark: SparkSession, sf_dir: str, out: str) -> str:
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"),
         "line_no", "raw",
     )
-    write_payloads(r, out)
-    return f"{out}/*/*/*/*.txt"
+    write_bodies(r, out)
+    return f"{out}/*/*/*.txt"
 
 
 @query(_FACTS + """
@@ -56,7 +56,7 @@ def scanned_session_files(spark, sf_dir):
     records = read_ndjson(spark, glob, "claude-code", whole_limit=8192)
     m = U.session_metrics(typed_records(records))
     return m.select(
-        F.regexp_extract("path", "session_id=c([0-9]+)/", 1).cast("bigint").alias("conv_id"),
+        F.regexp_extract("path", "body=c([0-9]+)/", 1).cast("bigint").alias("conv_id"),
         F.round("total_cost_usd", 6).alias("total_cost_usd"), "turn_count", "primary_model",
     )
 
@@ -66,7 +66,7 @@ SELECT conv_id, 'claude-code' AS source_kind, @big(sum(strlen(raw)) + count(*))
 def listed_session_files(spark, sf_dir):
     glob = _chat_files(spark, sf_dir, _folder(spark, "listing"))
     return list_files(spark, glob, "claude-code").select(
-        F.regexp_extract("path", "session_id=c([0-9]+)/", 1).cast("bigint").alias("conv_id"), "source_kind", "size_bytes"
+        F.regexp_extract("path", "body=c([0-9]+)/", 1).cast("bigint").alias("conv_id"), "source_kind", "size_bytes"
     )
 
 
@@ -83,7 +83,7 @@ def upload_run(spark, sf_dir):
     """A whole upload run over session files: classify, price, redact, audit, write, upsert."""
     folder = _folder(spark, "upload")
     glob = _chat_files(spark, sf_dir, f"{folder}/files")
-    conv = F.regexp_extract("path", "session_id=c([0-9]+)/", 1)
+    conv = F.regexp_extract("path", "body=c([0-9]+)/", 1)
     listing = list_files(spark, glob, "claude-code").withColumn("mtime_ms", conv.cast("double")).drop("machine_id")
     run = UploadRun("r1", f"{folder}/out", f"{folder}/ledger", context(), "2026-01-01T00:00:00.000Z")
     run_upload(listing, lambda wanted: read_listed(wanted, {"claude-code": glob}), run)

@@ -9,18 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LINES_PER_BODY_FILE = 65_536
+
 
 def write_payloads(records: DataFrame, out: str) -> None:
-    """NDJSON bodies below manifest_id=/session_id=. Rows are clustered by session and line range,
-    so a very long session is written by several tasks, in line order within each part."""
-    piece = F.floor(F.col("line_no") / 65_536)
+    """Payload records of a batch as a table: manifest_id=/ folders of large files.
+
+    Rows are range partitioned by session and line, so a session of any length is shared by
+    several tasks, a reader of one session skips all but its row groups, and the number of files
+    depends on the data and not on the number of sessions.
+    """
+    order = ["manifest_id", "session_id", "line_no"]
+    (
+        records.select(*order, "raw")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode("overwrite")
+        .partitionBy("manifest_id")
+        .parquet(out)
+    )
+
+
+def write_bodies(records: DataFrame, out: str) -> None:
+    """NDJSON bodies, one folder per session below manifest_id=, in line order.
+
+    Made for handing over a selection of sessions: every session is a file of its own. A very long
+    one continues in further folders `<session>~1`, `<session>~2`.
+    """
+    piece = F.floor(F.col("line_no") / LINES_PER_BODY_FILE)
+    body = F.when(piece > 0, F.concat("session_id", F.lit("~"), piece.cast("string"))).otherwise(
+        F.col("session_id")
+    )
     (
-        records.withColumn("piece", piece)
-        .repartition("manifest_id", "session_id", "piece")
-        .sortWithinPartitions("manifest_id", "session_id", "piece", "line_no")
-        .select("manifest_id", "session_id", "piece", "raw")
+        records.withColumn("body", body)
+        .repartition("manifest_id", "body")
+        .sortWithinPartitions("manifest_id", "body", "line_no")
+        .select("manifest_id", "body", "raw")
         .write.mode("overwrite")
-        .partitionBy("manifest_id", "session_id", "piece")
+        .partitionBy("manifest_id", "body")
         .text(out)
     )
 

@@ -7,6 +7,7 @@ from sessionmill.operators import classify as C
 from sessionmill.operators.redact import RedactionContext
 from sessionmill.plans.upload import UploadRun, read_listed, run_upload
 from sessionmill.sources import ledger as L
+from sessionmill.sources import sinks
 from sessionmill.sources.files import list_files
 from sessionmill.sources.records import read_ndjson
 from sessionmill.streaming.ingest import LISTING, ingest_listings
@@ -79,11 +80,16 @@ def test_run_twice_then_change(spark, fleet, tmp_path):
     assert (first.discovered, first.new, first.will_upload) == (4, 4, 3)
     entries = {r.path[-7]: r for r in spark.read.parquet(f"{run.folder}/entries").collect()}
     assert {k: (e.tier, e.expected_bytes > 0) for k, e in entries.items()} == {"0": ("full", True), "1": ("metadata", False), "3": ("full", True)}
-    bodies = spark.read.text(f"{run.folder}/payload", recursiveFileLookup=True)
-    text = "\n".join(r.value for r in bodies.collect())
+    bodies = spark.read.parquet(f"{run.folder}/payload")
+    text = "\n".join(r.raw for r in bodies.collect())
     assert "bob0@" not in text and "user_" in text and bodies.count() == 4
-    sizes = {r.path[-7]: r.expected_bytes for r in spark.read.json(f"{run.folder}/manifest/entries").collect()}
-    assert sizes["0"] == sum(len(r.value) for r in bodies.where("value LIKE '%n0%' OR value LIKE '%1000000%'").collect()) + 1
+    listed = spark.read.json(f"{run.folder}/manifest/entries").where("tier = 'full'").collect()
+    sizes = {r.session_id: r.expected_bytes for r in listed}
+    sinks.write_bodies(bodies, str(tmp_path / "bodies"))
+    for r in spark.read.text(str(tmp_path / "bodies"), wholetext=True).collect():
+        # The file ends its last line, the body does not.
+        assert len(r.value.encode()) - 1 == sizes[r.body]
+        assert [json.loads(x)["message"]["role"] for x in r.value.splitlines()] == ["user", "assistant"]
 
     again, _ = upload(spark, fleet, tmp_path, "r2")
     # The session below the floor was not sent, so it is still new.
