@@ -1,8 +1,8 @@
 """The ordered redaction rules.
 
 A rule is data: an id, its categories and a list of steps. A step rewrites one string and counts
-what it rewrote, both as Column expressions, so the same step runs on a text column or inside
-`transform` over the string literals of a JSON document.
+what it rewrote, both as SQL text over the name of a string, so the same step runs on a text column
+or inside `transform` over the string literals of a JSON document.
 
 The order is part of the policy: secrets, then paths, then e-mails, then the entropy fallback.
 """
@@ -12,17 +12,12 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionmill.functions.hashing import pseudonym
-from sessionmill.functions.text import (
-    ASCII_BOUNDARY,
-    UNICODE_BLANKS,
-    shannon_entropy,
-)
+from sessionmill.functions import sql_text as Q
+from sessionmill.functions.text import ASCII_BOUNDARY, UNICODE_BLANKS, shannon_entropy
 
 # Secret categories in rule order, with the pattern of each public key format.
 SECRET_PATTERNS = {
@@ -80,27 +75,29 @@ _MEMORY_TAIL = (
     rf"[/\\]\.claude[/\\]projects[/\\][^/\\{_NOT_IN_PATH}]+[/\\]memory[/\\]([^/\\{_NOT_IN_PATH}]+\.md)"
 )
 
+Sql = Callable[[str], str]
+
 
 @dataclass(frozen=True)
 class Step:
     """One rewrite. `find` runs once per string; the rewrite and the counters reuse what it found."""
 
     categories: list[str]
-    may_match: Callable[[Column], Column]
-    find: Callable[[Column], Column]
-    rewrite: Callable[[Column, Column], Column]
+    may_match: Sql
+    find: Sql
+    rewrite: Callable[[str, str], str]
     # One counter over the finding per category, in the same order.
-    counts: list[Callable[[Column], Column]]
+    counts: list[Sql]
 
-    def found(self, c: Column) -> Column:
+    def found(self, c: str) -> str:
         """What the step will change in a string, null for nothing."""
-        return F.when(self.may_match(c), self.find(c))
+        return f"CASE WHEN {self.may_match(c)} THEN {self.find(c)} END"
 
-    def text(self, c: Column, found: Column) -> Column:
-        return F.when(found.isNull(), c).otherwise(self.rewrite(c, found))
+    def text(self, c: str, found: str) -> str:
+        return f"CASE WHEN {found} IS NULL THEN {c} ELSE {self.rewrite(c, found)} END"
 
-    def count(self, slot: int, found: Column) -> Column:
-        return F.coalesce(self.counts[slot](found).cast("bigint"), F.lit(0))
+    def count(self, slot: int, found: str) -> str:
+        return f"coalesce(CAST({self.counts[slot](found)} AS BIGINT), 0L)"
 
 
 @dataclass(frozen=True)
@@ -110,64 +107,49 @@ class Rule:
     steps: list[Step] = field(default_factory=list)
 
 
-def _contains_any(markers: list[str]) -> Callable[[Column], Column]:
-    return lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in markers])
-
-
 def marker(category: str) -> str:
     return f"<REDACTED:{category}>"
 
 
-def _secret_step(category: str, pattern: str) -> Step:
-    if category == "bearer-token":
-        gate = lambda c: F.contains(F.lower(c), F.lit("bearer"))
-    else:
-        gate = _contains_any(_MARKERS[category])
-    return _regex_step([category], gate, F.lit(pattern), F.lit(marker(category)))
-
-
-def _regex_step(categories, gate, pattern: Column, replacement: Column) -> Step:
+def regex_step(categories: list[str], may_match: Sql, pattern: str, replacement: str) -> Step:
+    """Replace by a regex; `pattern` is SQL. The finding is the number of matches."""
     return Step(
         categories,
-        gate,
-        lambda c: F.nullif(F.regexp_count(c, pattern), F.lit(0)),
-        lambda c, _: F.regexp_replace(c, pattern, replacement),
+        may_match,
+        lambda c: f"nullif(regexp_count({c}, {pattern}), 0)",
+        lambda c, _: f"regexp_replace({c}, {pattern}, {Q.literal(replacement)})",
         [lambda n: n] * len(categories),
     )
 
 
-def _token_step(
-    categories: list[str],
-    gate: Callable[[Column], Column],
-    pattern: Column,
-    replace: Callable[[Column], Column],
-    counts: list[Callable[[Column], Column]],
+def token_step(
+    categories: list[str], may_match: Sql, pattern: str, replaced: str, counts: list[str]
 ) -> Step:
-    """Replace each match by a Column of itself. The finding is the list of (match, replacement)."""
-
-    def find(c: Column) -> Column:
-        pairs = F.transform(
-            F.regexp_extract_all(c, pattern, F.lit(0)),
-            lambda m: F.struct(m.alias("was"), replace(m).alias("now")),
-        )
-        return F.when(F.exists(pairs, lambda p: p["was"] != p["now"]), pairs)
+    """Replace each match `m` by SQL over it. The finding is the list of (was, now) pairs, or null
+    if nothing changes; `counts` are conditions on a pair `p`."""
 
-    def rewrite(c: Column, pairs: Column) -> Column:
-        parts = F.zip_with(
-            F.split(c, pattern, -1),
-            pairs,
-            lambda a, p: F.concat(a, F.coalesce(p["now"], F.lit(""))),
-        )
-        return F.array_join(parts, "")
+    def find(c: str) -> str:
+        # One-element list, so the pairs are made once and tested by name.
+        pairs = f"array({Q.token_pairs(c, pattern, replaced)})"
+        return f"get(filter({pairs}, ps -> exists(ps, p -> p.was <> p.now)), 0)"
 
-    def counter(keep: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        return lambda pairs: F.size(F.filter(pairs, keep))
+    def counter(keep: str) -> Sql:
+        return lambda pairs: f"size(filter({pairs}, p -> {keep}))"
 
-    return Step(categories, gate, find, rewrite, [counter(k) for k in counts])
+    return Step(
+        categories,
+        may_match,
+        find,
+        lambda c, pairs: Q.put_back(c, pattern, pairs),
+        [counter(k) for k in counts],
+    )
 
 
-def _changed(pair: Column) -> Column:
-    return pair["was"] != pair["now"]
+def _secret_step(category: str, pattern: str) -> Step:
+    if category == "bearer-token":
+        return regex_step([category], lambda c: f"contains(lower({c}), 'bearer')", Q.literal(pattern), marker(category))
+    gate = lambda c: Q.contains_any(c, _MARKERS[category])
+    return regex_step([category], gate, Q.literal(pattern), marker(category))
 
 
 def secrets_rule() -> Rule:
@@ -175,69 +157,55 @@ def secrets_rule() -> Rule:
     return Rule("secrets", list(SECRET_PATTERNS), steps)
 
 
-def _pseudonymous_project(rest: Column, upload_id: str) -> Column:
-    """Replace the directory behind '.claude/projects/' in the part of a path after the home."""
-    at = F.instr(rest, PROJECTS_DIR)
-    tail_from = at + F.lit(len(PROJECTS_DIR))
-    tail = F.substring(rest, tail_from, F.length(rest))
-    project = F.regexp_extract(tail, r"^[^/\\]*", 0)
-    remainder = F.substring(tail, F.length(project) + 1, F.length(tail))
-    return F.when(
-        (at > 0) & (project != ""),
-        F.concat(
-            F.substring(rest, F.lit(1), tail_from - 1),
-            pseudonym("project-name", project, upload_id),
-            F.replace(remainder, F.lit("\\"), F.lit("/")),
-        ),
-    ).otherwise(rest)
+def _memory_step(prefix: str, gate: str = "true") -> Step:
+    """`prefix` is SQL of the regex in front of the memory path."""
+    pattern = f"({prefix} || {Q.literal(_MEMORY_TAIL)})"
+    return regex_step(PATH_CATEGORIES, lambda c: f"{gate} AND contains({c}, 'memory')", pattern, "$1")
 
 
-def _home_step(home: Column, upload_id: str) -> Step:
-    pattern = F.concat(F.lit(r"\Q"), home, F.lit(rf"\E/?[^{_NOT_IN_PATH}]*"))
-    rest_of = lambda m: F.substring(m, F.length(home) + 1, F.length(m))
+def _home_step(home: str, gate: str, upload_id: str) -> Step:
+    """`home` is SQL. Behind '.claude/projects/' the next directory becomes a pseudonym."""
+    pattern = f"('\\\\Q' || {home} || {Q.literal(rf'\E/?[^{_NOT_IN_PATH}]*')})"
+    parts = Q.literal(r"(?s)^(.*?\Q" + PROJECTS_DIR + r"\E)([^/\\]+)(.*)$")
 
-    def has_project(pair: Column) -> Column:
-        return rest_of(pair["was"]).rlike(r"^.*?\Q.claude/projects/\E[^/\\]")
+    def part(m: str, n: int) -> str:
+        return f"regexp_extract(substr({m}, length({home}) + 1), {parts}, {n})"
 
-    return _token_step(
+    replaced = (
+        f"'<HOME>' || CASE WHEN {part('m', 2)} = '' THEN substr(m, length({home}) + 1) ELSE {part('m', 1)} || "
+        f"{Q.pseudonym('project-name', part('m', 2), upload_id)} || "
+        f"replace({part('m', 3)}, {Q.literal(chr(92))}, '/') END"
+    )
+    return token_step(
         PATH_CATEGORIES,
-        lambda c: (home != "") & F.contains(c, home),
+        lambda c: f"{gate} AND contains({c}, {home})",
         pattern,
-        lambda m: F.concat(F.lit("<HOME>"), _pseudonymous_project(rest_of(m), upload_id)),
-        [lambda _: F.lit(True), has_project],
+        replaced,
+        ["true", f"{part('p.was', 2)} <> ''"],
     )
 
 
-def _memory_step(prefix: Column) -> Step:
-    gate = lambda c: F.contains(c, F.lit("memory"))
-    return _regex_step(PATH_CATEGORIES, gate, F.concat(prefix, F.lit(_MEMORY_TAIL)), F.lit("$1"))
+def paths_rule(homes: list[str], upload_id: str) -> Rule:
+    """Memory files keep their file name only; home prefixes become <HOME>, projects pseudonyms.
 
-
-def paths_rule(homes: list[Column], upload_id: str) -> Rule:
-    """Memory files keep their file name only; home prefixes become <HOME>, projects pseudonyms."""
-    steps = [_memory_step(F.lit("~"))]
-    present = [F.coalesce(h, F.lit("")) for h in homes]
-    # An empty home would make '\Q\E' match everywhere; such a pattern is never tried.
-    steps += [
-        _memory_step(
-            F.when(h != "", F.concat(F.lit(r"\Q"), h, F.lit(r"\E"))).otherwise(F.lit("(?!)"))
-        )
-        for h in present
-    ]
-    steps += [_home_step(h, upload_id) for h in present]
+    `homes` are SQL: literals or column names. An empty or missing home is never tried.
+    """
+    given = [(f"coalesce({h}, '')", f"coalesce({h}, '') <> ''") for h in homes]
+    steps = [_memory_step("'~'")]
+    steps += [_memory_step(f"'\\\\Q' || {h} || '\\\\E'", gate) for h, gate in given]
+    steps += [_home_step(h, gate, upload_id) for h, gate in given]
     return Rule("claude-paths", PATH_CATEGORIES, steps)
 
 
-def emails_rule(owner_email: Column, upload_id: str) -> Rule:
-    owner = F.lower(owner_email)
-    step = _token_step(
+def emails_rule(owner: str, upload_id: str) -> Rule:
+    """`owner` is SQL; that address is kept in any case."""
+    user = Q.pseudonym(EMAIL_CATEGORY, "lower(m)", upload_id)
+    step = token_step(
         [EMAIL_CATEGORY],
-        lambda c: F.contains(c, F.lit("@")),
-        F.lit(EMAIL_PATTERN),
-        lambda m: F.when(F.lower(m) == owner, m).otherwise(
-            pseudonym(EMAIL_CATEGORY, F.lower(m), upload_id)
-        ),
-        [_changed],
+        lambda c: f"contains({c}, '@')",
+        Q.literal(EMAIL_PATTERN),
+        f"CASE WHEN lower(m) = lower({owner}) THEN m ELSE {user} END",
+        ["p.was <> p.now"],
     )
     return Rule("emails", [EMAIL_CATEGORY], [step])
 
@@ -251,21 +219,22 @@ def is_high_entropy(c: Column) -> Column:
 
 
 def entropy_rule() -> Rule:
-    step = _token_step(
+    high = Q.is_high_entropy("m", ENTROPY_BITS, HEX_MIN_LENGTH, HEX_ENTROPY_BITS)
+    step = token_step(
         [ENTROPY_CATEGORY],
-        lambda c: F.length(c) >= 20,
-        F.lit(ENTROPY_CANDIDATE),
-        lambda m: F.when(is_high_entropy(m), F.lit(marker(ENTROPY_CATEGORY))).otherwise(m),
-        [_changed],
+        lambda c: f"length({c}) >= 20",
+        Q.literal(ENTROPY_CANDIDATE),
+        f"CASE WHEN {high} THEN {Q.literal(marker(ENTROPY_CATEGORY))} ELSE m END",
+        ["p.was <> p.now"],
     )
     return Rule("entropy", [ENTROPY_CATEGORY], [step])
 
 
-def standard_rules(upload_id: str, owner_email: Column, homes: list[Column]) -> list[Rule]:
+def standard_rules(upload_id: str, owner: str, homes: list[str]) -> list[Rule]:
     return [
         secrets_rule(),
         paths_rule(homes, upload_id),
-        emails_rule(owner_email, upload_id),
+        emails_rule(owner, upload_id),
         entropy_rule(),
     ]
 

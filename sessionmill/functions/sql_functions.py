@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import SparkSession
 
-from sessionmill.functions.hashing import PSEUDONYM_PREFIX, SESSION_NAMESPACE
+from sessionmill.functions import sql_text as Q
 from sessionmill.functions.redaction_rules import (
-    EMAIL_CATEGORY,
-    EMAIL_PATTERN,
     ENTROPY_BITS,
-    ENTROPY_CANDIDATE,
-    ENTROPY_CATEGORY,
     HEX_ENTROPY_BITS,
     HEX_MIN_LENGTH,
-    marker,
+    Rule,
+    emails_rule,
+    entropy_rule,
 )
 
 
-def _quoted(text: str) -> str:
-    return "r'" + text + "'"
-
-
-def _sql_text(text: str) -> str:
-    return "'" + text + "'"
-
-
-def _replace_each(pattern: str, mapped: str) -> str:
-    p = _quoted(pattern)
-    return (
-        f"array_join(zip_with(split(s, {p}, -1), transform(regexp_extract_all(s, {p}, 0), m -> {mapped}), "
-        "(a, b) -> a || coalesce(b, '')), '')"
-    )
+def _rewrite(rule: Rule, s: str) -> str:
+    """The text behind a rule of one step, as one expression."""
+    step = rule.steps[0]
+    found = f"array({step.found(s)})"
+    return f"transform({found}, f -> {step.text(s, 'f')})[0]"
 
 
 def register_sql_functions(spark: SparkSession, upload_id: str, owner_email: str) -> list[str]:
@@ -40,50 +27,19 @@ def register_sql_functions(spark: SparkSession, upload_id: str, owner_email: str
 
     The upload id is bound here and is not an argument, which keeps the key out of query text.
     """
-    raw = upload_id.encode()
-    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
-    inner, outer = bytes(b ^ 0x36 for b in raw).hex(), bytes(b ^ 0x5C for b in raw).hex()
-    prefixes = " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in PSEUDONYM_PREFIX.items())
-    owner = owner_email.lower().replace("'", "''")
-
-    # A SQL function may not be called inside a lambda, so the parts are put together as text.
-    def entropy(s: str) -> str:
-        return (
-            f"aggregate(transform(array_distinct(regexp_extract_all({s}, r'(?s).', 0)), ch -> "
-            f"CAST(length({s}) - length(replace({s}, ch, '')) AS DOUBLE) / length({s})), 0D, (a, p) -> a - p * log2(p))"
-        )
-
-    def high(s: str) -> str:
-        return (
-            f"CASE WHEN {s} RLIKE '^[0-9a-fA-F]+$' THEN length({s}) >= {HEX_MIN_LENGTH} AND "
-            f"{entropy(s)} >= {HEX_ENTROPY_BITS} ELSE length({s}) >= 20 AND {entropy(s)} >= {ENTROPY_BITS} END"
-        )
-
-    def keyed(category: str, value: str) -> str:
-        return (
-            f"CASE {category} {prefixes} ELSE regexp_replace({category}, '[^A-Za-z0-9]', '') || '_' END || "
-            f"substr(sha2(unhex('{outer}') || unhex(sha2(unhex('{inner}') || "
-            f"encode({category} || ' ' || {value}, 'UTF-8'), 256)), 256), 1, 10)"
-        )
-
-    h = f"sha1(unhex('{SESSION_NAMESPACE.replace('-', '')}') || encode(path, 'UTF-8'))"
     definitions = {
-        "shannon_entropy(s STRING) RETURNS DOUBLE": entropy("s"),
-        "is_high_entropy(s STRING) RETURNS BOOLEAN": high("s"),
-        "session_uuid(path STRING) RETURNS STRING": (
-            f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
-            f"substr('89ab', CAST(conv(substr({h}, 17, 1), 16, 10) AS INT) % 4 + 1, 1) || substr({h}, 18, 3) "
-            f"|| '-' || substr({h}, 21, 12)"
+        "shannon_entropy(s STRING) RETURNS DOUBLE": Q.shannon_entropy("s"),
+        "is_high_entropy(s STRING) RETURNS BOOLEAN": Q.is_high_entropy(
+            "s", ENTROPY_BITS, HEX_MIN_LENGTH, HEX_ENTROPY_BITS
         ),
-        "pseudonym(category STRING, value STRING) RETURNS STRING": keyed("category", "value"),
-        "redact_emails(s STRING) RETURNS STRING": _replace_each(
-            EMAIL_PATTERN,
-            f"CASE WHEN lower(m) = '{owner}' THEN m ELSE {keyed(_sql_text(EMAIL_CATEGORY), 'lower(m)')} END",
+        "session_uuid(path STRING) RETURNS STRING": Q.session_uuid("path"),
+        "pseudonym(category STRING, value STRING) RETURNS STRING": Q.any_pseudonym(
+            "category", "value", upload_id
         ),
-        "redact_entropy(s STRING) RETURNS STRING": _replace_each(
-            ENTROPY_CANDIDATE,
-            f"CASE WHEN {high('m')} THEN {_sql_text(marker(ENTROPY_CATEGORY))} ELSE m END",
+        "redact_emails(s STRING) RETURNS STRING": _rewrite(
+            emails_rule(Q.literal(owner_email), upload_id), "s"
         ),
+        "redact_entropy(s STRING) RETURNS STRING": _rewrite(entropy_rule(), "s"),
     }
     for signature, body in definitions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,31 +16,36 @@ from sessionmill.functions.redaction_rules import (
     Rule,
     standard_rules,
 )
+from sessionmill.functions.sql_text import literal
 
 
 @dataclass(frozen=True)
 class RedactionContext:
-    """What one batch needs. The upload id is the pseudonym key and must not be written out."""
+    """What one batch needs. The upload id is the pseudonym key and must not be written out.
+
+    Owner and homes are texts; where they differ by row, name the columns that hold them instead.
+    """
 
     upload_id: str
-    owner_email: str | Column
-    homes: tuple[str | Column, ...] = ()
+    owner_email: str = ""
+    homes: tuple[str, ...] = ()
+    owner_column: str | None = None
+    home_columns: tuple[str, ...] = ()
 
     def rules(self) -> list[Rule]:
         if not self.upload_id:
             raise ValueError("redaction needs an upload id")
-        if isinstance(self.owner_email, str):
-            if not self.owner_email:
-                raise ValueError("redaction needs the owner's e-mail")
-            owner = F.lit(self.owner_email)
-        else:
+        missing = "redaction needs the owner''s e-mail"
+        if self.owner_column:
             # A row without an owner aborts the job instead of passing through half redacted.
-            owner = F.when(F.coalesce(self.owner_email, F.lit("")) != "", self.owner_email).otherwise(
-                F.raise_error(F.lit("redaction needs the owner's e-mail")).cast("string")
-            )
-        fixed = dict.fromkeys(h for h in self.homes if isinstance(h, str))
-        homes = [F.lit(h) for h in fixed] + [h for h in self.homes if not isinstance(h, str)]
-        return standard_rules(self.upload_id, owner, homes)
+            c = f"`{self.owner_column}`"
+            owner = f"CASE WHEN coalesce({c}, '') <> '' THEN {c} ELSE raise_error('{missing}') END"
+        elif self.owner_email:
+            owner = literal(self.owner_email)
+        else:
+            raise ValueError(missing.replace("''", "'"))
+        homes = [literal(h) for h in dict.fromkeys(self.homes) if h]
+        return standard_rules(self.upload_id, owner, homes + [f"`{c}`" for c in self.home_columns])
 
 
 def count_column(category: str) -> str:
@@ -59,14 +63,15 @@ def redact_text(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     One narrow projection per step, no shuffle. A null text stays null.
     """
     df = _zero_counts(df, rules)
+    name = f"`{column}`"
     for rule in rules:
         for step in rule.steps:
-            c, found = F.col(column), F.col("_found")
             out = {
-                count_column(cat): F.col(count_column(cat)) + step.count(i, found)
+                count_column(cat): F.expr(f"{count_column(cat)} + {step.count(i, '_found')}")
                 for i, cat in enumerate(step.categories)
             }
-            df = df.withColumn("_found", step.found(c)).withColumns({**out, column: step.text(c, found)})
+            out[column] = F.expr(step.text(name, "_found"))
+            df = df.withColumn("_found", F.expr(step.found(name))).withColumns(out)
     return df.drop("_found")
 
 
@@ -86,14 +91,12 @@ def redact_json(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
     df = df.withColumns({"_gaps": gaps, "_strings": strings})
     for rule in rules:
         for step in rule.steps:
-            df = df.withColumn("_found", F.transform("_strings", step.found))
             out = {}
             for i, cat in enumerate(step.categories):
-                per_string = F.transform("_found", partial(step.count, i))
-                total = F.aggregate(per_string, F.lit(0).cast("bigint"), lambda a, n: a + n)
-                out[count_column(cat)] = F.col(count_column(cat)) + F.coalesce(total, F.lit(0))
-            out["_strings"] = F.zip_with("_strings", "_found", step.text)
-            df = df.withColumns(out)
+                total = f"aggregate(transform(_found, f -> {step.count(i, 'f')}), 0L, (a, n) -> a + n)"
+                out[count_column(cat)] = F.expr(f"{count_column(cat)} + coalesce({total}, 0L)")
+            out["_strings"] = F.expr(f"zip_with(_strings, _found, (s, f) -> {step.text('s', 'f')})")
+            df = df.withColumn("_found", F.expr(f"transform(_strings, s -> {step.found('s')})")).withColumns(out)
     encoded = F.transform("_strings", json_string)
     rebuilt = F.array_join(
         F.zip_with("_gaps", encoded, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""

@@ -17,6 +17,7 @@ from sessionmill.functions.redaction_rules import (
     paths_rule,
 )
 from sessionmill.functions.rows import unnest
+from sessionmill.functions.sql_text import literal
 from sessionmill.functions.text import shannon_entropy
 from sessionmill.operators import redact as R
 from sessionmill.plans.registry import query
@@ -213,7 +214,7 @@ def page_secrets(spark, sf_dir):
     "text", _MAIL, f"CASE WHEN lower(m) = '{OWNER}' THEN m ELSE " + _pseudonym_sql("user_", "third-party-email", "lower(m)") + " END"
 ) + f") AS h, @big(len(list_filter(regexp_extract_all(text, '{_MAIL}'), lambda m: lower(m) <> '{OWNER}'))) AS mails FROM v_text")
 def pseudonymous_emails(spark, sf_dir):
-    rule = emails_rule(F.lit(OWNER), UPLOAD_ID)
+    rule = emails_rule(literal(OWNER), UPLOAD_ID)
     out = R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", [rule])
     return out.select("doc_id", F.sha2("text", 256).alias("h"), F.col(_col("third-party-email")).alias("mails"))
 
@@ -229,7 +230,7 @@ SELECT doc_id, @sha256({_interleave_sql("text", _HOME_RE, f"'<HOME>' || ({_proje
   @big(n1 + len(list_filter(regexp_extract_all(text, '{_HOME_RE}'), lambda m: regexp_matches({_PATHS_REST}, '\\.claude/projects/[^/\\\\]')))) AS project_names
 FROM b""")
 def private_paths(spark, sf_dir):
-    out = R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", [paths_rule([F.lit(HOME)], UPLOAD_ID)])
+    out = R.redact_text(view(spark, sf_dir, "v_text", heavy=True), "text", [paths_rule([literal(HOME)], UPLOAD_ID)])
     return out.select(
         "doc_id", F.sha2("text", 256).alias("h"),
         F.col(_col("home-path")).alias("home_paths"), F.col(_col("project-name")).alias("project_names"),
