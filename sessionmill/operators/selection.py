@@ -11,17 +11,19 @@ from sessionmill.functions.pricing import EXCLUDE_FLOOR_USD, MIN_FULL_UPLOAD_USD
 GROUP = ["provider_id", "project_id"]
 
 
-def select_sessions(sessions: DataFrame, providers: DataFrame, projects: DataFrame) -> DataFrame:
-    """Sessions whose provider and project are both chosen."""
-    return sessions.join(providers.select("provider_id"), "provider_id", "left_semi").join(
+def select_sessions(sessions: DataFrame, providers: list[str], projects: DataFrame) -> DataFrame:
+    """Sessions whose provider and project are both chosen. There are four providers at most, so
+    they are a parameter; projects may be any number."""
+    return sessions.where(F.col("provider_id").isin(providers)).join(
         projects.select("project_id"), "project_id", "left_semi"
     )
 
 
-def supported_providers(detected: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+def supported_providers(detected: DataFrame, configured: DataFrame | None = None) -> list[str]:
     """Detected providers, narrowed to the configured ones if a config names any."""
     ids = detected.select("provider_id")
-    return ids.distinct() if configured is None else ids.intersect(configured.select("provider_id"))
+    ids = ids.distinct() if configured is None else ids.intersect(configured.select("provider_id"))
+    return sorted(r.provider_id for r in ids.collect())
 
 
 def expand_home(pattern: str, home: str) -> str:
@@ -42,7 +44,7 @@ def glob_match(
 
 def config_selection(
     groups: DataFrame,
-    providers: DataFrame,
+    providers: list[str],
     home: str,
     include: list[str] | None = None,
     exclude: list[str] | None = None,
@@ -50,8 +52,8 @@ def config_selection(
     name = F.col("project_name")
     tilde = (name == "~") | F.startswith(name, F.lit("~/"))
     path = F.when(tilde, F.concat(F.lit(home), F.substring(name, 2, 1 << 30))).otherwise(name)
-    return groups.join(providers.select("provider_id"), "provider_id", "left_semi").where(
-        glob_match(path, include, exclude, home)
+    return groups.where(
+        F.col("provider_id").isin(providers) & glob_match(path, include, exclude, home)
     )
 
 
@@ -81,20 +83,13 @@ def eligible(candidates: DataFrame, floor_usd: float = EXCLUDE_FLOOR_USD) -> Dat
     )
 
 
-def selection_report(
-    groups: DataFrame, providers: DataFrame, projects: DataFrame
-) -> DataFrame:
+def selection_report(groups: DataFrame, providers: list[str], projects: DataFrame) -> DataFrame:
     """Every project with its counts and two flags: provider chosen, project chosen."""
-    prov = providers.select("provider_id").distinct().withColumn("_p", F.lit(True))
-    proj = projects.select("project_id").distinct().withColumn("_j", F.lit(True))
-    return (
-        groups.join(prov, "provider_id", "left")
-        .join(proj, "project_id", "left")
-        .select(
-            *groups.columns,
-            F.coalesce("_p", F.lit(False)).alias("provider_selected"),
-            F.coalesce("_j", F.lit(False)).alias("project_selected"),
-        )
+    chosen = projects.select("project_id").distinct().withColumn("_j", F.lit(True))
+    return groups.join(chosen, "project_id", "left").select(
+        *groups.columns,
+        F.col("provider_id").isin(providers).alias("provider_selected"),
+        F.coalesce("_j", F.lit(False)).alias("project_selected"),
     )
 
 

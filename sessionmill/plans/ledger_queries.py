@@ -9,6 +9,7 @@ from sessionmill.operators import manifest as M
 from sessionmill.operators import projects as G
 from sessionmill.operators import reports as R
 from sessionmill.operators import selection as S
+from sessionmill.operators.ordering import durable
 from sessionmill.plans.registry import query
 from sessionmill.plans.views import table, view
 from sessionmill.sources import ledger as L
@@ -114,7 +115,7 @@ SELECT @big(discovered) AS discovered, @big(unchanged) AS unchanged, @big(new) A
   true AS limited, @big(40) AS limit_rows, @big(new + updated) AS candidates
 FROM n""")
 def upload_summary(spark, sf_dir):
-    rows = _candidates(spark, sf_dir)
+    rows = durable(_candidates(spark, sf_dir))
     return R.upload_summary(rows, C.newest_first(S.eligible(rows), 40), limit=40)
 
 
@@ -153,7 +154,7 @@ SELECT 'claude' AS provider_id, '/Users/dev/' || source AS display_name, @big(n)
   @big(round(n / (SELECT max(n) FROM n) * 20)) AS bar FROM n""")
 def upload_rows_per_project(spark, sf_dir):
     left = S.eligible(_candidates(spark, sf_dir)).withColumn("session_cwd", F.lit(None).cast("string"))
-    rows = G.project_rows(left).select("provider_id", "display_name", "will_upload")
+    rows = durable(G.project_rows(left).select("provider_id", "display_name", "will_upload"))
     return G.biggest_first(G.share_of_max(rows, "will_upload"), "will_upload", "display_name")
 
 
@@ -215,8 +216,8 @@ def _groups(spark, sf_dir):
 
 
 def _chosen(spark, sf_dir):
-    """Providers and projects a run chose: languages stand in for the picked providers."""
-    providers = provider_table(spark).where("provider_id IN ('claude', 'codex')")
+    """Providers and projects a run chose."""
+    providers = ["claude", "codex"]
     projects = _groups(spark, sf_dir).where(F.col("project_id").rlike("src1[0-9]?$"))
     return providers, projects
 
@@ -314,6 +315,8 @@ def _jobs(spark, sf_dir):
     will = S.eligible(_candidates(spark, sf_dir)).select(
         "source_kind", "path", "session_id", "derivation", "content_hash", "kind", "size_bytes", "mtime_ms"
     )
+    # Used for the jobs and for the files to hash; classified once.
+    will = durable(will)
     zero = F.lit(0.0)
     metrics = sessions.select(
         "source_kind", "path", "total_cost_usd", F.col("size_bytes").cast("double").alias("total_tokens"),
