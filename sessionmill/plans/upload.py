@@ -26,7 +26,7 @@ from sessionmill.operators.projects import with_project
 from sessionmill.sources import ledger as L
 from sessionmill.sources import sinks
 from sessionmill.sources.providers import by_source_kind
-from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
+from sessionmill.sources.records import RECORD_ROWS, file_hashes, read_ndjson, typed_records
 
 SESSION = ["source_kind", "path"]
 
@@ -69,9 +69,7 @@ def read_listed(
         else:
             parts.append(read_ndjson(spark, glob, kind, **extra).join(of_kind, "path", "left_semi"))
     if not parts:
-        return spark.createDataFrame(
-            [], "source_kind string, path string, line_no bigint, raw string, is_malformed boolean, file_hash string"
-        )
+        return spark.createDataFrame([], RECORD_ROWS)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +15,21 @@ from sessionmill.functions.text import utf16_length
 SIDECAR_TYPE = "tool_result_file"
 SIDECAR_SCHEMA = 1
 
+LISTING = "machine_id string, source_kind string, path string, size_bytes bigint, mtime_ms double"
+
 
 def local_path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
-def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
+def existing(load: Callable[[], DataFrame]) -> DataFrame | None:
+    """The result of a read, or None if its root or glob leads to no file."""
+    try:
+        return load()
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def list_files(
@@ -26,9 +37,13 @@ def list_files(
 ) -> DataFrame:
     """One row per file of a glob. File contents are not read.
 
-    Spark's listing leaves out files of zero bytes; they hold no session.
+    A missing root is an empty listing. Spark leaves out files of zero bytes; they hold no session.
     """
-    return _binary(spark, paths).select(
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    found = existing(lambda: reader.load(paths))
+    if found is None:
+        return spark.createDataFrame([], LISTING)
+    return found.select(
         F.lit(machine_id).alias("machine_id"),
         F.lit(source_kind).alias("source_kind"),
         local_path(F.col("path")).alias("path"),

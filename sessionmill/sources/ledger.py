@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.operators.ordering import latest_per_key
+from sessionmill.sources.files import existing
 
 LEDGER_VERSION = 2
 LEDGER_SCHEMA = (
@@ -70,10 +70,5 @@ def write_ledger(ledger: DataFrame, path: str) -> int:
 
 
 def _current_generation(spark: SparkSession, path: str) -> int | None:
-    try:
-        commits = spark.read.schema("generation int").parquet(f"{path}/commits")
-    except AnalysisException as err:
-        if err.getCondition() == "PATH_NOT_FOUND":  # nothing was committed yet
-            return None
-        raise
-    return commits.agg(F.max("generation")).first()[0]
+    commits = existing(lambda: spark.read.schema("generation int").parquet(f"{path}/commits"))
+    return None if commits is None else commits.agg(F.max("generation")).first()[0]

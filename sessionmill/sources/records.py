@@ -9,9 +9,13 @@ from sessionmill.functions.hashing import POLICY_VERSION
 from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
+from sessionmill.sources.files import existing
 
 WHOLE_FILE_LIMIT = 256 * 1024 * 1024
 
+RECORD_ROWS = (
+    "source_kind string, path string, line_no bigint, raw string, is_malformed boolean, file_hash string"
+)
 # Text fields are VARIANT so that a number or object in their place can be told from a string.
 RECORD_SCHEMA = """
   type STRING, role STRING, timestamp VARIANT, sessionId VARIANT, cwd VARIANT, gitBranch VARIANT,
@@ -95,13 +99,15 @@ def read_ndjson(
 
     The split branch never holds a file in one row: a line's number is its block's byte offset
     plus its position in the block, which grows along the file and is unique, as a block has no
-    more lines than bytes.
+    more lines than bytes. A missing root gives no records.
     """
+    reader = spark.read.option("ignoreMissingFiles", True)
+    if existing(lambda: reader.text(paths, wholetext=True)) is None:
+        return spark.createDataFrame([], RECORD_ROWS)
     size = F.col("_metadata.file_size")
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     whole = (
-        spark.read.option("ignoreMissingFiles", True)
-        .text(paths, wholetext=True)
+        reader.text(paths, wholetext=True)
         .where(size <= whole_limit)
         .select(F.lit(source_kind).alias("source_kind"), path.alias("path"), F.col("value").alias("text"))
     )

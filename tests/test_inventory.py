@@ -11,6 +11,7 @@ from sessionmill.operators import git_context as X
 from sessionmill.operators import snapshots as N
 from sessionmill.operators.redact import RedactionContext
 from sessionmill.plans.snapshot import context_snapshot, mcp_snapshot
+from sessionmill.sources import git_files as W
 from sessionmill.streaming.triggers import gate_stream, snapshot_stream
 
 
@@ -93,6 +94,19 @@ def test_git_matrix(spark):
     }
 
 
+def test_git_tables_from_collected_files(spark):
+    sha = "0123456789" * 4
+    origin = '[remote "origin"]\nurl = https://h.io/a/b.git\n'
+    files = spark.createDataFrame(
+        [("/r/.git/config", origin), ("/r/.git/HEAD", "ref: refs/heads/x/y\n"), ("/r/.git/refs/heads/x/y", sha),
+         ("/r/.git/worktrees/w/HEAD", sha), ("/r/.git/worktrees/w/config", origin), ("/wt/.git", "gitdir: /r/.git/worktrees/w\n"),
+         ("/wt/src/a.py", ""), ("/r/src/b.py", "")], "path string, content string")
+    s = spark.createDataFrame([("1", "/r/src", None), ("2", "/wt/src", "t"), ("3", "/q", None)], "path string, cwd string, recorded_branch string")
+    repos = X.cwd_repositories(s, W.directories(files), W.dot_git_entries(files), W.git_dir_files(files))
+    got = {r.path: (r.reason, r.name, r.branch, r.commit_sha) for r in X.git_context(s, repos).collect()}
+    assert got == {"1": (None, "b", "x/y", sha), "2": (None, "b", "t", sha), "3": ("missing-dir", None, None, None)}
+
+
 def test_failures(spark):
     cases = [
         ("AnonymizationError", 409, "x", "anonymization", False), ("PresignExpiredError", None, "x", "presign-expired", True),

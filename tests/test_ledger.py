@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import classify as C
 from sessionmill.operators.redact import RedactionContext
+from sessionmill.operators.reports import with_sequence
 from sessionmill.plans.upload import UploadRun, read_listed, run_upload
 from sessionmill.sources import ledger as L
 from sessionmill.sources import sinks
@@ -138,4 +139,15 @@ def test_ingest_stream(spark, fleet, tmp_path):
 
 
 def test_missing_files_are_skipped(spark, tmp_path):
-    assert read_ndjson(spark, [str(tmp_path)], "codex").count() == 0
+    for root in (str(tmp_path), str(tmp_path / "gone"), str(tmp_path / "x" / "*.jsonl")):
+        assert read_ndjson(spark, root, "codex").count() == 0
+        assert list_files(spark, root, "codex").count() == 0
+
+
+def test_event_sink(spark, tmp_path):
+    events = spark.createDataFrame([("m1", "upload-start", 5), ("m1", "session-acked", 6), ("m2", "upload-start", 7)], "manifest_id string, event string, ts bigint")
+    out = str(tmp_path / "events")
+    for _ in range(2):
+        sinks.write_events(with_sequence(events, ["ts"]), out)
+    rows = spark.read.json(out).collect()
+    assert sorted((r.manifest_id, r.seq, r.event) for r in rows) == [("m1", 0, "upload-start"), ("m1", 1, "session-acked"), ("m2", 0, "upload-start")]
