@@ -13,7 +13,7 @@ from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.paths import COMPOSER_MARKER
 from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import utf16_length
-from sessionmill.operators.ordering import ranked
+from sessionmill.operators.ordering import running_sum
 
 _COMPOSER = """
   name VARIANT, workspaceName VARIANT, createdAt VARIANT, lastUpdatedAt VARIANT,
@@ -170,7 +170,7 @@ def transcript_export(records: DataFrame) -> DataFrame:
         text.alias("text"),
         F.coalesce(of_type("tool_use", "name"), F.lit([]).cast("array<string>")).alias("tool_names"),
     )
-    numbered = ranked(turns, ["path"], [F.col("line_no").asc()], "_n")
+    numbered = running_sum(turns, ["path"], "line_no", F.lit(1), "_n")
     return numbered.select(
         "path",
         (F.col("_n") - 1).alias("pos"),

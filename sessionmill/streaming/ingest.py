@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sessionmill.operators.ordering import latest_per_key
 from sessionmill.operators.reports import batch_state
 from sessionmill.plans.upload import UploadRun, run_upload
 
@@ -32,7 +34,9 @@ def ingest_listings(
         if listing.isEmpty():
             return
         one = replace(run, run_id=f"{run.run_id}-{batch_id}")
-        run_upload(listing.dropDuplicates(["source_kind", "path"]), read_records, one)
+        # A file listed twice in one batch counts as it was last seen.
+        newest = latest_per_key(listing, ["source_kind", "path"], F.struct("mtime_ms", "size_bytes"))
+        run_upload(newest, read_records, one)
 
     stream = spark.readStream.schema(LISTING).parquet(listings)
     return (
