@@ -21,6 +21,7 @@ from sessionmill.llm.common import free_name, text_or_empty
 CELLS_PER_ROW = 16
 #: Broadcast the filter below this many bytes (its size follows from the row count), else join it.
 FILTER_LIMIT = 64 << 20
+SALTS = 32
 _WORD_ROW = 32  # bytes that one word of the filter takes at most in a broadcast
 
 
@@ -64,7 +65,10 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     # Counts per (text, id) first: a large group of copies shrinks before and after the shuffle alike.
     per_id = flagged.where("again").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
     groups = per_id.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    copies = per_id.join(groups, "text_sha256").select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    # The copies of a text spread over salts, so that a large group meets its answer in many tasks.
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = per_id.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = spread.join(salted, ["text_sha256", "salt"]).select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
     return alone.union(copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 
