@@ -6,7 +6,7 @@ import importlib
 
 from sessionmill.llm.registry import CHECKS, QUERIES
 
-for _module in ["exact_dedup_queries", "url_filter_queries"]:
+for _module in ["bpe_queries", "decontaminate_queries", "exact_dedup_queries", "near_dup_queries", "pii_queries", "url_filter_queries"]:
     importlib.import_module(f"sessionmill.llm.{_module}")
 
 __all__ = ["CHECKS", "QUERIES"]
