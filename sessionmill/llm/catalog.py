@@ -6,7 +6,9 @@ import importlib
 
 from sessionmill.llm.registry import CHECKS, QUERIES
 
-for _module in ["bpe_queries", "decontaminate_queries", "exact_dedup_queries", "near_dup_queries", "pii_queries", "url_filter_queries"]:
-    importlib.import_module(f"sessionmill.llm.{_module}")
+_MODULES = ["bpe", "chat_format", "decontaminate", "exact_dedup", "near_dup", "pii", "quality", "suffix_dedup", "token_counts", "url_filter"]
+
+for _module in _MODULES:
+    importlib.import_module(f"sessionmill.llm.{_module}_queries")
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -148,6 +148,7 @@ _SPELLED_PART = re.compile(rf"(?i)plus[ -]|{_NUMBER}|[ ,-]+dot[ ,-]+|[ ,-]+")
 _BRACKETED = re.compile(r"(?i)\s{0,3}(?:\[\s?(at|dot|@|\.)\s?\]|\(\s?(at|dot|@|\.)\s?\)|\{\s?(at|dot|@|\.)\s?\}|<\s?(at|dot|@|\.)\s?>)\s{0,3}")
 _BARE = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})(?=[A-Za-z0-9])[A-Za-z0-9-]++(?:(?:\.|\s{1,3}dot\s{1,3})[A-Za-z0-9-]++)+")
 _DOT = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
+_LOCAL_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9._%+-]{1,64}@)")
 _SIGN = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
 
@@ -177,13 +178,18 @@ def _bare(text: str) -> Iterator[tuple[int, int, str]]:
             yield from ((d.start(), d.end(), ".") for d in dots)
 
 
-TRANSDUCERS: tuple[Callable[[str], Iterator[tuple[int, int, str]]], ...] = (_lookalikes, _spelled, _bracketed, _bare)
+def _local_dots(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _LOCAL_DOT.finditer(text):
+        yield m.start(), m.end(), "."
+
+
+TRANSDUCERS: tuple[Callable[[str], Iterator[tuple[int, int, str]]], ...] = (_lookalikes, _spelled, _bracketed, _bare, _local_dots)
 
 #: What a text must contain for any transducer to act; checked by a linear-time matcher on whole batches.
 _HINT = (
-    r"(?i)[\x{a0}\x{ad}\x{370}-\x{10ffff}]"
-    r"|[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s"
-    rf"|{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER}"
+    r"[\x{a0}\x{ad}\x{370}-\x{10ffff}]"  # not under (?i), which would add letters that fold into it
+    r"|(?i:[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s"
+    rf"|{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER})"
 )
 
 
