@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by the cluster in spark.checkpoint.dir.
 
     Only where that is unset, as in tests on one machine, a temporary folder is taken.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return folder or tempfile.mkdtemp(prefix="sessionmill-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sessionmill-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -256,7 +256,7 @@ def _cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Labellers' rates over all documents, and scorers fitted on at most `sample` rows."""
     docs = plain_columns(docs, "doc_id", "text")
-    # Both targets in one pass: grouping sets would do, but patterns of both together are few as well.
+    # One pass for both targets: at most 3^11 pairs of patterns, in practice a few hundred.
     counted = docs.select("text").mapInArrow(_cast_votes, ", ".join(f"{t} string" for t in TARGETS)).groupBy(*TARGETS).count().collect()
     posterior, rates = {}, {}
     for target in TARGETS:
@@ -264,7 +264,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for row in counted:
             table[row[target]] = table.get(row[target], 0) + row["count"]
         keys = sorted(table)
-        patterns = np.array([["-.+".index(c) - 1 for c in k] for k in keys]).reshape(len(keys), -1)
+        patterns = np.array([["-.+".index(c) - 1 for c in k] for k in keys], dtype=int).reshape(len(keys), -1 if keys else 1)
         bad, rates[target] = expectation_maximisation(patterns, np.array([table[k] for k in keys], dtype=float))
         posterior[target] = dict(zip(keys, bad, strict=True))
     order = F.xxhash64(*row_keys(), F.lit("sample"))
