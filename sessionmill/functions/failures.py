@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.text import ASCII_BOUNDARY
 
-# Report order, cause and remedy of each failure reason ({id} is the short id).
+# Our report: place, cause and remedy of each failure reason ({id} is the short id).
 FAILURE_INFO = [
     ("parse", 0, "malformed log", "Fix the source file or exclude {id} and run again."),
     ("conflict", 1, "already uploaded (HTTP 409)", "Safe to ignore; clears on the next run."),

@@ -82,6 +82,32 @@ def manifest_headers(entries: DataFrame) -> DataFrame:
     )
 
 
+def entry_states(entries: DataFrame, acks: DataFrame) -> DataFrame:
+    """State of every entry after a delivery; an entry without an answer stays pending."""
+    told = latest_per_key(acks.select("session_id", "status", "reason"), ["session_id"], F.struct("status", "reason"))
+    return (
+        entries.select("manifest_id", "session_id", "tier", "expected_bytes")
+        .join(told, "session_id", "left")
+        .withColumn("status", F.coalesce("status", F.lit("pending")))
+    )
+
+
+def batch_events(states: DataFrame, ts: str) -> DataFrame:
+    """The event log of a batch: its start, one event per answered entry, and its end if none is open."""
+    done = states.where(~F.col("status").isin(UNFINISHED)).select(
+        "manifest_id", F.concat(F.lit("session-"), "status").alias("event"), "session_id", "reason"
+    )
+    none = F.lit(None).cast("string")
+    starts = states.groupBy("manifest_id").agg(F.count("*").alias("expected_sessions")).select(
+        "manifest_id", F.lit("upload-start").alias("event"), none.alias("session_id"), none.alias("reason"), "expected_sessions"
+    )
+    ends = finished_manifests(states).select(
+        "manifest_id", F.lit("upload-complete").alias("event"), none.alias("session_id"), none.alias("reason")
+    )
+    events = starts.unionByName(done.unionByName(ends), allowMissingColumns=True)
+    return events.withColumn("ts", F.lit(ts))
+
+
 def latest_entries(updates: DataFrame) -> DataFrame:
     """Current state of every entry out of its update log; equal seq is settled by the status."""
     return latest_per_key(updates, ["manifest_id", "session_id"], F.struct("seq", "status"))
@@ -94,35 +120,39 @@ def resumable(entries: DataFrame, jobs: DataFrame, batch: DataFrame) -> DataFram
     with those of the run; `jobs` has (manifest_id, session_id). A manifest is resumable if the
     three agree, every job has an entry and every unfinished entry has a job.
     """
-    key = ["manifest_id", "session_id"]
-    unknown = jobs.join(entries, key, "left_anti").groupBy("manifest_id").agg(
-        F.count("*").alias("unknown_jobs")
+    # One union and one count per entry: no side is read twice, and large manifests combine early.
+    none = F.lit(None).cast("string")
+    saved = entries.select(
+        "manifest_id", "session_id", "source_kind", "endpoint", "user_id",
+        F.lit(1).alias("saved"), F.col("status").isin(UNFINISHED).cast("int").alias("open"), F.lit(0).alias("job"),
     )
-    orphans = (
-        entries.where(F.col("status").isin(UNFINISHED))
-        .join(jobs, key, "left_anti")
-        .groupBy("manifest_id")
-        .agg(F.count("*").alias("orphan_entries"))
+    wanted = jobs.select(
+        "manifest_id", "session_id", *[none.alias(c) for c in ("source_kind", "endpoint", "user_id")],
+        F.lit(0).alias("saved"), F.lit(0).alias("open"), F.lit(1).alias("job"),
+    )
+    per_entry = saved.unionByName(wanted).groupBy("manifest_id", "session_id").agg(
+        *[F.min(c).alias(c) for c in ("source_kind", "endpoint", "user_id")],
+        F.sum("saved").alias("saved"), F.sum("open").alias("open"), F.sum("job").alias("job"),
+    )
+    counted = per_entry.groupBy("manifest_id").agg(
+        *[F.min(c).alias(c) for c in ("source_kind", "endpoint", "user_id")],
+        F.sum("saved").alias("saved"),
+        F.sum(F.when(F.col("saved") == 0, F.col("job")).otherwise(0)).alias("unknown_jobs"),
+        F.sum(F.when(F.col("job") == 0, F.col("open")).otherwise(0)).alias("orphan_entries"),
     )
     same = (
         (F.col("source_kind") == F.col("run_source_kind"))
         & (F.col("endpoint") == F.col("run_endpoint"))
         & (F.col("user_id") == F.col("run_user_id"))
     )
-    headers = entries.groupBy("manifest_id").agg(
-        F.min("source_kind").alias("source_kind"),
-        F.min("endpoint").alias("endpoint"),
-        F.min("user_id").alias("user_id"),
-    )
     return (
-        headers.join(batch, "manifest_id")
-        .join(unknown, "manifest_id", "left")
-        .join(orphans, "manifest_id", "left")
+        counted.where("saved > 0")
+        .join(batch, "manifest_id")
         .select(
             "manifest_id",
-            F.coalesce("unknown_jobs", F.lit(0)).alias("unknown_jobs"),
-            F.coalesce("orphan_entries", F.lit(0)).alias("orphan_entries"),
-            (same & F.col("unknown_jobs").isNull() & F.col("orphan_entries").isNull()).alias("resume"),
+            "unknown_jobs",
+            "orphan_entries",
+            (same & (F.col("unknown_jobs") == 0) & (F.col("orphan_entries") == 0)).alias("resume"),
         )
     )
 

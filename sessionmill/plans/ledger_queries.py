@@ -13,7 +13,7 @@ from sessionmill.operators.ordering import durable
 from sessionmill.plans.registry import query
 from sessionmill.plans.views import table, view
 from sessionmill.sources import ledger as L
-from sessionmill.sources.configs import project_configs
+from sessionmill.sources.configs import nearest_configs, project_configs, upload_configs
 from sessionmill.sources.files import raw_hashes
 from sessionmill.sources.providers import by_source_kind, detect_providers, provider_table
 
@@ -270,36 +270,89 @@ def scoped_projects(spark, sf_dir):
     )
 
 
-@query("""
-WITH c AS (
-  SELECT c_custkey, c_nationkey, c_acctbal, CASE c_custkey % 8 WHEN 3 THEN 'unknown key .uplaod' WHEN 5 THEN 'no JSON' WHEN 6 THEN '$.upload.concurrency'
-    WHEN 7 THEN 'version' END AS error FROM customer)
-SELECT '/w/' || @str(c_custkey) AS dir, error,
-  CASE WHEN error IS NULL THEN c_custkey % 8 <> 1 END AS enabled,
-  CASE WHEN error IS NULL THEN CASE WHEN c_custkey % 8 = 2 THEN c_nationkey + 10.5 ELSE 10.0 END END::DOUBLE AS min_cost,
-  CASE WHEN error IS NULL THEN @big(CASE WHEN c_custkey % 8 = 4 THEN c_nationkey + 1 ELSE 4 END) END AS concurrency,
-  CASE WHEN error IS NULL THEN c_custkey % 8 = 1 END AS link_prs,
-  CASE WHEN error IS NULL AND c_custkey % 8 = 4 THEN 'org' || @str(c_nationkey) END AS org
+# Config texts by customer, and the reason why each is refused (empty: it is good).
+_CONFIG_FORMS = [
+    ('{"version":1}', ""),
+    ('{"version":1,"upload":{"enabled":false,"linkPrs":true}}', ""),
+    ('{"version":1,"upload":{"minCost":@n.5}}', ""),
+    ('{"$schema":"x","version":1,"org":"org@n","upload":{"concurrency":1@n}}', ""),
+    ('{"version":1,"uplaod":{}}', "unknown key .uplaod"),
+    ('{"version":1,', "no JSON"),
+    ('{"version":1,"upload":{"concurrency":"4"}}', "$.upload.concurrency"),
+    ('{"upload":{"auto":true}}', "version"),
+    ('{"version":1,"upload":@n}', "$.upload"),
+    ('{"version":1,"upload":null}', "$.upload"),
+    ('{"version":1,"snapshot":[]}', "$.snapshot"),
+    ('{"version":1,"org":""}', "$.org"),
+    ('{"version":1,"endpoint":"nope@n"}', "$.endpoint"),
+    ('{"version":1,"upload":{"providers":"claude"}}', "$.upload.providers"),
+    ('{"version":1,"upload":{"providers":[""]}}', "$.upload.providers"),
+    ('{"version":1,"upload":{"providers":["a",@n]}}', "$.upload.providers"),
+    ('{"version":1,"$schema":@n}', "$.$schema"),
+    ('{"version":"1"}', "version"),
+    ("[@n]", "no object"),
+    ('{"version":1,"upload":{"minCost":0}}', "$.upload.minCost"),
+]
+_UPLOAD_FORMS = [
+    ('{"schemaVersion":1}', ""),
+    ('{"schemaVersion":1,"providers":["claude"],"projects":{"include":["~/p@n*"],"exclude":["~/p@n/x"]}}', ""),
+    ('{"schemaVersion":1,"upload":{"org":"org@n","concurrency":2@n,"enabled":false}}', ""),
+    ('{"schemaVersion":2}', "schemaVersion"),
+    ('{"schemaVersion":1,"projects":[]}', "$.projects"),
+    ('{"schemaVersion":1,"projects":{"include":[@n]}}', "$.projects.include"),
+    ('{"schemaVersion":1,"projects":{"only":[]}}', "unknown key projects.only"),
+    ('{"schemaVersion":1,"upload":{"org":""}}', "$.upload.org"),
+]
+
+
+def _config_files(spark, sf_dir, forms):
+    c = table(spark, sf_dir, "customer")
+    form = F.get(F.array(*[F.lit(text) for text, _ in forms]), (F.col("c_custkey") % len(forms)).cast("int"))
+    text = F.replace(form, F.lit("@n"), F.col("c_nationkey").cast("string"))
+    return c.select(F.concat(F.lit("/w/"), F.col("c_custkey").cast("string")).alias("dir"), text.alias("content"))
+
+
+def _forms_sql(forms):
+    cases = " ".join(f"WHEN {k} THEN '{error}'" for k, (_, error) in enumerate(forms) if error)
+    return f"WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % {len(forms)} AS form, CASE c_custkey % {len(forms)} {cases} END AS error FROM customer)"
+
+
+@query(_forms_sql(_CONFIG_FORMS) + """
+SELECT '/w/' || @str(c_custkey) AS dir, error, CASE WHEN error IS NULL THEN form <> 1 END AS enabled,
+  CASE WHEN error IS NULL THEN CASE WHEN form = 2 THEN c_nationkey + 0.5 ELSE 10.0 END END::DOUBLE AS min_cost,
+  CASE WHEN error IS NULL THEN @big(CASE WHEN form = 3 THEN ('1' || @str(c_nationkey))::BIGINT ELSE 4 END) END AS concurrency,
+  CASE WHEN error IS NULL THEN form = 1 END AS link_prs, CASE WHEN form = 3 THEN 'org' || @str(c_nationkey) END AS org
 FROM c""")
 def project_config_settings(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    n = F.col("c_nationkey").cast("string")
-    forms = [
-        F.lit('{"version":1}'),
-        F.lit('{"version":1,"upload":{"enabled":false,"linkPrs":true}}'),
-        F.concat(F.lit('{"version":1,"upload":{"minCost":'), (F.col("c_nationkey") + 10.5).cast("string"), F.lit("}}")),
-        F.lit('{"version":1,"uplaod":{}}'),
-        F.concat(
-            F.lit('{"$schema":"x","version":1,"org":"org'), n, F.lit('","upload":{"concurrency":'),
-            (F.col("c_nationkey") + 1).cast("string"), F.lit("}}"),
-        ),
-        F.lit('{"version":1,'),
-        F.lit('{"version":1,"upload":{"concurrency":"4"}}'),
-        F.lit('{"upload":{"auto":true}}'),
-    ]
-    text = F.element_at(F.array(*forms), (F.col("c_custkey") % 8 + 1).cast("int"))
-    files = c.select(F.concat(F.lit("/w/"), F.col("c_custkey").cast("string")).alias("dir"), text.alias("content"))
-    return project_configs(files).select("dir", "error", "enabled", "min_cost", "concurrency", "link_prs", "org")
+    configs = project_configs(_config_files(spark, sf_dir, _CONFIG_FORMS))
+    return configs.select("dir", "error", "enabled", "min_cost", "concurrency", "link_prs", "org")
+
+
+@query(_forms_sql(_UPLOAD_FORMS) + """
+SELECT '/w/' || @str(c_custkey) AS dir, error, CASE WHEN form = 1 THEN 'claude' END AS providers, CASE WHEN form = 1 THEN '~/p' || @str(c_nationkey) || '*' END AS include,
+  CASE WHEN form = 1 THEN '~/p' || @str(c_nationkey) || '/x' END AS exclude, CASE WHEN form = 2 THEN false END AS enabled,
+  CASE WHEN form = 2 THEN ('2' || @str(c_nationkey))::BIGINT END AS concurrency, CASE WHEN form = 2 THEN 'org' || @str(c_nationkey) END AS org
+FROM c""")
+def upload_config_settings(spark, sf_dir):
+    """The older config form, with include and exclude globs."""
+    configs = upload_configs(_config_files(spark, sf_dir, _UPLOAD_FORMS))
+    lists = [F.array_join(c, ",").alias(c) for c in ("providers", "include", "exclude")]
+    return configs.select("dir", "error", *lists, "enabled", "concurrency", "org")
+
+
+@query("""
+SELECT '/w/' || @str(c_custkey) || '/a/b' AS cwd,
+  CASE WHEN c_custkey % 3 = 0 THEN '/w/' || @str(c_custkey) WHEN c_custkey % 3 = 1 THEN '/w/' || @str(c_custkey) || '/a' END AS config_dir,
+  CASE WHEN c_custkey % 3 = 0 THEN 'project' WHEN c_custkey % 3 = 1 THEN 'upload' END AS form
+FROM customer""")
+def governing_configs(spark, sf_dir):
+    """Nearest config upwards of each directory; a project config wins over a nearer upload config."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/w/"), F.col("c_custkey").cast("string")).alias("dir"))
+    return nearest_configs(
+        c.select(F.concat("dir", F.lit("/a/b")).alias("cwd")),
+        c.where("c_custkey % 3 = 0").select("dir"),
+        c.where("c_custkey % 3 < 2").select(F.concat("dir", F.lit("/a")).alias("dir")),
+    )
 
 
 _JOBS = _CLASSIFIED + """,

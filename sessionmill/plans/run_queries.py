@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,14 @@ from sessionmill.plans.redaction_queries import (
 )
 from sessionmill.plans.registry import query
 from sessionmill.plans.report_queries import _COOLDOWN, _EVENTS, _progress
-from sessionmill.plans.upload import UploadRun, read_listed, run_upload
+from sessionmill.plans.upload import UploadRun, all_acked, read_listed, run_upload
 from sessionmill.plans.usage_queries import _FACTS, _HASHED, _UUID5
 from sessionmill.plans.views import view
+from sessionmill.sources import ledger as L
 from sessionmill.sources.files import list_files
-from sessionmill.sources.records import read_ndjson, typed_records
+from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
 from sessionmill.sources.sinks import write_bodies
+from sessionmill.streaming.ingest import ingest_listings
 from sessionmill.streaming.triggers import gate_stream
 
 
@@ -47,20 +50,39 @@ def _chat_files(spark: SparkSession, sf_dir: str, out: str) -> str:
     return f"{out}/*/*/*.txt"
 
 
-@query(_FACTS + """
-SELECT s.conv_id, round(coalesce(t.cost, 0), 6) AS total_cost_usd, @big(s.turns) AS turn_count, t.primary_model
-FROM (SELECT path, conv_id, count(*) FILTER (WHERE role = 'user') AS turns FROM costs GROUP BY path, conv_id) s LEFT JOIN totals t USING (path)""")
+# Hashes of the session files, from the lines they are made of.
+_FILE_HASHES = """
+hashes AS (
+  SELECT conv_id, @sha256('v0.2/chunks' || chr(10) || @sha256('v0.2' || chr(10) || '[' || string_agg(raw, ',' ORDER BY line_no) || ']')) AS content_hash,
+    @sha256(string_agg(raw || chr(10), '' ORDER BY line_no)) AS raw_hash, @big(count(*)) AS n_records
+  FROM v_records GROUP BY conv_id)
+"""
+
+
+@query(_FACTS + "," + _FILE_HASHES + """
+SELECT s.conv_id, round(coalesce(t.cost, 0), 6) AS total_cost_usd, @big(s.turns) AS turn_count, t.primary_model, content_hash
+FROM (SELECT path, conv_id, count(*) FILTER (WHERE role = 'user') AS turns FROM costs GROUP BY path, conv_id) s LEFT JOIN totals t USING (path) JOIN hashes USING (conv_id)""")
 def scanned_session_files(spark, sf_dir):
-    """Metrics of sessions read back from NDJSON files, small ones whole and larger ones in splits."""
+    """Metrics and hashes of sessions read back from NDJSON files, small ones whole and larger ones in splits."""
     glob = _chat_files(spark, sf_dir, _folder(spark, "files"))
     records = read_ndjson(spark, glob, "claude-code", whole_limit=8192)
-    m = U.session_metrics(typed_records(records))
+    m = U.session_metrics(typed_records(records)).join(file_hashes(records), ["source_kind", "path"])
     return m.select(
-        F.regexp_extract("path", "body=c([0-9]+)/", 1).cast("bigint").alias("conv_id"),
-        F.round("total_cost_usd", 6).alias("total_cost_usd"), "turn_count", "primary_model",
+        _conv().alias("conv_id"), F.round("total_cost_usd", 6).alias("total_cost_usd"), "turn_count", "primary_model", "content_hash"
     )
 
 
+@query("WITH " + _FILE_HASHES + "SELECT conv_id, n_records, raw_hash FROM hashes WHERE conv_id % 2 = 0")
+def listed_records(spark, sf_dir):
+    """Records of listed files only; one listed file is gone and does no harm."""
+    glob = _chat_files(spark, sf_dir, _folder(spark, "listed"))
+    listing = list_files(spark, glob, "claude-code")
+    gone = listing.limit(1).withColumn("path", F.lit("/gone/[x]/{a,b}/*.jsonl"))
+    wanted = listing.where(_conv().cast("bigint") % 2 == 0).unionByName(gone)
+    records = read_listed(wanted, {"claude-code": glob})
+    return records.groupBy(_conv().alias("conv_id")).agg(F.count("*").alias("n_records"), F.max("raw_hash").alias("raw_hash"))
+
+
 @query("""
 SELECT conv_id, 'claude-code' AS source_kind, @big(sum(strlen(raw)) + count(*)) AS size_bytes FROM v_records GROUP BY conv_id""")
 def listed_session_files(spark, sf_dir):
@@ -70,40 +92,85 @@ def listed_session_files(spark, sf_dir):
     )
 
 
-@query(_FACTS + """,
+_SENT = _FACTS + "," + _FILE_HASHES + """,
 ids AS (SELECT path, conv_id, arg_min(native_id, turn) AS native FROM v_lines GROUP BY path, conv_id),
 s AS (
   SELECT ids.conv_id, round(coalesce(t.cost, 0), 6) AS cost, b.answered,
     CASE WHEN native LIKE 'legacy-%' THEN 'c' || @str(ids.conv_id) ELSE native END AS sid
   FROM ids JOIN sessions b USING (path) LEFT JOIN totals t USING (path)),
-kept AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sid ORDER BY conv_id DESC) = 1)
-SELECT conv_id, 'new' AS kind, CASE WHEN cost < 10 THEN 'metadata' ELSE 'full' END AS tier, CASE WHEN cost < 10 THEN cost END AS cost_usd
-FROM kept WHERE answered AND cost >= 0.01""")
-def upload_run(spark, sf_dir):
-    """A whole upload run over session files: classify, price, redact, audit, write, upsert."""
-    folder = _folder(spark, "upload")
+kept AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sid ORDER BY conv_id DESC) = 1),
+sent AS (SELECT * FROM kept JOIN hashes USING (conv_id) WHERE answered AND cost >= 0.01)
+"""
+
+
+def _conv() -> F.Column:
+    return F.regexp_extract("path", "body=c([0-9]+)/", 1).cast("bigint")
+
+
+def _chat_run(spark, sf_dir, name):
+    """A listing of the session files, a way to read them, and a run that sends them."""
+    folder = _folder(spark, name)
     glob = _chat_files(spark, sf_dir, f"{folder}/files")
-    conv = F.regexp_extract("path", "body=c([0-9]+)/", 1)
-    listing = list_files(spark, glob, "claude-code").withColumn("mtime_ms", conv.cast("double")).drop("machine_id")
+    listing = list_files(spark, glob, "claude-code").withColumn("mtime_ms", _conv().cast("double")).drop("machine_id")
     run = UploadRun("r1", f"{folder}/out", f"{folder}/ledger", context(), "2026-01-01T00:00:00.000Z")
-    run_upload(listing, lambda wanted: read_listed(wanted, {"claude-code": glob}), run)
-    entries = spark.read.parquet(f"{run.folder}/entries")
-    return entries.select(
-        conv.cast("bigint").alias("conv_id"), "kind", "tier", F.round("total_cost_usd", 6).alias("cost_usd")
+    return listing, lambda wanted: read_listed(wanted, {"claude-code": glob}), run
+
+
+@query(_SENT + """
+SELECT conv_id, 'new' AS kind, CASE WHEN cost < 10 THEN 'metadata' ELSE 'full' END AS tier, CASE WHEN cost < 10 THEN cost END AS cost_usd, content_hash, raw_hash
+FROM sent""")
+def upload_run(spark, sf_dir):
+    """A whole upload run over session files: classify, price, redact, audit, write, upsert."""
+    listing, read, run = _chat_run(spark, sf_dir, "upload")
+    run_upload(listing, read, run)
+    return spark.read.parquet(f"{run.folder}/entries").select(
+        _conv().alias("conv_id"), "kind", "tier", F.round("total_cost_usd", 6).alias("cost_usd"), "content_hash", "raw_hash"
     )
 
 
+@query(_SENT + """
+SELECT conv_id, 'r1' AS run, CASE WHEN conv_id % 3 = 0 THEN 'acked' ELSE 'pending' END AS status, CASE WHEN conv_id % 3 = 0 THEN 'r1-claude' ELSE 'r2-claude' END AS ledger FROM sent
+UNION ALL SELECT conv_id, 'r2', 'acked', 'r2-claude' FROM sent WHERE conv_id % 3 <> 0""")
+def resumed_run(spark, sf_dir):
+    """A delivery that answers a third of the entries, then a run that sends the rest; and a repeat of it."""
+    listing, read, run = _chat_run(spark, sf_dir, "resume")
+    run_upload(listing, read, run, deliver=lambda entries: all_acked(entries.where(_conv() % 3 == 0)))
+    again = replace(run, run_id="r2")
+    run_upload(listing, read, again)
+    run_upload(listing, read, again)  # committed already: nothing moves
+    states = None
+    for one in (run, again):
+        entries = spark.read.parquet(f"{one.folder}/entries").select("session_id", _conv().alias("conv_id"))
+        part = spark.read.parquet(f"{one.folder}/states").join(entries, "session_id").select(
+            "session_id", "conv_id", F.lit(one.run_id).alias("run"), "status"
+        )
+        states = part if states is None else states.unionByName(part)
+    ledger = L.read_ledger(spark, run.ledger_path).select("session_id", F.col("manifest_id").alias("ledger"))
+    return states.join(ledger, "session_id").drop("session_id")
+
+
+@query(_SENT + "SELECT conv_id, content_hash, 'st-0-claude' AS manifest_id FROM sent")
+def ingested_runs(spark, sf_dir):
+    """Listings as a stream: each micro-batch is a run of its own, and the ledger follows."""
+    listing, read, run = _chat_run(spark, sf_dir, "ingest")
+    listing.select("source_kind", "path", "size_bytes", "mtime_ms").write.parquet(f"{run.out}/listings")
+    stream = ingest_listings(spark, f"{run.out}/listings", f"{run.out}/checkpoint", replace(run, run_id="st"), read)
+    stream.awaitTermination()
+    ledger = L.read_ledger(spark, run.ledger_path)
+    return ledger.withColumn("path", F.col("source_file_path")).select(_conv().alias("conv_id"), "content_hash", "manifest_id")
+
+
 @query(f"""
 SELECT doc_id, @sha256(mails) AS mails, round(bits, 6) AS bits, {_UUID5} AS id, key
 FROM (SELECT doc_id, {_interleave_sql("text", _MAIL, f"CASE WHEN lower(m) = '{OWNER}' THEN m ELSE " + _pseudonym_sql("user_", "third-party-email", "lower(m)") + " END")} AS mails,
-  {_entropy_sql("substr(md5(text), 1, 12)")} AS bits, {_pseudonym_sql("proj_", "project-name", "md5(text)")} AS key, {_HASHED.format("text")} FROM v_text)""")
+  {_entropy_sql("text")} AS bits, {_pseudonym_sql("proj_", "project-name", "text")} AS key, {_HASHED.format("text")} FROM v_text)""")
 def sql_functions(spark, sf_dir):
     """The registered SQL functions over whole texts."""
     register_sql_functions(spark, UPLOAD_ID, OWNER)
     view(spark, sf_dir, "v_text", heavy=True).createOrReplaceTempView("texts_to_redact")
     return spark.sql(
-        "SELECT doc_id, sha2(redact_emails(text), 256) AS mails, round(shannon_entropy(substr(md5(text), 1, 12)), 6) AS bits, "
-        "session_uuid(text) AS id, pseudonym('project-name', md5(text)) AS key FROM texts_to_redact"
+        "SELECT doc_id, sha2(redact_emails(text), 256) AS mails, round(shannon_entropy(text), 6) AS bits, "
+        "session_uuid(text) AS id, pseudonym('project-name', text) AS key FROM texts_to_redact"
     )
 
 

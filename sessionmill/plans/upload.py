@@ -1,8 +1,12 @@
 """One upload run over a fleet's session files: what is new goes out redacted, the ledger follows.
 
-Every stage that later stages read more than once is written to the run's folder and read back. A
-run that dies can be started again under the same id; it overwrites its own folder, and the ledger
-moves only after everything else is in place.
+The run's folder holds what goes out: redacted payload, manifest, entry states, events, summary. Stages
+that are read more than once are cut by checkpoints, and the text of sessions is not among them: it
+is read again for the sessions that are sent.
+
+The ledger's commit names the run, and it is the last thing written. A run that dies before it can be
+started again under the same id and writes over its own folder. After it the same call changes
+nothing and returns the summary it left. The ledger takes up acknowledged sessions only.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from sessionmill.operators import redact as R
 from sessionmill.operators import reports as O
 from sessionmill.operators import selection as S
 from sessionmill.operators import usage as U
+from sessionmill.operators.ordering import durable
 from sessionmill.operators.identity import resolve_identity, session_facts
 from sessionmill.operators.projects import with_project
 from sessionmill.sources import ledger as L
 from sessionmill.sources import sinks
 from sessionmill.sources.providers import by_source_kind
-from sessionmill.sources.records import RECORD_ROWS, file_hashes, read_ndjson, typed_records
+from sessionmill.sources.records import RECORD_ROWS, content_hash, file_hashes, read_ndjson, typed_records
 
 SESSION = ["source_kind", "path"]
 
@@ -40,6 +45,8 @@ class UploadRun:
     uploaded_at: str
     min_usd: float = MIN_FULL_UPLOAD_USD
     limit: int | None = None
+    endpoint: str = ""
+    user_id: str = ""
 
     @property
     def folder(self) -> str:
@@ -51,81 +58,94 @@ def _saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_listed(
-    wanted: DataFrame, globs: dict[str, str], whole_limit: int | None = None, max_paths: int = 10_000
-) -> DataFrame:
-    """Records of the listed files. A short list becomes the scan's own path list; a long one is
-    not brought to the driver, the glob is scanned and joined with it instead."""
+def read_listed(wanted: DataFrame, globs: dict[str, str], whole_limit: int | None = None) -> DataFrame:
+    """Records of the listed files: each glob is scanned from the oldest wanted file on, and joined
+    with the wanted paths before anything is parsed. The list itself may have any length."""
     spark = wanted.sparkSession
     extra = {} if whole_limit is None else {"whole_limit": whole_limit}
-    parts = []
-    for kind, glob in globs.items():
-        of_kind = wanted.where(F.col("source_kind") == kind).select("path")
-        short = of_kind.limit(max_paths + 1).collect()
-        if not short:
-            continue
-        if len(short) <= max_paths:
-            parts.append(read_ndjson(spark, [r.path for r in short], kind, **extra))
-        else:
-            parts.append(read_ndjson(spark, glob, kind, **extra).join(of_kind, "path", "left_semi"))
-    if not parts:
-        return spark.createDataFrame([], RECORD_ROWS)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("source_kind", "path", "line_no", "raw", "is_malformed", "file_hash")
+    out = spark.createDataFrame([], RECORD_ROWS)
+    oldest = wanted.where(F.col("source_kind").isin(*globs)).groupBy("source_kind").agg(F.min("mtime_ms").alias("ms"))
+    for row in oldest.collect():  # one per provider
+        of_kind = wanted.where(F.col("source_kind") == row.source_kind).select("path")
+        out = out.unionByName(
+            read_ndjson(spark, globs[row.source_kind], row.source_kind, only=of_kind, since_ms=row.ms, **extra)
+        )
+    return out
+
+
+def all_acked(entries: DataFrame) -> DataFrame:
+    """Acks of a run whose payload table is the destination: writing it is the delivery."""
+    return entries.select("session_id", F.lit("acked").alias("status"), F.lit(None).cast("string").alias("reason"))
 
 
 def run_upload(
     listing: DataFrame, read_records: Callable[[DataFrame], DataFrame], run: UploadRun,
-    sidecars: DataFrame | None = None,
+    sidecars: DataFrame | None = None, deliver: Callable[[DataFrame], DataFrame] = all_acked,
 ) -> DataFrame:
     """Classify, price, redact and write one batch; returns the summary row.
 
     `listing` has source_kind, path, size_bytes, mtime_ms; `read_records` turns the rows that must
-    be read into records (see `read_listed`).
+    be read into records (see `read_listed`). `deliver` gets the entries and answers with
+    (session_id, status, reason), status being acked, failed or skipped; entries it does not
+    answer stay pending and are sent again by a later run.
     """
     spark = listing.sparkSession
+    if L.is_committed(spark, run.ledger_path, run.run_id):
+        return spark.read.parquet(f"{run.folder}/summary")
     rules = run.redaction.rules()
     ledger = L.read_ledger(spark, run.ledger_path)
-    checked = _saved(C.stat_check(listing, ledger), f"{run.folder}/listing")
+    own = L.of_user(ledger, run.endpoint, run.user_id)
+    checked = durable(C.stat_check(listing, own))
 
-    records = _saved(typed_records(read_records(checked.where("NOT stat_hit"))), f"{run.folder}/records")
-    sessions = resolve_identity(session_facts(records)).join(file_hashes(records, sidecars), SESSION)
+    texts = read_records(checked.where("NOT stat_hit"))
+    records = durable(typed_records(texts).drop("raw"))
+    hashes = durable(file_hashes(records, sidecars, texts))
+    sessions = resolve_identity(session_facts(records)).join(hashes, SESSION)
     metrics = U.session_metrics(records)
-    classified = C.classify(checked, sessions, ledger)
+    classified = C.classify(checked, sessions, own)
     facts = classified.join(metrics, SESSION, "left").join(
         sessions.select(*SESSION, "session_cwd", "recorded_branch"), SESSION, "left"
     )
-    facts = _saved(with_project(facts), f"{run.folder}/classified")
+    facts = durable(with_project(facts))
 
     will = C.newest_first(S.eligible(facts), run.limit) if run.limit else S.eligible(facts)
-    will = _saved(will, f"{run.folder}/will_upload")
+    will = durable(will)
 
-    # Only new and updated full-tier sessions pay for redaction.
-    full = U.with_tier(will, run.min_usd).where("tier = 'full'").select(*SESSION, "session_id")
-    raw = records.select(*SESSION, "line_no", "raw")
+    # Only new and updated full-tier sessions are read again and pay for redaction.
+    full = U.with_tier(will, run.min_usd).where("tier = 'full'").select(*SESSION, "session_id", "mtime_ms")
+    raw = read_records(full.drop("session_id")).select(*SESSION, "line_no", "raw")
     if sidecars is not None:
         raw = raw.unionByName(sidecars.select(*SESSION, "line_no", "raw"))
-    redacted = _saved(R.redact_json(raw.join(full, SESSION), "raw", rules), f"{run.folder}/redacted")
-    # The audit runs before anything leaves the run's folder.
+    redacted = durable(R.redact_json(raw.join(full.drop("mtime_ms"), SESSION), "raw", rules))
+    # The audit runs before anything leaves.
     R.assert_no_leak_json(redacted, "raw", rules)
 
     manifest_id = F.concat(F.lit(f"{run.run_id}-"), by_source_kind(lambda s: F.lit(s.provider_id)))
-    raw_hashes = sessions.select("path", F.col("content_hash").alias("raw_hash"))
+    raw_hashes = hashes.select("path", "raw_hash")
     jobs = M.upload_jobs(will.drop(*U.METRICS), metrics, raw_hashes, min_usd=run.min_usd)
-    entries = _saved(
-        M.manifest_entries(jobs, M.body_bytes(redacted, SESSION), manifest_id), f"{run.folder}/entries"
-    )
+    entries = M.manifest_entries(jobs, M.body_bytes(redacted, SESSION), manifest_id)
+    digests = content_hash(redacted, ["path"]).select("path", F.col("content_hash").alias("redacted_hash"))
+    entries = _saved(entries.join(digests, "path", "left"), f"{run.folder}/entries")
     sinks.write_payloads(redacted.withColumn("manifest_id", manifest_id), f"{run.folder}/payload")
-    sinks.write_manifests(M.manifest_headers(entries), entries, f"{run.folder}/manifest")
+    sinks.write_manifests(
+        M.manifest_headers(entries).withColumns({"endpoint": F.lit(run.endpoint), "user_id": F.lit(run.user_id)}),
+        entries, f"{run.folder}/manifest",
+    )
+
+    states = _saved(M.entry_states(entries, deliver(entries)), f"{run.folder}/states")
+    sinks.write_events(M.batch_events(states, run.uploaded_at), f"{run.folder}/events")
+    sized = will.join(entries.select("path", F.col("expected_bytes").alias("byte_size")), "path", "left")
+    summary = O.upload_summary(facts, sized, run.limit)
+    vanished = checked.where("NOT stat_hit").join(records.select(*SESSION).distinct(), SESSION, "left_anti")
+    done = _saved(summary.withColumn("without_records", F.lit(vanished.count())), f"{run.folder}/summary")
 
-    acked = entries.select(
+    acked = entries.join(states.where("status = 'acked'").select("session_id", "manifest_id"), ["session_id", "manifest_id"])
+    moved = acked.select(
         "session_id", "content_hash", F.lit(run.uploaded_at).alias("last_uploaded_at"), "manifest_id",
         F.col("path").alias("source_file_path"), "mtime_ms",
         F.col("size_bytes").alias("byte_size_on_disk"), "derivation",
         F.lit(POLICY_VERSION).alias("policy_version"),
+        F.lit(run.endpoint).alias("endpoint"), F.lit(run.user_id).alias("user_id"),
     )
-    L.write_ledger(L.upsert(ledger, acked), run.ledger_path)
-    sized = will.join(entries.select("path", F.col("expected_bytes").alias("byte_size")), "path", "left")
-    return O.upload_summary(facts, sized, run.limit)
+    L.write_ledger(L.upsert(ledger, moved), run.ledger_path, run.run_id)
+    return done

@@ -395,15 +395,16 @@ def path_parts(spark, sf_dir):
 
 
 @query("""
-SELECT path, @sha256('v0.2' || chr(10) || '[' || string_agg(raw, ',' ORDER BY line_no) || ']') AS content_hash, @big(count(*)) AS record_count
-FROM v_records GROUP BY path
+SELECT path, @sha256('v0.2/chunks' || chr(10) || string_agg(digest, '' ORDER BY chunk)) AS content_hash, @big(sum(n)) AS record_count
+FROM (SELECT path, line_no // 65536 AS chunk, @sha256('v0.2' || chr(10) || '[' || string_agg(raw, ',' ORDER BY line_no) || ']') AS digest, count(*) AS n
+      FROM v_records GROUP BY ALL) GROUP BY path
 """)
 def session_content_hash(spark, sf_dir):
     return content_hash(view(spark, sf_dir, "v_records", heavy=True), ["path"])
 
 
 @query("""
-SELECT doc_id, @sha256('v0.2' || chr(10) || '[{"doc":' || @str(doc_id) || '},' || raw || ',{"_raw":"tail ' || @str(doc_id) || '"}]') AS content_hash
+SELECT doc_id, @sha256('v0.2/chunks' || chr(10) || @sha256('v0.2' || chr(10) || '[{"doc":' || @str(doc_id) || '},' || raw || ',{"_raw":"tail ' || @str(doc_id) || '"}]')) AS content_hash
 FROM v_files
 """)
 def file_content_hash(spark, sf_dir):

@@ -22,6 +22,11 @@ def local_path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
+def scanned_path(c: Column) -> Column:
+    """Plain path out of _metadata.file_path, which is percent-encoded (a plus stands for itself)."""
+    return local_path(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))))
+
+
 def existing(load: Callable[[], DataFrame]) -> DataFrame | None:
     """The result of a read, or None if its root or glob leads to no file."""
     try:

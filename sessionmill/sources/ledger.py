@@ -12,11 +12,11 @@ LEDGER_VERSION = 2
 LEDGER_SCHEMA = (
     "session_id string, content_hash string, last_uploaded_at string, manifest_id string, "
     "source_file_path string, mtime_ms double, byte_size_on_disk bigint, derivation string, "
-    "policy_version string"
+    "policy_version string, endpoint string, user_id string"
 )
 _OPTIONAL = [
     ("source_file_path", "string"), ("mtime_ms", "double"), ("byte_size_on_disk", "bigint"),
-    ("derivation", "string"), ("policy_version", "string"),
+    ("derivation", "string"), ("policy_version", "string"), ("endpoint", "string"), ("user_id", "string"),
 ]
 
 
@@ -36,10 +36,32 @@ def migrate(raw: DataFrame) -> DataFrame:
     return raw.where(ok).select(*names)
 
 
+OWNER = ["endpoint", "user_id"]
+
+
+def _owned(ledger: DataFrame) -> DataFrame:
+    """Entries without an owner, from older versions, belong to the unnamed one."""
+    for name in OWNER:
+        value = F.coalesce(name, F.lit("")) if name in ledger.columns else F.lit("")
+        ledger = ledger.withColumn(name, value)
+    return ledger
+
+
+def of_user(ledger: DataFrame, endpoint: str, user_id: str) -> DataFrame:
+    """The entries of one endpoint and user."""
+    return _owned(ledger).where((F.col("endpoint") == endpoint) & (F.col("user_id") == user_id))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries of `new` replace those of `old` with the same id; the last one in `new` wins."""
-    newest = latest_per_key(new, ["session_id"], F.col("last_uploaded_at"))
-    return old.join(newest, "session_id", "left_anti").unionByName(newest)
+    """Entries of `new` replace those of `old` with the same owner and id; the last one in `new` wins.
+
+    Of entries of one time the one with the greatest path, then hash, counts as last.
+    """
+    columns = old.columns
+    old, new, key = _owned(old), _owned(new), [*OWNER, "session_id"]
+    ties = [c for c in ("source_file_path", "content_hash") if c in new.columns]
+    newest = latest_per_key(new, key, F.struct("last_uploaded_at", *ties))
+    return old.join(newest, key, "left_anti").unionByName(newest).select(*columns)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +72,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return migrate(spark.read.parquet(f"{path}/generation={current}"))
 
 
-def write_ledger(ledger: DataFrame, path: str) -> int:
+def write_ledger(ledger: DataFrame, path: str, run_id: str = "") -> int:
     """Write the next generation beside the current one, then commit it with one more row.
 
     A job that dies half way leaves no commit, so the old generation stays in force and the next
-    attempt overwrites the leftover. One writer per ledger.
+    attempt overwrites the leftover. The commit names the run. One writer per ledger.
     """
     spark = ledger.sparkSession
     current = _current_generation(spark, path)
@@ -64,11 +86,21 @@ def write_ledger(ledger: DataFrame, path: str) -> int:
         .write.mode("overwrite")
         .parquet(f"{path}/generation={following}")
     )
-    commit = spark.range(1).select(F.lit(following).alias("generation"))
+    commit = spark.range(1).select(F.lit(following).alias("generation"), F.lit(run_id).alias("run_id"))
     commit.write.mode("append").parquet(f"{path}/commits")
     return following
 
 
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    return existing(lambda: spark.read.schema("generation int, run_id string").parquet(f"{path}/commits"))
+
+
+def is_committed(spark: SparkSession, path: str, run_id: str) -> bool:
+    """Whether a run's entries are in the ledger already."""
+    commits = _commits(spark, path)
+    return commits is not None and not commits.where(F.col("run_id") == run_id).isEmpty()
+
+
 def _current_generation(spark: SparkSession, path: str) -> int | None:
-    commits = existing(lambda: spark.read.schema("generation int").parquet(f"{path}/commits"))
+    commits = _commits(spark, path)
     return None if commits is None else commits.agg(F.max("generation")).first()[0]

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sessionmill.functions.hashing import POLICY_VERSION
 from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
-from sessionmill.sources.files import existing
+from sessionmill.sources.files import existing, scanned_path
 
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
+#: Larger files are read in splits. Lines, numbers and hashes are the same either way.
+WHOLE_FILE_LIMIT = 32 * 1024 * 1024
+CHUNK_LINES = 65_536
 
 RECORD_ROWS = (
-    "source_kind string, path string, line_no bigint, raw string, is_malformed boolean, file_hash string"
+    "source_kind string, path string, line_no bigint, raw string, is_malformed boolean, file_hash string, "
+    "raw_hash string, is_split boolean"
 )
 # Text fields are VARIANT so that a number or object in their place can be told from a string.
 RECORD_SCHEMA = """
@@ -59,10 +63,28 @@ def _text_records(text: Column) -> Column:
     )
 
 
-def _hash_of(raws: Column) -> Column:
+def _chunk_digest(raws: Column) -> Column:
     return F.sha2(F.concat(F.lit(POLICY_VERSION + "\n["), F.array_join(raws, ","), F.lit("]")), 256)
 
 
+def _hash_of_digests(digests: Column) -> Column:
+    """The content hash: policy and the digests of all chunks, for sessions of any length."""
+    return F.sha2(F.concat(F.lit(POLICY_VERSION + "/chunks\n"), F.array_join(digests, "")), 256)
+
+
+def _hash_of(records: Column) -> Column:
+    """Content hash of an array of records that stand in line order."""
+    last = F.coalesce(F.try_element_at(F.transform(records, lambda x: x["line_no"]), F.lit(-1)), F.lit(0))
+    chunks = F.transform(
+        F.sequence(F.lit(0), (last / CHUNK_LINES).cast("int")),
+        lambda c: F.transform(
+            F.filter(records, lambda x: F.floor(x["line_no"] / CHUNK_LINES) == c), lambda x: x["raw"]
+        ),
+    )
+    full = F.filter(chunks, lambda raws: F.size(raws) > 0)  # a chunk of blank lines has no digest
+    return _hash_of_digests(F.transform(full, _chunk_digest))
+
+
 def explode_ndjson(texts: DataFrame, column: str = "text") -> DataFrame:
     """One row per non-blank line of a whole-file text column. No shuffle.
 
@@ -71,7 +93,7 @@ def explode_ndjson(texts: DataFrame, column: str = "text") -> DataFrame:
     """
     keep = [c for c in texts.columns if c != column]
     rows = texts.select(*keep, _text_records(F.col(column)).alias("_records"))
-    file_hash = _hash_of(F.transform("_records", lambda x: x["raw"]))
+    file_hash = _hash_of(F.col("_records"))
     exploded = unnest(rows.withColumn("_hash", file_hash), [*keep, "_hash"], "_records", "_r")
     return exploded.select(
         *keep, "_r.line_no", "_r.raw", "_r.is_malformed",
@@ -93,44 +115,56 @@ def explode_json_array(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def read_ndjson(
-    spark: SparkSession, paths: str | list[str], source_kind: str, whole_limit: int = WHOLE_FILE_LIMIT
+    spark: SparkSession,
+    paths: str | list[str],
+    source_kind: str,
+    whole_limit: int = WHOLE_FILE_LIMIT,
+    only: DataFrame | None = None,
+    since_ms: float | None = None,
 ) -> DataFrame:
-    """Records of NDJSON files. Small files are read whole, large ones in splits.
+    """Records of NDJSON files below a glob. Small files are read whole, large ones in splits.
 
-    The split branch never holds a file in one row: a line's number is its block's byte offset
-    plus its position in the block, which grows along the file and is unique, as a block has no
-    more lines than bytes. A missing root gives no records.
+    The split branch never holds a file in one row: a line's number is its place in its block plus
+    the lines of the file's earlier blocks, which come from one row per block. So both branches
+    number lines alike, however the splits fall. `only` (path) and `since_ms` choose files before
+    anything is parsed; the time bound also prunes the listing. Names are never taken as patterns,
+    and a chosen file that is gone is just not there. A missing root gives no records.
     """
-    reader = spark.read.option("ignoreMissingFiles", True)
-    if existing(lambda: reader.text(paths, wholetext=True)) is None:
+    found = existing(lambda: spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True))
+    if found is None:
         return spark.createDataFrame([], RECORD_ROWS)
+    path = scanned_path(F.col("_metadata.file_path"))
     size = F.col("_metadata.file_size")
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    whole = (
-        reader.text(paths, wholetext=True)
-        .where(size <= whole_limit)
-        .select(F.lit(source_kind).alias("source_kind"), path.alias("path"), F.col("value").alias("text"))
+
+    def chosen(files: DataFrame, fits: Column, *more: Column) -> DataFrame:
+        files = files.where(fits)
+        if since_ms is not None:
+            bound = F.timestamp_millis(F.lit(int(since_ms)))
+            files = files.where(F.col("_metadata.file_modification_time") >= bound)
+        files = files.select(F.lit(source_kind).alias("source_kind"), path.alias("path"), "value", *more)
+        return files if only is None else files.join(only.select("path"), "path", "left_semi")
+
+    whole = chosen(found, size <= whole_limit).withColumn("raw_hash", F.sha2("value", 256))
+    small = explode_ndjson(whole, "value").select(
+        "source_kind", "path", "line_no", "raw", "is_malformed", "file_hash",
+        F.when(F.col("file_hash").isNotNull(), F.col("raw_hash")).alias("raw_hash"),
+        F.lit(False).alias("is_split"),
     )
-    split = (
-        spark.read.option("ignoreMissingFiles", True)
-        .option("lineSep", "\n")
-        .text(paths)
-        .where(size > whole_limit)
-        .select(
-            F.lit(source_kind).alias("source_kind"),
-            path.alias("path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-            "value",
-        )
+    split = chosen(
+        spark.read.option("ignoreMissingFiles", True).option("lineSep", "\n").text(paths),
+        size > whole_limit,
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    first = split.groupBy("path", "_block").agg(F.min("_row").alias("_first"))
+    blocks = split.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     line = trim_blank(F.col("value"))
     large = (
-        split.join(first, ["path", "_block"])
+        split.join(blocks, ["path", "_block"])
         .select(
             "source_kind", "path",
-            (F.col("_block") + F.col("_row") - F.col("_first")).alias("line_no"),
+            (F.col("_base") + F.col("_row") - F.col("_first")).alias("line_no"),
             line.alias("_line"),
         )
         .where("_line <> ''")
@@ -139,8 +173,10 @@ def read_ndjson(
         "source_kind", "path", "line_no",
         *[c.alias(n) for n, c in _record(F.col("_line"), F.col("_ok")).items()],
         F.lit(None).cast("string").alias("file_hash"),
+        F.lit(None).cast("string").alias("raw_hash"),
+        F.lit(True).alias("is_split"),
     )
-    return explode_ndjson(whole).unionByName(large)
+    return small.unionByName(large)
 
 
 def typed_records(records: DataFrame) -> DataFrame:
@@ -181,57 +217,51 @@ def typed_records(records: DataFrame) -> DataFrame:
 
 
 def content_hash_of_text(text: Column) -> Column:
-    """Change-detection hash of a whole NDJSON text: policy, then the records as a JSON array.
+    """Change-detection hash of a whole NDJSON text.
 
     Works inside one row, so hashing files read whole needs no shuffle.
     """
-    return _hash_of(F.transform(_text_records(text), lambda x: x["raw"]))
+    return _hash_of(_text_records(text))
 
 
-def content_hash(
-    records: DataFrame, keys: list[str], chunk_lines: int = 65_536
-) -> DataFrame:
+def content_hash(records: DataFrame, keys: list[str], chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """The same hash for sessions held as record rows.
 
-    Lines are gathered per chunk, never per session. A session of one chunk gets the plain hash.
-    A longer one gets a hash over its chunk hashes in order, so no task holds more than one chunk.
+    Lines are gathered per chunk of line numbers, never per session: a digest over each chunk's
+    records, then one over the digests in order. One formula, whatever the length.
     """
     chunk = F.floor(F.col("line_no") / chunk_lines)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
-    plain = _hash_of(F.transform(ordered, lambda x: x["raw"]))
-    chunks = records.groupBy(*keys, chunk.alias("_chunk")).agg(
-        plain.alias("_digest"), F.count("*").alias("_n")
-    )
+    digest = _chunk_digest(F.transform(ordered, lambda x: x["raw"]))
+    chunks = records.groupBy(*keys, chunk.alias("_chunk")).agg(digest.alias("_digest"), F.count("*").alias("_n"))
     digests = F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
-    joined = F.array_join(F.transform(digests, lambda x: x["_digest"]), "")
-    out = chunks.groupBy(*keys).agg(
-        F.count("*").alias("_chunks"),
-        F.min("_digest").alias("_only"),
-        joined.alias("_joined"),
+    return chunks.groupBy(*keys).agg(
+        _hash_of_digests(F.transform(digests, lambda x: x["_digest"])).alias("content_hash"),
         F.sum("_n").alias("record_count"),
     )
-    long_hash = F.sha2(F.concat(F.lit(POLICY_VERSION + "/chunks\n"), F.col("_joined")), 256)
-    return out.select(
-        *keys,
-        F.when(F.col("_chunks") == 1, F.col("_only")).otherwise(long_hash).alias("content_hash"),
-        "record_count",
-    )
 
 
-def file_hashes(records: DataFrame, appended: DataFrame | None = None) -> DataFrame:
-    """Content hash per (source_kind, path), by the cheapest way for each file.
+def file_hashes(
+    records: DataFrame, appended: DataFrame | None = None, texts: DataFrame | None = None
+) -> DataFrame:
+    """Content and raw hash per (source_kind, path).
 
-    Files read whole already carry theirs. Only files read in splits, and files with `appended`
-    records (their sidecars), have to be hashed over their rows.
+    Files read whole carry both. Only files read in splits, and files with `appended` records (their
+    sidecars), are hashed over their rows, found by a mark and not by a join. `texts` has the rows
+    with `raw`, where `records` is a table that no longer holds it. sha256 cannot be merged, so
+    the raw hash of a split file is a digest of its content hash.
     """
     keys = ["source_kind", "path"]
-    carried = records.where("file_hash IS NOT NULL").select(*keys, F.col("file_hash").alias("content_hash"))
-    rows = records.select(*keys, "line_no", "raw")
+    texts = records if texts is None else texts
+    carried = records.where("NOT is_split AND file_hash IS NOT NULL").select(
+        *keys, F.col("file_hash").alias("content_hash"), "raw_hash"
+    )
+    again = texts.where("is_split").select(*keys, "line_no", "raw")
     if appended is not None:
         changed = appended.select(*keys).distinct()
-        again = rows.join(carried, keys, "left_anti").unionByName(rows.join(changed, keys, "left_semi")).distinct()
-        again = again.unionByName(appended.select(*keys, "line_no", "raw"))
-        carried = carried.join(changed, keys, "left_anti")
-    else:
-        again = rows.join(carried, keys, "left_anti")
-    return carried.unionByName(content_hash(again, keys).drop("record_count"))
+        rows = texts.where("NOT is_split").select(*keys, "line_no", "raw").join(changed, keys, "left_semi")
+        again = again.unionByName(rows).unionByName(appended.select(*keys, "line_no", "raw"))
+    rehashed = content_hash(again, keys).select(*keys, F.col("content_hash").alias("_again"))
+    joined = carried.join(rehashed, keys, "full")
+    raw_hash = F.coalesce("raw_hash", F.sha2(F.concat(F.lit("split\n"), "_again"), 256))
+    return joined.select(*keys, F.coalesce("_again", "content_hash").alias("content_hash"), raw_hash.alias("raw_hash"))

@@ -26,4 +26,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    # Queries of the llm folder that SQL cannot express are tested there against plain versions.
+    assert set(entry.queries()) - set(entry.oracle_sql()) <= set(entry.LLM_QUERIES)

@@ -121,54 +121,67 @@ def test_identity(spark):
     assert (row.session_cwd, row.recorded_branch, row.native_session_id) == ("/w", "main", "x")
 
 
-def plain_hash(raws):
-    return hashlib.sha256(("v0.2\n[" + ",".join(raws) + "]").encode()).hexdigest()
+def chunked_hash(raws, size=65_536):
+    """Digest of the chunk digests; `raws` has one record per line."""
+    digests = [hashlib.sha256(("v0.2\n[" + ",".join(raws[i : i + size]) + "]").encode()).hexdigest() for i in range(0, len(raws), size)]
+    return hashlib.sha256(("v0.2/chunks\n" + "".join(digests)).encode()).hexdigest()
 
 
-def test_content_hash_plain_and_chunked(spark):
+def test_content_hash_of_rows_and_of_texts(spark):
     raws = [json.dumps({"i": i, "t": "é"}, ensure_ascii=False) for i in range(10)]
     rows = [("a", i, r) for i, r in enumerate(raws)] + [("b", 0, raws[0])]
     df = spark.createDataFrame(rows, "k string, line_no bigint, raw string").repartition(5)
     whole = {r.k: r.content_hash for r in content_hash(df, ["k"]).collect()}
-    assert whole == {"a": plain_hash(raws), "b": plain_hash(raws[:1])}
+    assert whole == {"a": chunked_hash(raws), "b": chunked_hash(raws[:1])}
     cut = {r.k: r.content_hash for r in content_hash(df, ["k"], chunk_lines=4).collect()}
-    parts = "".join(plain_hash(raws[i : i + 4]) for i in (0, 4, 8))
-    assert cut["a"] == hashlib.sha256(("v0.2/chunks\n" + parts).encode()).hexdigest()
-    assert cut["b"] == whole["b"]
+    assert cut["a"] == chunked_hash(raws, 4) and cut["b"] == whole["b"]
     text = "\n".join(raws) + "\n\nbad line\n"
     row = spark.createDataFrame([(text,)], "t string").select(content_hash_of_text(F.col("t")).alias("h")).first()
-    assert row.h == plain_hash([*raws, '{"_raw":"bad line"}'])
+    assert row.h == chunked_hash([*raws, '{"_raw":"bad line"}'])
 
 
-def test_file_scan_whole_and_split(spark, tmp_path):
+def test_file_scan_does_not_depend_on_splits(spark, tmp_path):
     d = tmp_path / ".claude" / "projects" / "p"
     d.mkdir(parents=True)
     lines = [json.dumps({"i": i, "pad": "x" * (i % 50)}) for i in range(3000)]
     (d / "big.jsonl").write_text("\r\n".join(lines) + "\r\n\r\nbroken\n")
     (d / "small.jsonl").write_text('{"a":1}\n')
     (d / "empty.jsonl").write_text("")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    glob = str(d / "*.jsonl")
+    want = [*lines, '{"_raw":"broken"}']
+    results = []
     try:
-        glob = str(d / "*.jsonl")
-        whole = read_ndjson(spark, glob, "claude-code")
-        split = read_ndjson(spark, glob, "claude-code", whole_limit=1000)
-        for df in (whole, split):
+        for size, limit in (("16384", 10**9), ("16384", 1000), ("70000", 1000), ("100m", 1000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = read_ndjson(spark, glob, "claude-code", whole_limit=limit)
             rows = df.where("path LIKE '%big%'").orderBy("line_no").collect()
-            assert [r.raw for r in rows] == [*lines, '{"_raw":"broken"}']
-            assert rows[-1].is_malformed
-        assert whole.count() == split.count() == 3002
-        hashes = {r.path[-9:]: r.content_hash for r in file_hashes(whole).collect()}
-        assert hashes["big.jsonl"] == plain_hash([*lines, '{"_raw":"broken"}'])
-        mixed = {r.path[-9:]: r.content_hash for r in file_hashes(split).collect()}
-        assert mixed["all.jsonl"] == hashes["all.jsonl"]
+            assert [r.raw for r in rows] == want and rows[-1].is_malformed
+            assert [r.line_no for r in rows] == [*range(3000), 3001]
+            assert {r.is_split for r in rows} == {limit < 10**9} and df.count() == 3002
+            results.append({r.path[-9:]: r for r in file_hashes(df).collect()})
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["big.jsonl"].content_hash for r in results} == {chunked_hash(want)}
+    assert results[0]["big.jsonl"].raw_hash == hashlib.sha256((d / "big.jsonl").read_bytes()).hexdigest()
+    assert {r["all.jsonl"].raw_hash for r in results} == {hashlib.sha256(b'{"a":1}\n').hexdigest()}
     listed = {r.path.rsplit("/", 1)[1]: r for r in list_files(spark, glob, "claude-code", "m1").collect()}
     # Spark does not list files without any byte.
     assert set(listed) == {"big.jsonl", "small.jsonl"}
     assert listed["small.jsonl"].size_bytes == 8 and listed["small.jsonl"].path.startswith("/")
 
 
+def test_hash_of_appended_records(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a":1}\n')
+    (tmp_path / "b.jsonl").write_text('{"b":1}\n')
+    df = read_ndjson(spark, str(tmp_path / "*.jsonl"), "claude-code")
+    path = str(tmp_path / "a.jsonl")
+    more = spark.createDataFrame([("claude-code", path, 2**62, "{}")], "source_kind string, path string, line_no bigint, raw string")
+    got = {r.path: r.content_hash for r in file_hashes(df, more).collect()}
+    digests = [hashlib.sha256(f"v0.2\n[{x}]".encode()).hexdigest() for x in ('{"a":1}', "{}")]
+    assert got[path] == hashlib.sha256(("v0.2/chunks\n" + "".join(digests)).encode()).hexdigest()
+    assert got[str(tmp_path / "b.jsonl")] == chunked_hash(['{"b":1}'])
+
+
 def test_sidecars(spark, tmp_path):
     d = tmp_path / "p" / "s1" / "tool-results"
     d.mkdir(parents=True)
