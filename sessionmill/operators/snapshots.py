@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.rows import unnest, unnest_map
-from sessionmill.functions.text import trim_blank, utf16_length
-from sessionmill.operators.ordering import carry_forward, first_per_key, running_sum
+from sessionmill.functions.text import UNICODE_BLANKS, trim_blank, utf16_length
+from sessionmill.operators.ordering import carry_forward, first_per_key
 from sessionmill.operators.projects import nearest_ancestor
 from sessionmill.operators.redact import RedactionContext, redact_text
 
@@ -24,6 +24,7 @@ INVENTORY_DIRS = {"skills": "skill", "commands": "slash_command", "agents": "age
 ARTIFACT_FILES = {"codex": ("AGENTS.md", ".codex/AGENTS.md"), "gemini": ("GEMINI.md", ".gemini/GEMINI.md"),
                   "cursor": ("AGENTS.md", None)}
 
+# A server line is `name: target - glyph word`, a remote target ends in its kind.
 _MCP_LINE = r"^(\S+):\s+(.+?)\s+-\s+([✓✗⏸])\s+.*$"
 _MCP_REMOTE = r"\s*\((?:HTTP|SSE)\)\s*$"
 
@@ -94,28 +95,28 @@ def declared_servers(servers: DataFrame, limit: int = MAX_DECLARED_SERVERS) -> D
 
 
 def plugins(docs: DataFrame) -> DataFrame:
-    """Plugin list blocks: a line with the pointer glyph opens a block, key lines follow."""
-    head, pair = r"^❯\s+(.+)$", r"^(Version|Scope|Status):\s*(.+)$"
-    line = F.col("line")
-    rows = _doc_lines(docs).withColumn("line", trim_blank(line)).where(
-        "line <> '' AND line <> 'Installed plugins:'"
-    )
-    blocks = running_sum(
-        rows, ["doc_id"], "line_no", F.when(line.rlike(head), 1).otherwise(0), "block"
-    ).where("block > 0")
+    """Plugin list blocks: a line with the pointer glyph opens a block, key lines follow.
+
+    The text is cut into its blocks inside the row; nothing is shuffled.
+    """
+    opening = rf"\n[{UNICODE_BLANKS}]*❯[\s&&[^\n]]+(?=[^{UNICODE_BLANKS}])"
+    parts = F.split(F.concat(F.lit("\n"), F.col("text")), opening, -1)
+    blocks = unnest(docs, ["doc_id"], parts, "body", "block").where("block > 0")
+    body = F.col("body")
 
     def last(key: str) -> Column:
-        is_key = F.regexp_extract(line, pair, 1) == key
-        value = trim_blank(F.regexp_extract(line, pair, 2))
-        return F.max_by(value, F.when(is_key, F.col("line_no")))
-
-    name = F.min_by(trim_blank(F.regexp_extract(line, head, 1)), "line_no")
-    status = F.when(last("Status").rlike("(?i)enabled"), "enabled").otherwise("disabled")
-    return blocks.groupBy("doc_id", "block").agg(
-        name.alias("name"),
+        values = F.regexp_extract_all(body, F.lit(rf"\n[{UNICODE_BLANKS}]*{key}:([^\n]*)"), F.lit(1))
+        named = F.filter(F.transform(values, trim_blank), lambda v: v != "")
+        return F.try_element_at(named, F.lit(-1))
+
+    enabled = F.coalesce(last("Status").rlike("(?i)enabled"), F.lit(False))
+    return blocks.select(
+        "doc_id",
+        F.col("block").cast("bigint").alias("block"),
+        trim_blank(F.substring_index(body, "\n", 1)).alias("name"),
         F.coalesce(last("Version"), F.lit("unknown")).alias("version"),
         F.coalesce(last("Scope"), F.lit("unknown")).alias("scope"),
-        status.alias("status"),
+        F.when(enabled, "enabled").otherwise("disabled").alias("status"),
     )
 
 
@@ -244,26 +245,24 @@ def skills_and_agents(roots: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def skill_scopes(docs: DataFrame) -> DataFrame:
-    """Scope of each skill in the Skills table of a context breakdown; built-in skills have none."""
-    line = F.col("line")
-    heading = F.regexp_extract(line, r"^#{2,4}\s+(.+?)\s*$", 1)
-    rows = _doc_lines(docs, "\r?\n")
-    mark = F.when(heading != "", F.struct(F.col("line_no").alias("at"), heading.alias("title")))
-    sectioned = carry_forward(rows, ["doc_id"], "line_no", {"section": mark})
-    inner = F.regexp_replace(F.regexp_replace(trim_blank(line), r"^\|", ""), r"\|$", "")
-    cells = F.transform(F.split(inner, r"\|", -1), trim_blank)
-    table = (
-        sectioned.where(heading == "")
-        .where(F.lower(trim_blank(F.col("section.title"))) == "skills")
-        .where(F.startswith(trim_blank(line), F.lit("|")))
-        .select("doc_id", F.col("section.at").alias("section_at"), "line_no", cells.alias("cells"))
-        .where(~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
-    )
-    header = table.groupBy("doc_id", "section_at").agg(
-        F.min("line_no").alias("header_line"),
-        F.transform(F.min_by("cells", "line_no"), lambda c: F.lower(c)).alias("header"),
-    )
-    body = table.join(header, ["doc_id", "section_at"]).where("line_no > header_line")
+    """Scope of each skill in the Skills table of a context breakdown; built-in skills have none.
+
+    A document is cut into its sections inside the row; only table rows of skill sections leave it.
+    """
+    parts = F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=#{2,4}\s+[^\s])", -1)
+    sections = unnest(docs, ["doc_id"], parts, "body", "section")
+    title = F.regexp_extract("body", r"^#{2,4}\s+([^\n]*)", 1)
+    skills = sections.where(F.lower(trim_blank(title)) == "skills")
+    table_lines = F.filter(F.transform(F.split("body", "\n", -1), trim_blank), lambda x: F.startswith(x, F.lit("|")))
+
+    def cells_of(line: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(line, r"^\|", ""), r"\|$", "")
+        return F.transform(F.split(inner, r"\|", -1), trim_blank)
+
+    ruled = F.filter(F.transform(table_lines, cells_of), lambda cells: ~F.forall(cells, lambda c: c.rlike("^:?-+:?$")))
+    tables = skills.select("doc_id", "section", ruled.alias("rows"))
+    header = F.transform(F.get("rows", F.lit(0)), F.lower)
+    body = unnest(tables.withColumn("header", header), ["doc_id", "section", "header"], "rows", "cells", "at").where("at > 0")
 
     def cell(title: str) -> Column:
         return F.get("cells", F.array_position("header", title) - 1)
@@ -272,10 +271,11 @@ def skill_scopes(docs: DataFrame) -> DataFrame:
     scope = F.lit(None).cast("string")
     for word in ["plugin", "project", "user"]:
         scope = F.when(F.startswith(source, F.lit(word)), word).otherwise(scope)
-    found = body.select("doc_id", "line_no", cell("skill").alias("name"), scope.alias("scope")).where(
+    place = F.struct("section", "at").alias("place")
+    found = body.select("doc_id", place, cell("skill").alias("name"), scope.alias("scope")).where(
         "name <> '' AND scope IS NOT NULL"
     )
-    return first_per_key(found, ["doc_id", "scope", "name"], F.col("line_no"))
+    return first_per_key(found, ["doc_id", "scope", "name"], F.col("place"))
 
 
 def toml_mcp_names(docs: DataFrame) -> DataFrame:
@@ -368,8 +368,10 @@ def changed_snapshots(snapshots: DataFrame) -> DataFrame:
     Rows are cut into days, so a busy user is spread over one piece per day.
     """
     keys = ["user_id", "kind", "project"]
+    # Snapshots of one time stand in the order of their hashes.
+    ordered = snapshots.withColumn("_order", F.struct("captured_at", "content_hash"))
     before = carry_forward(
-        snapshots, keys, "captured_at", {"previous_hash": F.col("content_hash")},
+        ordered, keys, "_order", {"previous_hash": F.col("content_hash")},
         piece=F.to_date("captured_at"), include_current=False,
-    )
+    ).drop("_order")
     return before.where(~F.col("content_hash").eqNullSafe(F.col("previous_hash")))

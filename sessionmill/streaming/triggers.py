@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +23,17 @@ class CooldownGate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._last.get()[0] if self._last.exists() else None
         triggers = pd.concat(list(rows)).sort_values(["ts_ms", "trigger_id"])
-        actions = []
-        for ts in triggers["ts_ms"]:
-            if last is not None and 0 <= ts - last < COOLDOWN_MS:
-                actions.append("cooldown")
-            else:
-                actions.append("spawned")
-                last = int(ts)
+        ts = triggers["ts_ms"].to_numpy()
+        actions = np.full(len(ts), "cooldown", dtype=object)
+        at = 0
+        while at < len(ts):  # from start to start; times are sorted
+            if last is not None and ts[at] >= last:
+                at = max(at, int(np.searchsorted(ts, last + COOLDOWN_MS)))
+                if at == len(ts):
+                    break
+            actions[at] = "spawned"
+            last = int(ts[at])
+            at += 1
         if last is not None:
             self._last.update((last,))
         yield pd.DataFrame(
@@ -61,7 +66,7 @@ class SnapshotGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._hash.get()[0] if self._hash.exists() else None
-        snaps = pd.concat(list(rows)).sort_values("captured_at")
+        snaps = pd.concat(list(rows)).sort_values(["captured_at", "content_hash"])
         before = snaps["content_hash"].shift(1)
         before.iloc[0] = last
         changed = snaps[snaps["content_hash"] != before]
