@@ -188,11 +188,12 @@ def _with_rows(docs: DataFrame, per_row: DataFrame, size, how: str) -> DataFrame
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row per document that has any: k1, k2 (keys of the row), spans (first byte, end; they may overlap)."""
+    """One row per document that has any: k1, k2 (keys of the row), spans (first byte, end; maximal runs)."""
     k1, k2 = row_keys()
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text_or_empty().alias("text"))
-    found = checkpointed(
-        keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors, "k1 long, k2 long, anchor long, context long, place int, low int, high int")
+    # Anchors are found twice rather than kept: written down they would take more room than the texts.
+    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(
+        _find_anchors, "k1 long, k2 long, anchor long, context long, place int, low int, high int"
     )
     counted = (
         found.groupBy("anchor")
@@ -245,7 +246,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             )
         )
     )
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    listed = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return listed.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<first: int, end: int>>")
 
 
 def merged(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
@@ -259,6 +261,12 @@ def merged(spans: list[dict[str, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = [[{"first": a, "end": b} for a, b in merged(spans)] for spans in batch["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["k1"], batch["k2"], pa.array(runs, pa.list_(_SPAN))], ["k1", "k2", "spans"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, removed, runs, digests = [], [], [], []
