@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from sessionmill.functions.sql_functions import register_sql_functions
 from sessionmill.operators import reports as R
 from sessionmill.operators import usage as U
 from sessionmill.operators.ordering import shared_folder
+from sessionmill.operators.snapshots import snapshot_key
 from sessionmill.plans.redaction_queries import (
     _MAIL,
     OWNER,
@@ -25,13 +28,14 @@ from sessionmill.plans.registry import query
 from sessionmill.plans.report_queries import _COOLDOWN, _EVENTS, _progress
 from sessionmill.plans.upload import UploadRun, all_acked, read_listed, run_upload
 from sessionmill.plans.usage_queries import _FACTS, _HASHED, _UUID5
-from sessionmill.plans.views import view
+from sessionmill.plans.views import table, view
 from sessionmill.sources import ledger as L
 from sessionmill.sources.files import list_files
+from sessionmill.sources.git_files import git_dir_files
 from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
-from sessionmill.sources.sinks import write_bodies
+from sessionmill.sources.sinks import write_bodies, write_events
 from sessionmill.streaming.ingest import ingest_listings
-from sessionmill.streaming.triggers import gate_stream
+from sessionmill.streaming.triggers import gate_stream, snapshot_stream
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -174,6 +178,21 @@ def sql_functions(spark, sf_dir):
     )
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store the gates need, for the time of one query."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _drain(spark: SparkSession, df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read its output back."""
     writer = df.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
@@ -194,12 +213,9 @@ def streamed_uploads_started(spark, sf_dir):
     folder = _folder(spark, "triggers")
     triggers = view(spark, sf_dir, "v_triggers")
     triggers.write.parquet(f"{folder}/in")
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     stream = spark.readStream.schema(triggers.schema).parquet(f"{folder}/in")
-    out = _drain(spark, gate_stream(stream), folder)
+    with _state_store(spark):
+        out = _drain(spark, gate_stream(stream), folder)
     return out.where("action = 'spawned'").select("endpoint", "ts_ms")
 
 
@@ -216,3 +232,42 @@ def streamed_batch_states(spark, sf_dir):
     rows = _drain(spark, R.batch_state(stream), folder, "update")
     latest = rows.groupBy("manifest_id").agg(F.max_by(F.struct("total", "done", "skipped", "failed"), "batch").alias("s"))
     return latest.select("manifest_id", "s.*")
+
+
+@query(_EVENTS + "SELECT manifest_id, event, @big(row_number() OVER (PARTITION BY manifest_id ORDER BY event_id) - 1) AS seq FROM ev")
+def event_log(spark, sf_dir):
+    """Numbered events written as an NDJSON log and read back."""
+    folder = _folder(spark, "events")
+    write_events(R.with_sequence(_progress(spark, sf_dir), ["event_id"]), folder)
+    return spark.read.json(folder).select("manifest_id", "event", "seq")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type AS kind, 'p' || @str(user_id % 3) AS project, ts, @sha256('{"v":' || @str(@big(floor(value / 40))) || '}') AS h FROM events),
+p AS (SELECT *, lag(h) OVER (PARTITION BY user_id, kind, project ORDER BY ts, h) AS before FROM s)
+SELECT @str(user_id) AS user_id, kind, project, h AS content_hash, @big(count(*)) AS n FROM p WHERE before IS NULL OR before <> h GROUP BY ALL""")
+def streamed_changed_snapshots(spark, sf_dir):
+    """The snapshot gate as a stateful stream; how often each hash passes."""
+    folder = _folder(spark, "snapshots")
+    snaps = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("kind"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project"),
+        F.col("ts").cast("timestamp").alias("captured_at"), F.floor(F.col("value") / 40).alias("v"),
+    )
+    keyed = snaps.withColumn("content_hash", snapshot_key(["v"])).drop("v")
+    keyed.write.parquet(f"{folder}/in")
+    stream = snapshot_stream(spark.readStream.schema(keyed.schema).parquet(f"{folder}/in"))
+    with _state_store(spark):
+        out = _drain(spark, stream, folder)
+    return out.groupBy("user_id", "kind", "project", "content_hash").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT git_dir || array_to_string(list_transform(parts[1:i], lambda x: '/' || x), '') AS git_dir, array_to_string(parts[i + 1:], '/') AS rel_path, @sha256(content) AS h
+FROM (SELECT git_dir, content, parts, unnest(range(0, len(parts))) AS i FROM (
+  SELECT git_dir, content, string_split(rel_path, '/') AS parts FROM v_git_files WHERE git_dir LIKE '%/.git'))""")
+def collected_git_tables(spark, sf_dir):
+    """Git tables out of files as a collector takes them: each belongs to every directory above it, down from .git."""
+    v = view(spark, sf_dir, "v_git_files").where("git_dir LIKE '%/.git'")
+    files = v.select(F.concat("git_dir", F.lit("/"), "rel_path").alias("path"), "content")
+    return git_dir_files(files).select("git_dir", "rel_path", F.sha2("content", 256).alias("h"))

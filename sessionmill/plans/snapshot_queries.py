@@ -247,7 +247,7 @@ def redacted_snapshots(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT user_id, event_type AS kind, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'p' || @str(user_id % 3) END AS project, event_id, ts, @sha256('{"v":' || @str(@big(floor(value / 40))) || '}') AS h FROM events),
-p AS (SELECT *, lag(h) OVER (PARTITION BY user_id, kind, project ORDER BY ts) AS before FROM s)
+p AS (SELECT *, lag(h) OVER (PARTITION BY user_id, kind, project ORDER BY ts, h) AS before FROM s)
 SELECT event_id, h AS content_hash FROM p WHERE before IS NULL OR before <> h""")
 def changed_snapshots(spark, sf_dir):
     """Snapshots that differ from the previous one; the capture time is no part of the hash."""
