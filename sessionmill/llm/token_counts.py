@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from sessionmill.llm.common import checkpointed
 
-FREQUENT = 1 << 21
+FREQUENT = 1 << 19
 _HELD = 300_000  # distinct pre-tokens that a task holds before it passes them on
 _loaded: dict[str, Tokenizer] = {}
 
