@@ -72,15 +72,24 @@ def repo_of_group(candidates: DataFrame, cwd_repos: DataFrame) -> DataFrame:
     return candidates.join(known, "cwd").groupBy(*GROUP).agg(F.min_by("repo", "pos").alias("repo"))
 
 
-def group_by_repo(groups: DataFrame, group_repos: DataFrame) -> DataFrame:
-    """Merge groups of one repository; groups without a repository keep their path key."""
-    keyed = groups.join(group_repos, GROUP, "left").withColumns(
+def _by_repo(rows: DataFrame, group_repos: DataFrame) -> DataFrame:
+    """Rows of project groups with the key and label of their repository, or of their path without one."""
+    return rows.join(group_repos, GROUP, "left").withColumns(
         {
             "group_key": F.coalesce(F.concat(F.lit(REPO_PREFIX), "repo"), F.col("project_id")),
             "label": F.coalesce(F.regexp_extract("repo", "^[^/]*/(.*)$", 1), F.col("project_name")),
         }
     )
-    return keyed.groupBy("group_key").agg(
+
+
+def repository_sessions(sessions: DataFrame, group_repos: DataFrame) -> DataFrame:
+    """Every session with its group_key and label, for selection and for summary rows by repository."""
+    return _by_repo(sessions, group_repos).drop("repo")
+
+
+def group_by_repo(groups: DataFrame, group_repos: DataFrame) -> DataFrame:
+    """Merge groups of one repository; groups without a repository keep their path key."""
+    return _by_repo(groups, group_repos).groupBy("group_key").agg(
         F.min("label").alias("label"),
         F.min("provider_id").alias("provider_id"),
         F.sum("session_count").alias("session_count"),
@@ -123,14 +132,17 @@ def eligible_counts(groups: DataFrame, sessions: DataFrame, eligible: DataFrame)
     )
 
 
-def project_rows(will_upload: DataFrame) -> DataFrame:
-    """Rows of the upload summary. A path label gives way to the recorded cwd of the first session."""
+def project_rows(will_upload: DataFrame, key: str = "project_id") -> DataFrame:
+    """Rows of the upload summary, by project or, with `group_key`, by repository.
+
+    A path label gives way to the recorded cwd of the first session.
+    """
+    name = "label" if key == "group_key" else "project_name"
     label = F.when(
-        F.startswith("project_name", F.lit("/")) & (F.coalesce("session_cwd", F.lit("")) != ""),
-        F.col("session_cwd"),
-    ).otherwise(F.col("project_name"))
+        F.startswith(name, F.lit("/")) & (F.coalesce("session_cwd", F.lit("")) != ""), F.col("session_cwd")
+    ).otherwise(F.col(name))
     first = F.struct(-F.col("mtime_ms"), F.col("path"))
-    return will_upload.groupBy("project_id").agg(
+    return will_upload.groupBy(key).agg(
         F.min_by("provider_id", first).alias("provider_id"),
         F.min_by(label, first).alias("display_name"),
         F.count("*").alias("will_upload"),

@@ -193,6 +193,17 @@ def repository_groups(spark, sf_dir):
     return G.biggest_first(G.group_by_repo(G.project_groups(s), repos))
 
 
+@query(_GROUP_REPOS + f"""
+SELECT c.path, coalesce('repo:' || f.repo, {_PROJECT}) AS group_key
+FROM ctx c JOIN firsts f USING (host)""")
+def repository_sessions(spark, sf_dir):
+    """The repository group of every session."""
+    s = _page_sessions(spark, sf_dir)
+    cands = G.candidate_cwds(s)
+    repos = G.repo_of_group(cands, X.repo_keys(X.cwd_repositories(cands, *_git(spark, sf_dir))))
+    return G.repository_sessions(s, repos).select("path", "group_key")
+
+
 @query("""
 WITH dirs AS (
   SELECT '/srv/' || p_brand || '-' || @str(p_size) AS dir FROM part UNION SELECT '/srv/' || p_brand || '/' || @str(p_size) FROM part WHERE p_size % 2 = 0),
