@@ -7,79 +7,77 @@ its pointer text); `git_files(git_dir, rel_path, content)` holds config, HEAD, r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import normalize
 from sessionmill.functions.repo_urls import SHA_PATTERN, origin_url, remote_identity
-from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
 from sessionmill.operators.projects import nearest_ancestor
 
 
-def git_dirs(dot_git: DataFrame, git_files: DataFrame) -> DataFrame:
-    """Repository roots with their git directory; a pointer to nowhere gives null."""
-    pointer = F.trim(F.regexp_extract("content", r"(?m)^gitdir:\s*(.+)$", 1))
-    target = F.when(pointer != "", F.when(F.startswith(pointer, F.lit("/")), pointer).otherwise(
-        F.concat("root", F.lit("/"), pointer)
-    ))
-    is_dir = F.col("kind") == "dir"
-    at = F.when(is_dir, F.concat("root", F.lit("/.git"))).otherwise(normalize(target))
-    found = dot_git.select("root", is_dir.alias("_own"), at.alias("git_dir"))
-    known = git_files.select("git_dir").distinct().withColumn("_known", F.lit(True))
-    return found.join(known, "git_dir", "left").select(
-        "root", F.when(F.col("_own") | F.col("_known"), F.col("git_dir")).alias("git_dir")
+def repo_facts(git_files: DataFrame) -> DataFrame:
+    """One row per git directory out of one pass: origin identity, branch and commit.
+
+    The commit is the detached one, else the loose ref that HEAD names, else the packed one.
+    """
+    rel, content = F.col("rel_path"), F.col("content")
+
+    def only(name: str) -> Column:
+        return F.max(F.when(rel == name, content))
+
+    texts = git_files.groupBy("git_dir").agg(
+        only("config").alias("config"), only("HEAD").alias("head"), only("packed-refs").alias("packed")
+    )
+    head = trim_blank(F.col("head"))
+    ref = F.trim(F.regexp_extract(head, r"^ref:\s*(.+)$", 1))
+    detached = head.rlike(SHA_PATTERN)
+    named = texts.withColumns(
+        {"detached": F.when(detached, head), "ref": F.when(~detached & (ref != ""), ref), "url": origin_url(F.col("config"))}
+    )
+    # The first packed line of the ref, looked up inside the row.
+    packed_lines = F.transform(lines(F.col("packed")), trim_blank)
+    of_ref = F.filter(
+        packed_lines, lambda x: x.rlike(r"^[0-9a-f]{40}\s") & (F.trim(F.substring(x, 41, 1 << 30)) == F.col("ref"))
+    )
+    packed_sha = F.substring(F.get(of_ref, F.lit(0)), 1, 40)
+    loose = git_files.select("git_dir", rel.alias("ref"), trim_blank(content).alias("loose_sha")).where(
+        F.col("loose_sha").rlike(SHA_PATTERN)
+    )
+    branch = F.regexp_extract("ref", "^refs/heads/(.+)$", 1)
+    return named.join(loose, ["git_dir", "ref"], "left").select(
+        "git_dir",
+        F.col("config").isNotNull().alias("has_config"),
+        F.col("head").isNotNull().alias("has_head"),
+        F.col("url").isNotNull().alias("has_remote"),
+        remote_identity(F.col("url")).alias("repository"),
+        F.when(branch != "", branch).alias("head_branch"),
+        F.coalesce("detached", "loose_sha", packed_sha).alias("commit_sha"),
     )
 
 
 def repositories(git_files: DataFrame) -> DataFrame:
     """Origin identity per git directory."""
-    url = origin_url(F.col("content"))
-    return git_files.where("rel_path = 'config'").select(
-        "git_dir", url.isNotNull().alias("has_remote"), remote_identity(url).alias("repository")
-    )
+    return repo_facts(git_files).where("has_config").select("git_dir", "has_remote", "repository")
 
 
-def packed_refs(git_files: DataFrame) -> DataFrame:
-    line = F.col("line")
-    rows = (
-        unnest(
-            git_files.where("rel_path = 'packed-refs'"), ["git_dir"], lines(F.col("content")), "line", "pos"
-        )
-        .withColumn("line", trim_blank(line))
-        .where("line <> ''")
-        .where(~line.rlike("^[#^]"))
-    )
-    pattern = r"^([0-9a-f]{40})\s+(.+)$"
-    refs = rows.select(
-        "git_dir", "pos",
-        F.regexp_extract("line", pattern, 1).alias("sha"),
-        F.trim(F.regexp_extract("line", pattern, 2)).alias("ref"),
-    ).where("ref <> ''")
-    return refs.groupBy("git_dir", "ref").agg(F.min_by("sha", "pos").alias("packed_sha"))
+def head_commits(git_files: DataFrame) -> DataFrame:
+    """Branch and commit of each git directory."""
+    return repo_facts(git_files).where("has_head").select("git_dir", "head_branch", "commit_sha")
 
 
-def head_commits(git_files: DataFrame) -> DataFrame:
-    """Branch and commit of each git directory: detached, loose ref, then packed ref."""
-    head = trim_blank(F.col("content"))
-    ref = F.trim(F.regexp_extract(head, r"^ref:\s*(.+)$", 1))
-    heads = git_files.where("rel_path = 'HEAD'").select(
-        "git_dir",
-        F.when(head.rlike(SHA_PATTERN), head).alias("detached"),
-        F.when(~head.rlike(SHA_PATTERN) & (ref != ""), ref).alias("ref"),
-    )
-    loose = git_files.select(
-        "git_dir", F.col("rel_path").alias("ref"), trim_blank(F.col("content")).alias("loose_sha")
-    ).where(F.col("loose_sha").rlike(SHA_PATTERN))
-    branch = F.regexp_extract("ref", "^refs/heads/(.+)$", 1)
-    return (
-        heads.join(loose, ["git_dir", "ref"], "left")
-        .join(packed_refs(git_files), ["git_dir", "ref"], "left")
-        .select(
-            "git_dir",
-            F.when(branch != "", branch).alias("head_branch"),
-            F.coalesce("detached", "loose_sha", "packed_sha").alias("commit_sha"),
-        )
+def git_dirs(dot_git: DataFrame, known: DataFrame) -> DataFrame:
+    """Repository roots with their git directory; a pointer to nowhere gives null. `known`: git_dir."""
+    pointer = F.trim(F.regexp_extract("content", r"(?m)^gitdir:\s*(.+)$", 1))
+    target = F.when(pointer != "", F.when(F.startswith(pointer, F.lit("/")), pointer).otherwise(
+        F.concat("root", F.lit("/"), pointer)
+    ))
+    is_dir = F.col("kind") == "dir"
+    at = F.when(is_dir, F.concat("root", F.lit("/.git"))).otherwise(normalize(target))
+    found = dot_git.select("root", is_dir.alias("_own"), at.alias("git_dir"))
+    marked = known.select("git_dir").distinct().withColumn("_known", F.lit(True))
+    return found.join(marked, "git_dir", "left").select(
+        "root", F.when(F.col("_own") | F.col("_known"), F.col("git_dir")).alias("git_dir")
     )
 
 
@@ -90,11 +88,11 @@ def cwd_repositories(
     values = cwds.select("cwd").where("cwd <> ''").distinct()
     there = dirs.select(F.col("dir").alias("cwd")).distinct().withColumn("_there", F.lit(True))
     rooted = nearest_ancestor(values, "cwd", dot_git, "root")
+    facts = repo_facts(git_files)
     return (
         rooted.join(there, "cwd", "left")
-        .join(git_dirs(dot_git, git_files), "root", "left")
-        .join(repositories(git_files), "git_dir", "left")
-        .join(head_commits(git_files), "git_dir", "left")
+        .join(git_dirs(dot_git, facts), "root", "left")
+        .join(facts, "git_dir", "left")
         .select(
             "cwd",
             F.coalesce("_there", F.lit(False)).alias("exists"),
