@@ -287,6 +287,16 @@ def composer_export(spark, sf_dir):
     )
 
 
+@query(_BUBBLES + """
+SELECT '/s' || @str(conv_id % 3) || '/state.vscdb::composer::c' || @str(conv_id) AS path, @big(turn + 1) AS line_no, NULL AS composer, 'b' || @str(turn) AS bubble, text FROM j
+UNION ALL SELECT '/s' || @str(conv_id % 3) || '/state.vscdb::composer::c' || @str(conv_id), @big(0), 'c' || @str(conv_id), NULL, NULL FROM lasts""")
+def cursor_records(spark, sf_dir):
+    """Composers as the records a run reads."""
+    r = K.export_records(_kv(spark, sf_dir))
+    at = {"composer": "$.composer.composerId", "bubble": "$.bubble.bubbleId", "text": "$.bubble.text"}
+    return r.select("path", "line_no", *[F.get_json_object("raw", p).alias(n) for n, p in at.items()])
+
+
 @query("""
 SELECT 'c' || @str(conv_id) AS composer_id, '/s' || @str(conv_id % 3) || '/state.vscdb' AS store_path,
   CASE WHEN conv_id % 4 <> 0 THEN 'chat ' || @str(conv_id) END AS name, conv_id::DOUBLE AS created_at

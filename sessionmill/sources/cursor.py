@@ -1,7 +1,8 @@
 """Key/value stores and terminal transcripts of the Cursor editor, as one export shape.
 
 The export is kept long, one row per bubble, because a composer may hold any number of bubbles.
-`composer_json` folds it into one document per composer for the sink.
+`export_records` makes records of it that a run reads like any other session: a line for the composer, then
+one per bubble.
 """
 
 from __future__ import annotations
@@ -137,6 +138,46 @@ def composer_refs(kv: DataFrame, stores: DataFrame) -> DataFrame:
     )
 
 
+def _as_records(rows: DataFrame, raw: Column) -> DataFrame:
+    """Record rows of an export; they are hashed like the lines of a file read in splits."""
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.lit("cursor").alias("source_kind"), "path", F.col("line_no").cast("bigint").alias("line_no"), F.to_json(raw).alias("raw"),
+        F.lit(False).alias("is_malformed"), none.alias("file_hash"), none.alias("raw_hash"), F.lit(True).alias("is_split"),
+    )
+
+
+def export_records(kv: DataFrame) -> DataFrame:
+    """Records of every live composer: its own facts as line 0, its bubbles in conversation order behind."""
+    key = ["store_path", "composer_id"]
+    path = F.concat("store_path", F.lit(COMPOSER_MARKER), "composer_id").alias("path")
+    bodies = composer_export(kv)
+    alive = composers(kv).join(bodies.select(*key).distinct(), key, "left_semi")
+    own = F.struct(
+        F.col("composer_id").alias("composerId"), "name", F.col("workspace_name").alias("workspaceName"),
+        F.col("created_at").alias("createdAt"), F.col("last_updated_at").alias("lastUpdatedAt"),
+        F.when(F.col("model_name").isNotNull(), F.struct(F.col("model_name").alias("modelName"))).alias("modelConfig"),
+    )
+    tokens = F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"))
+    tool = F.struct(F.col("tool_name").alias("name"), F.col("tool_status").alias("status"), F.col("tool_result_chars").alias("resultChars"))
+    bubble = F.struct(
+        F.col("bubble_id").alias("bubbleId"), F.coalesce("type", "header_type").alias("type"), "text",
+        F.when(F.coalesce("input_tokens", "output_tokens").isNotNull(), tokens).alias("tokenCount"),
+        F.when(F.col("model_name").isNotNull(), F.struct(F.col("model_name").alias("modelName"))).alias("modelInfo"),
+        F.when(F.col("tool_name").isNotNull(), tool).alias("toolFormerData"),
+    )
+    heads = _as_records(alive.select("*", path, F.lit(0).alias("line_no")), F.struct(own.alias("composer")))
+    lines = _as_records(bodies.select("*", path, (F.col("pos") + 1).alias("line_no")), F.struct(bubble.alias("bubble")))
+    return heads.unionByName(lines)
+
+
+def transcript_records(records: DataFrame) -> DataFrame:
+    """Terminal transcripts as records in the same shape."""
+    bubble = F.struct(F.col("bubble_id").alias("bubbleId"), "type", "text", F.col("tool_names").alias("tools"))
+    turns = transcript_export(records)
+    return _as_records(turns.withColumn("line_no", F.col("pos")), F.struct(bubble.alias("bubble")))
+
+
 _TURN = "role STRING, message VARIANT"
 
 
