@@ -56,11 +56,39 @@ def small(df: DataFrame, size: Column, limit: int) -> bool:
     return (total or 0) <= limit
 
 
+def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, most: int = 10_000) -> DataFrame:
+    """rows joined with `one`, which has one row per key and in `count` the number of rows with that key.
+
+    Of `total` rows at most `most` keys can hold more than a share of total / most each. Those meet their
+    row by a broadcast of that proven size, where the rows are; only the others are shuffled.
+    """
+    often = F.col(count) > max(1, total // most)
+    hot = F.broadcast(one.where(often))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(one.where(~often), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def join_salted(
+    rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, by: Column, most: int = 10_000, salts: int = 64
+) -> DataFrame:
+    """The same result for rows that are dear to make: they are read once.
+
+    The keys of many rows, at most `most`, are broadcast by themselves; rows of such a key go to `salts` parts
+    by the hash of `by`, and the key's one row goes to each of them.
+    """
+    often = F.col(count) > max(1, total // most)
+    hot = F.broadcast(one.where(often).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    spread = F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return left.join(one.withColumn("_salt", spread), [*keys, "_salt"]).drop("_salt")
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node; root is the least node.
 
     Alternating large-star and small-star steps; each joins the edges with one row per node, so the
-    neighbours of a node are never gathered. A checkpoint per round keeps the plan short.
+    neighbours of a node are never gathered, and nodes with many go by `join_counted`. A checkpoint per round keeps the plan short.
     """
     pairs = checkpointed(
         links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
@@ -74,9 +102,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             )
         state = now
         both = pairs.union(pairs.select("lo", "hi")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").where("other > node").select(F.col("other").alias("hi"), F.col("m").alias("lo"))
-        large = large.distinct()
+        least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("m"), F.count("*").alias("n"))
+        found = join_counted(both, least, ["node"], "n", 2 * now[0])
+        large = found.where("other > node").select(F.col("other").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = checkpointed(moved.union(least).distinct())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import checkpointed, components, free_name, plain_columns, row_keys, small
+from sessionmill.llm.common import checkpointed, components, free_name, join_counted, plain_columns, row_keys, small
 from sessionmill.llm.words import SHINGLE, batch_words, mix, shingles
 
 THRESHOLD = 0.8
@@ -284,10 +284,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
     whole = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("row").alias("stays"))
     per_class = named.join(whole, "root").select(
-        "node", "class_id", "class_size", "stays", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", "copies", "class_id", "class_size", "stays", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     kept = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
-    return sketch.select("doc_id", "k1", "k2", "node").join(per_class, "node").select("doc_id", "k1", "k2", "class_id", "class_size", "n_links", kept.alias("kept"))
+    rows = sketch.select("doc_id", "k1", "k2", "node")
+    return join_counted(rows, per_class, ["node"], "copies", sketch.count()).select("doc_id", "k1", "k2", "class_id", "class_size", "n_links", kept.alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import checkpointed, plain_columns, row_keys, small, text_or_empty
+from sessionmill.llm.common import checkpointed, join_counted, join_salted, plain_columns, row_keys, small, text_or_empty
 from sessionmill.llm.suffix_array import common_prefixes, suffix_array
 from sessionmill.llm.words import prefix_sums, span_hashes
 
@@ -199,9 +199,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         found.groupBy("anchor")
         .agg(F.count("*").alias("c"), F.min("context").alias("one"), F.max("context").alias("other"))
         .where("c > 1")
-        .select("anchor", (F.col("one") != F.col("other")).alias("mixed"))
+        .select("anchor", "c", (F.col("one") != F.col("other")).alias("mixed"))
     )
-    places = checkpointed(found.join(counted, "anchor"))
+    counted = checkpointed(counted)
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    places = checkpointed(join_salted(found, counted, ["anchor"], "c", total, F.struct("k1", "place")).drop("c"))
     mixed = places.where("mixed")
     contexts = checkpointed(
         mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "low", "high")).alias("row"))
@@ -234,7 +236,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         places.where("not mixed")
         .select("k1", "k2", F.array(F.struct(F.col("low").alias("first"), (F.col("high") + LENGTH).alias("end"))).alias("spans"))
         .union(
-            mixed.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select(
+            join_counted(mixed, contexts.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"], "n", total).select(
                 "k1", "k2", F.array(F.struct(F.col("low").alias("first"), (F.col("high") + LENGTH).alias("end"))).alias("spans")
             )
         )
