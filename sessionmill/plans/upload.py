@@ -1,6 +1,7 @@
 """One upload run over a fleet's session files: what is new goes out redacted, the ledger follows.
 
-The run's folder holds what goes out: redacted payload, manifest, entry states, events, summary. Stages
+The run's folder holds what goes out: redacted payload, manifest, entry states, events, redaction
+totals, summary. Stages
 that are read more than once are cut by checkpoints, and the text of sessions is not among them: it
 is read again for the sessions that are sent.
 
@@ -30,6 +31,7 @@ from sessionmill.operators.identity import resolve_identity, session_facts
 from sessionmill.operators.projects import with_project
 from sessionmill.sources import ledger as L
 from sessionmill.sources import sinks
+from sessionmill.sources.gemini import registry, resolve_cwds
 from sessionmill.sources.providers import by_source_kind
 from sessionmill.sources.records import RECORD_ROWS, content_hash, file_hashes, read_ndjson, typed_records
 
@@ -81,13 +83,16 @@ def all_acked(entries: DataFrame) -> DataFrame:
 def run_upload(
     listing: DataFrame, read_records: Callable[[DataFrame], DataFrame], run: UploadRun,
     sidecars: DataFrame | None = None, deliver: Callable[[DataFrame], DataFrame] = all_acked,
+    registries: DataFrame | None = None, git_contexts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Classify, price, redact and write one batch; returns the summary row.
 
     `listing` has source_kind, path, size_bytes, mtime_ms; `read_records` turns the rows that must
     be read into records (see `read_listed`). `deliver` gets the entries and answers with
     (session_id, status, reason), status being acked, failed or skipped; entries it does not
-    answer stay pending and are sent again by a later run.
+    answer stay pending and are sent again by a later run. `registries` (root, content) are the Gemini
+    registries that name the directories of its sessions; `git_contexts` turns sessions (path,
+    session_cwd, recorded_branch) into their git coordinates, which the entries then carry.
     """
     spark = listing.sparkSession
     if L.is_committed(spark, run.ledger_path, run.run_id):
@@ -100,7 +105,12 @@ def run_upload(
     texts = read_records(checked.where("NOT stat_hit"))
     records = durable(typed_records(texts).drop("raw"))
     hashes = durable(file_hashes(records, sidecars, texts))
-    sessions = resolve_identity(session_facts(records)).join(hashes, SESSION)
+    seen = session_facts(records)
+    if registries is not None:
+        gemini = seen.where("source_kind = 'gemini'").select("path", "project_hash")
+        cwds = resolve_cwds(gemini, registry(registries)).groupBy("path").agg(F.min("cwd").alias("registry_cwd"))
+        seen = seen.join(cwds, "path", "left")
+    sessions = resolve_identity(seen).join(hashes, SESSION)
     metrics = U.session_metrics(records)
     classified = C.classify(checked, sessions, own)
     facts = classified.join(metrics, SESSION, "left").join(
@@ -122,7 +132,8 @@ def run_upload(
 
     manifest_id = F.concat(F.lit(f"{run.run_id}-"), by_source_kind(lambda s: F.lit(s.provider_id)))
     raw_hashes = hashes.select("path", "raw_hash")
-    jobs = M.upload_jobs(will.drop(*U.METRICS), metrics, raw_hashes, min_usd=run.min_usd)
+    contexts = None if git_contexts is None else git_contexts(will.select("path", "session_cwd", "recorded_branch"))
+    jobs = M.upload_jobs(will.drop(*U.METRICS), metrics, raw_hashes, contexts, min_usd=run.min_usd)
     entries = M.manifest_entries(jobs, M.body_bytes(redacted, SESSION), manifest_id)
     digests = content_hash(redacted, ["path"]).select("path", F.col("content_hash").alias("redacted_hash"))
     entries = _saved(entries.join(digests, "path", "left"), f"{run.folder}/entries")
@@ -132,6 +143,8 @@ def run_upload(
         entries, f"{run.folder}/manifest",
     )
 
+    _saved(R.batch_totals(redacted), f"{run.folder}/redactions")
+
     states = _saved(M.entry_states(entries, deliver(entries)), f"{run.folder}/states")
     sinks.write_events(M.batch_events(states, run.uploaded_at), f"{run.folder}/events")
     sized = will.join(entries.select("path", F.col("expected_bytes").alias("byte_size")), "path", "left")
