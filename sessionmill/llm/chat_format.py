@@ -21,10 +21,11 @@ by turn from the end. An empty table gives an empty result. Other columns are no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby, islice, product
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,64 +128,96 @@ def pieces(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _roles(column: pd.Series) -> list[str | None]:
-    return column.astype(object).where(column.notna(), None).tolist()
+_KEY = ["unnamed", "conv_id"]
+_SUMMARY = pa.schema([("unnamed", pa.bool_()), ("conv_id", pa.int64()), ("piece", pa.int32()), ("matrix", pa.list_(pa.int64()))])
+_BORDER = pa.schema([*list(_SUMMARY)[:3], ("first", pa.int32()), ("last", pa.int32()), ("final", pa.bool_())])
+_MADE = pa.schema(
+    [
+        *list(_SUMMARY)[:3],
+        ("place", pa.int64()),
+        ("at", pa.int32()),
+        *[(name, pa.string()) for name in ("action", "role", "source_role", "text")],
+        ("opens", pa.bool_()),
+        ("turn", pa.int64()),
+        ("part", pa.int64()),
+        ("closes", pa.bool_()),
+        ("ends", pa.bool_()),
+    ]
+)
+
+
+def _sql(schema: pa.Schema) -> str:
+    names = {pa.bool_(): "boolean", pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
+    return ", ".join(f"{f.name} {names.get(f.type, 'array<long>')}" for f in schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of rows with equal keys; a run may go over the end of a batch."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for key, run in groupby(rows, key=itemgetter(*keys)):
+        yield key, list(run)
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    for part in iter(lambda: list(islice(rows, size)), []):
+        columns = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per conversation in this piece its matrix; rows come in order."""
+    found = ((*key, piece_matrix([r["given"] for r in rows]).ravel().tolist()) for key, rows in _groups(batches, [*_KEY, "piece"]))
+    yield from _batched(found, _SUMMARY)
+
+
+def _border_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    ending = np.array([end_cost(s) for s in range(4)])
+    for key, rows in _groups(batches, _KEY):
+        matrices = [np.array(r["matrix"], dtype=np.int64).reshape(4, 4) for r in rows]
+        costs = [np.where(np.arange(4) == START, 0, _NEVER)]
+        for m in matrices:
+            costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), _NEVER))
+        ends = [int(np.argmin(costs[-1] + ending))]
+        for k in range(len(matrices) - 1, 0, -1):
+            ends.append(int(np.argmin(costs[k] + matrices[k][:, ends[-1]])))
+        state = START
+        for k, (row, end) in enumerate(zip(rows, ends[::-1], strict=True)):
+            yield (*key, row["piece"], state, end, k + 1 == len(rows))
+            state = end
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States at the borders of a conversation's pieces: one row per piece, at most as many as partitions."""
+    yield from _batched(_border_rows(batches), _BORDER)
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per conversation in this piece its matrix; rows come in order, a batch may end inside a conversation."""
-    names = ["unnamed", "conv_id", "piece", "matrix"]
-    key, piece, matrix = None, 0, None
-    for batch in batches:
-        out = []
-        for now, rows in batch.groupby(["unnamed", "conv_id"], sort=False):
-            own = piece_matrix(_roles(rows["given"]))
-            if now == key:
-                matrix = min_plus(matrix, own)
-                continue
-            if key is not None:
-                out.append((*key, piece, matrix.ravel().tolist()))
-            key, piece, matrix = now, int(rows["piece"].iloc[0]), own
-        yield pd.DataFrame(out, columns=names)
-    if key is not None:
-        yield pd.DataFrame([(*key, piece, matrix.ravel().tolist())], columns=names)
+def _traced(rows: list[dict]) -> list[tuple]:
+    """(place, at, action, role, source_role, text, opens) of one piece of one conversation."""
+    given = [r["given"] for r in rows]
+    state, out = rows[0]["first"], []
+    for row, now in zip(rows, best_path(given, state, rows[0]["last"]), strict=True):
+        _, action, empty = step_cost(state, now, row["given"])
+        out += [(row["place"], k, "insert", e, None, "", True) for k, e in enumerate(empty)]
+        out.append((row["place"], len(empty), action, ROLES[now - 1], row["source_role"], row["text"], action != "merge"))
+        state = now
+    if rows[0]["final"]:
+        out += [(rows[-1]["place"], 10 + k, "insert", e, None, "", True) for k, e in enumerate(_END[state])]
+    return out
 
 
-def _borders(rows: pd.DataFrame) -> pd.DataFrame:
-    """States at the borders of a conversation's pieces: one row per piece, at most as many as partitions."""
-    rows = rows.sort_values("piece")
-    matrices = [np.array(m, dtype=np.int64).reshape(4, 4) for m in rows["matrix"]]
-    costs = [np.where(np.arange(4) == START, 0, _NEVER)]
-    for m in matrices:
-        costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), _NEVER))
-    ends = [int(np.argmin(costs[-1] + np.array([end_cost(s) for s in range(4)])))]
-    for k in range(len(matrices) - 1, 0, -1):
-        ends.append(int(np.argmin(costs[k] + matrices[k][:, ends[-1]])))
-    ends = ends[::-1]
-    return rows[["unnamed", "conv_id", "piece"]].assign(first=[START, *ends[:-1]], last=ends, final=[False] * (len(ends) - 1) + [True])
-
-
-def _trace(rows: pd.DataFrame) -> pd.DataFrame:
-    """One piece of one conversation, repaired. `turn` is 0 for parts of a turn that an earlier piece began."""
-    rows = rows.sort_values("place")
-    given = _roles(rows["given"])
-    state, out = int(rows["first"].iloc[0]), []
-    path = best_path(given, state, int(rows["last"].iloc[0]))
-    for role, source, text, place, now in zip(given, _roles(rows["source_role"]), rows["text"], rows["place"], path, strict=True):
-        _, action, empty = step_cost(state, now, role)
-        out += [(place, k, "insert", e, None, "", True) for k, e in enumerate(empty)]
-        out.append((place, len(empty), action, ROLES[now - 1], source, text, action != "merge"))
-        state = now
-    if rows["final"].iloc[0]:
-        out += [(place, 10 + k, "insert", e, None, "", True) for k, e in enumerate(_END[state])]
-    made = pd.DataFrame(out, columns=["place", "at", "action", "role", "source_role", "text", "opens"])
-    for k, name in enumerate(["unnamed", "conv_id", "piece"]):
-        made.insert(k, name, rows[name].iloc[0])
-    made["turn"] = made["opens"].cumsum()
-    made["part"] = made.groupby("turn").cumcount()
-    made["closes"] = made["opens"].shift(-1, fill_value=True)
-    made["ends"] = [False] * (len(made) - 1) + [True]
-    return made
+def _trace_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for key, rows in _groups(batches, [*_KEY, "piece"]):
+        made = _traced(rows)
+        turn = part = 0
+        for k, row in enumerate(made):
+            turn, part = (turn + 1, 0) if row[-1] else (turn, part + 1 if k else 0)
+            last = k + 1 == len(made)
+            yield (*key, *row, turn, part, last or made[k + 1][-1], last)
+
+
+def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repaired rows of each piece. `turn` is 0 for parts of a turn that an earlier piece began."""
+    yield from _batched(_trace_rows(batches), _MADE)
 
 
 def repair_roles(conversations: DataFrame) -> DataFrame:
@@ -193,38 +226,35 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
     `part` counts the source turns merged into one turn. In the order (out_turn, part), the `rendered` strings of
     a conversation join to its text in a chat markup.
     """
-    key = ["unnamed", "conv_id"]
-    named = "unnamed boolean, conv_id long, piece int"
+    key, by_piece = _KEY, [*_KEY, "piece"]
     turns = pieces(conversations)
-    summed = turns.select(*key, "piece", "given").mapInPandas(_summaries, f"{named}, matrix array<long>")
-    borders = summed.groupBy(*key).applyInPandas(_borders, f"{named}, first int, last int, final boolean")
+    # The checkpoint keeps rows in order within their partition, and a partition is a piece.
+    summed = turns.select(*by_piece, "given").mapInArrow(_summaries, _sql(_SUMMARY))
+    borders = summed.repartition(*key).sortWithinPartitions(*by_piece).mapInArrow(_borders, _sql(_BORDER))
     made = checkpointed(
-        turns.join(borders, [*key, "piece"])
-        .groupBy(*key, "piece")
-        .applyInPandas(
-            _trace,
-            f"{named}, place long, at int, action string, role string, source_role string, text string, opens boolean, "
-            "turn long, part long, closes boolean, ends boolean",
-        )
+        turns.join(borders, by_piece)
+        .repartition(*by_piece)
+        .sortWithinPartitions(*by_piece, "place")
+        .mapInArrow(_trace, _sql(_MADE))
     )
     # What earlier pieces hold: one row per conversation and piece goes through the windows.
-    sizes = made.groupBy(*key, "piece").agg(
+    sizes = made.groupBy(*by_piece).agg(
         F.max("turn").alias("turns"),
         (F.max(F.struct("turn", "part")).getField("part") + 1).alias("held"),  # parts of the piece's last turn
         F.min(F.struct("place", "at", "opens")).getField("opens").alias("begins"),
     )
-    by_piece = Window.partitionBy(*key).orderBy("piece")
+    order = Window.partitionBy(*key).orderBy("piece")
     offsets = (
-        sizes.withColumn("turn_base", F.coalesce(F.sum("turns").over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("run", F.sum(F.when(F.col("turns") > 0, 1).otherwise(0)).over(by_piece))
+        sizes.withColumn("turn_base", F.coalesce(F.sum("turns").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("run", F.sum(F.when(F.col("turns") > 0, 1).otherwise(0)).over(order))
         .withColumn("carried", F.sum("held").over(Window.partitionBy(*key, "run").orderBy("piece")))
-        .withColumn("part_base", F.coalesce(F.lag("carried").over(by_piece), F.lit(0)))
-        .withColumn("next_begins", F.coalesce(F.lead("begins").over(by_piece), F.lit(True)))
-        .select(*key, "piece", "turn_base", "part_base", "next_begins")
+        .withColumn("part_base", F.coalesce(F.lag("carried").over(order), F.lit(0)))
+        .withColumn("next_begins", F.coalesce(F.lead("begins").over(order), F.lit(True)))
+        .select(*by_piece, "turn_base", "part_base", "next_begins")
     )
     closes = F.when(F.col("ends"), F.col("next_begins")).otherwise(F.col("closes"))
     opening = F.when(F.col("opens"), F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"))).otherwise(F.lit("\n"))
-    return made.join(offsets, [*key, "piece"]).select(
+    return made.join(offsets, by_piece).select(
         F.when(~F.col("unnamed"), F.col("conv_id")).alias("conv_id"),
         (F.col("turn_base") + F.col("turn") - 1).alias("out_turn"),
         (F.col("part") + F.when(F.col("turn") == 0, F.col("part_base")).otherwise(0)).alias("part"),
