@@ -88,7 +88,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node; root is the least node.
 
     Alternating large-star and small-star steps; each joins the edges with one row per node, so the
-    neighbours of a node are never gathered, and nodes with many go by `join_counted`. A checkpoint per round keeps the plan short.
+    neighbours of a node are never gathered. A checkpoint per round keeps the plan short.
     """
     pairs = checkpointed(
         links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
@@ -102,9 +102,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             )
         state = now
         both = pairs.union(pairs.select("lo", "hi")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("m"), F.count("*").alias("n"))
-        found = join_counted(both, least, ["node"], "n", 2 * now[0])
-        large = found.where("other > node").select(F.col("other").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("m"))
+        large = both.join(least, "node").where("other > node").select(F.col("other").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = checkpointed(moved.union(least).distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.common import plain_columns, text_or_empty
-from sessionmill.llm.words import SHINGLE, batch_words, window_hashes
+from sessionmill.llm.words import SHINGLE, batch_words, text_slices, window_hashes
 
 COVERAGE = 0.8
 BLOCK_BYTES = 16 << 20
@@ -83,6 +83,10 @@ class SeedIndex:
         """(row, item, coverage, tiles) of every contaminated pair, by row."""
         if not len(self.seeds):
             return
+        for first, stop in text_slices(texts):
+            yield from ((first + row, *found) for row, *found in self._slice(texts.slice(first, stop - first), coverage))
+
+    def _slice(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
         words, begins = batch_words(texts)
         hashes = window_hashes(words, SHINGLE)
         at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.common import checkpointed, components, free_name, join_counted, plain_columns, row_keys, small
-from sessionmill.llm.words import SHINGLE, batch_words, mix, shingles
+from sessionmill.llm.words import SHINGLE, batch_words, mix, shingles, text_slices
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
@@ -76,7 +76,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_slices(whole["text"])):
         words, begins = batch_words(batch["text"])
         node, sizes, signatures, keys = [], [], [], []
         for i in range(batch.num_rows):

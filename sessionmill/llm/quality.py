@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote on every text: bad (1), good (-1) or no vot
 maximisation over the counts of all vote patterns (at most 3^labellers rows, whatever the corpus) estimates
 for each labeller how it votes on good and on bad texts, and gives each pattern a posterior. A linear
 scorer over hashed features (words, word lists, the signs between words, letter case, repeats) then learns the
-posteriors, from the `SAMPLE` rows whose key hashes come first, and judges every text.
+posteriors, from `SAMPLE` rows, those whose key hashes come first, and judges every text.
 
 There are two such targets: junk and abuse. A text is kept if neither scorer finds it more likely bad than
 good. The tables of labels are not used; they serve the tests as held-out truth.
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.common import plain_columns, row_keys
-from sessionmill.llm.words import mix, prefix_sums, span_hashes, window_hashes
+from sessionmill.llm.words import mix, prefix_sums, span_hashes, text_slices, window_hashes
 
 SAMPLE = 6000
 FEATURES = 1 << 15
 ROUNDS_EM, ROUNDS_FIT = 60, 300
 LEAST_SEEN, RIDGE, RATE = 0.01, 1e-5, 1.0
-_SLICE = 4 << 20
+_HASHES = 1 << 40
+_FEATURE_ROWS = "place long, votes array<string>, index array<int>, value array<float>"
 
 STOP_WORDS = (
     "the of and to in is that it for on with as was at by be this are from or an a not have "
@@ -135,14 +136,10 @@ def _measure(texts: pa.Array) -> Measured:
 
 
 def measured(texts: pa.Array) -> Iterator[tuple[int, int, Measured]]:
-    """Slices (first, end, measures) of some megabytes each."""
+    """Slices (first, end, measures) of about a megabyte each."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
-        yield at, stop, _measure(texts.slice(at, stop - at))
-        at = stop
+    for first, stop in text_slices(texts):
+        yield first, stop, _measure(texts.slice(first, stop - first))
 
 
 def _vote(value: np.ndarray, good: float, bad: float) -> np.ndarray:
@@ -197,22 +194,19 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return bad, rates
 
 
-def fit_scorer(rows: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS_FIT) -> np.ndarray:
-    """Weights (the last one is the bias) of a logistic scorer; a row is its features and their values."""
+def fit_scorer(index: np.ndarray, value: np.ndarray, owner: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS_FIT) -> np.ndarray:
+    """Weights (the last one is the bias) of a logistic scorer; entries are a feature, its value and its row."""
     if not len(labels):
         return np.zeros(FEATURES + 1)
-    index = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
-    value = np.concatenate([np.zeros(0), *sizes])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    # Both classes weigh the same, so that a rare one is learnt; the bias is then set back to the prior.
+    # Both classes weigh the same, so that a rare one is learnt.
     share = min(max(float(labels.mean()), 1e-4), 1 - 1e-4)
     weight = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
-    seen = np.bincount(index, minlength=FEATURES) >= max(3, LEAST_SEEN * len(rows))  # rare ones only learn rows by heart
+    seen = np.bincount(index, minlength=FEATURES) >= max(3, LEAST_SEEN * len(labels))  # rare ones only learn rows by heart
     index, value, owner = index[seen[index]], value[seen[index]], owner[seen[index]]
     weights, squares = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
     for _ in range(rounds):  # AdaGrad over the whole sample
-        margin = np.bincount(owner, value * weights[index], len(rows)) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) * weight / len(rows)
+        margin = np.bincount(owner, value * weights[index], len(labels)) + weights[-1]
+        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) * weight / len(labels)
         slope = np.append(np.bincount(index, value * error[owner], FEATURES), error.sum()) + RIDGE * weights
         squares += slope * slope
         weights -= RATE * slope / np.sqrt(squares)
@@ -267,31 +261,33 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         patterns = np.array([["-.+".index(c) - 1 for c in k] for k in keys], dtype=int).reshape(len(keys), -1 if keys else 1)
         bad, rates[target] = expectation_maximisation(patterns, np.array([table[k] for k in keys], dtype=float))
         posterior[target] = dict(zip(keys, bad, strict=True))
-    order = F.xxhash64(*row_keys(), F.lit("sample"))
-    chosen = docs.select("text", order.alias("o")).orderBy("o").limit(sample).drop("o").mapInArrow(_features, "votes array<string>, index array<int>, value array<float>")
-    rows, sizes, labels = [], [], {t: [] for t in TARGETS}
-    part = chosen.toArrow()
-    for v, index, value in zip(part["votes"], part["index"], part["value"], strict=True):
-        rows.append(index.values.to_numpy().astype(np.int64))
-        sizes.append(value.values.to_numpy().astype(float))
-        for target, key in zip(TARGETS, v.as_py(), strict=True):
-            labels[target].append(posterior[target].get(key, 0.5))
-    return Model({t: fit_scorer(rows, sizes, np.array(labels[t])) for t in TARGETS}, rates)
+    # Rows whose key hash lies below a bound that lets some more than the sample pass; they are few and
+    # spread over all tasks, so only their features travel.
+    order = F.pmod(F.xxhash64(*row_keys(), F.lit("sample")), F.lit(_HASHES))
+    bound = min(_HASHES, 1 + int(1.2 * sample / max(1, sum(row["count"] for row in counted)) * _HASHES))
+    chosen = docs.select("text", order.alias("place")).where(F.col("place") < bound).mapInArrow(_features, _FEATURE_ROWS)
+    part = chosen.limit(2 * sample).toArrow().sort_by("place").slice(0, sample).combine_chunks()
+    lengths = pc.list_value_length(part["index"]).to_numpy()
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    index, value = (pc.list_flatten(part[name]).to_numpy() for name in ("index", "value"))
+    labels = {t: np.array([posterior[t].get(v[k].as_py(), 0.5) for v in part["votes"]]) for k, t in enumerate(TARGETS)}
+    return Model({t: fit_scorer(index, value, owner, labels[t]) for t in TARGETS}, rates)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, m in measured(batch["text"]):
+        for first, stop, m in measured(batch["text"]):
             v = votes(m.counts)
             keys = list(zip(*[_vote_keys(v[t]) for t in TARGETS], strict=True))
             pairs = [_values(m.features[a:b]) for a, b in zip(m.begins[:-1], m.begins[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch["place"].slice(first, stop - first),
                     pa.array([list(k) for k in keys], pa.list_(pa.string())),
                     pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
                     pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32())),
                 ],
-                ["votes", "index", "value"],
+                ["place", "votes", "index", "value"],
             )
 
 

@@ -7,6 +7,8 @@ words. All values are modulo 2^64 and are mixed at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,17 +57,25 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def text_slices(texts: pa.Array, limit: int = _SEGMENT) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes together, so that what is derived from them stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, stop
+        at = stop
+
+
 def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and for each text where its words begin (one more than texts)."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    hashes, begins, at, total = [], [np.zeros(1, dtype=np.int64)], 0, 0
-    while at < len(texts):  # some megabytes at a time
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4 * _SEGMENT, side="right")))
-        some, places = _words(pc.utf8_lower(texts.slice(at, stop - at)))
+    hashes, begins, total = [], [np.zeros(1, dtype=np.int64)], 0
+    for first, stop in text_slices(texts):
+        some, places = _words(pc.utf8_lower(texts.slice(first, stop - first)))
         hashes.append(some)
         begins.append(places[1:] + total)
-        at, total = stop, total + len(some)
+        total += len(some)
     return np.concatenate([np.zeros(0, dtype=np.uint64), *hashes]), np.concatenate(begins)
 
 
