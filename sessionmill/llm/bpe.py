@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.common import checkpointed, free_name, plain_columns, text_or_empty
+from sessionmill.llm.words import text_slices
 
 CHUNK, OVERLAP = 32768, 256
-_CACHE = 200_000
+_CACHE = 100_000
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -122,7 +123,7 @@ def _coded(docs: DataFrame, ranks: bytes, pattern: str, digests: bool, chunk: in
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_slices(whole.column(place))):
             rows = [_result(encoder.pattern.findall(t.as_py() or ""), encoder, digests) for t in batch.column(place)]
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
