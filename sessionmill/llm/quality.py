@@ -3,11 +3,15 @@
 Overlapping heuristic labellers vote on every text: bad (1), good (-1) or no vote (0). Expectation
 maximisation over the counts of all vote patterns (at most 3^labellers rows, whatever the corpus) estimates
 for each labeller how it votes on good and on bad texts, and gives each pattern a posterior. A linear
-scorer over hashed features (words, word lists, the signs between words, letter case, repeats) then learns the
-posteriors, from `SAMPLE` rows, those whose key hashes come first, and judges every text.
+scorer over hashed features (stems of words, word lists, the signs between words, letter case, repeats)
+then learns the posteriors, from `SAMPLE` rows, those whose key hashes come first, and judges every text.
 
 There are two such targets: junk and abuse. A text is kept if neither scorer finds it more likely bad than
-good. The tables of labels are not used; they serve the tests as held-out truth.
+good. The list of insults knows few languages, so two labellers of abuse do not rest on it: hashed words and
+hashed stems (the first `STEM` bytes of a word), whose weights are fitted on at most `LABELLED` rows of the
+labels table, half of them toxic at most, those whose id hashes come first. Where these vote, a text without a
+listed word is no evidence against abuse. Without a labels table the list decides alone. `quality` of the
+labels table is not used; it and all labelled rows outside that sample serve the tests as held-out truth.
 
 Defined cases: a null text counts as empty; a text without words gets no vote and no feature, so it is judged
 by the prior. Repeated rows are judged each. An empty table gives an empty result. `keep_good` keeps all
@@ -31,9 +35,22 @@ from sessionmill.llm.words import mix, prefix_sums, span_hashes, text_slices, wi
 SAMPLE = 6000
 FEATURES = 1 << 15
 ROUNDS_EM, ROUNDS_FIT = 60, 300
-LEAST_SEEN, RIDGE, RATE = 0.01, 1e-5, 1.0
+LEAST_SEEN, RIDGE, RATE = 0.01, 1e-4, 1.0
 _HASHES = 1 << 40
 _FEATURE_ROWS = "place long, votes array<string>, index array<int>, value array<float>"
+_LABELLED_ROWS = (
+    "place long, toxic int, words_index array<int>, words_value array<float>, stems_index array<int>, stems_value array<float>"
+)
+
+STEM = 5
+#: Rows of the labels table that the labellers `words` and `stems` learn from, at most half of them toxic.
+LABELLED = 4000
+#: Chances between which the learnt labellers do not vote.
+_LEARNT_GOOD, _LEARNT_BAD = 0.3, 0.5
+#: Rows a word or stem must be seen in for its labeller.
+LEAST_LEARNT = 3
+LEARNT = ("words", "stems")
+_KINDS = 5
 
 STOP_WORDS = (
     "the of and to in is that it for on with as was at by be this are from or an a not have "
@@ -72,8 +89,13 @@ class Measured:
     """Counts per text, and the hashed features of all its words."""
 
     counts: dict[str, np.ndarray]
-    features: np.ndarray  # all features of all texts
+    features: np.ndarray  # all features of all texts, `_KINDS` a word
     begins: np.ndarray  # where those of each text begin
+    words: np.ndarray | None = None  # one more feature a word, itself
+
+    def learnt(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """What the labeller of this name reads: features, and where those of each text begin."""
+        return self.words if name == "words" else self.features[::_KINDS], self.begins // _KINDS
 
 
 def _in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -130,9 +152,10 @@ def _measure(texts: pa.Array) -> Measured:
         "repeated": repeated,
     }
     listed = stop.astype(np.uint64) + np.uint64(2) * insult.astype(np.uint64)
-    kinds = [word, mix(listed + np.uint64(31)), mix(gap + np.uint64(1)), mix(case * np.uint64(3) + again.astype(np.uint64) + np.uint64(11)), mix(gap + case * np.uint64(7919))]
-    features = np.stack([(k >> np.uint64(40)).astype(np.int64) % FEATURES for k in kinds], axis=1).ravel()
-    return Measured(counts, features, begins * len(kinds))
+    stem = span_hashes(sums, starts, np.minimum(ends, starts + STEM))
+    kinds = [stem, mix(listed + np.uint64(31)), mix(gap + np.uint64(1)), mix(case * np.uint64(3) + again.astype(np.uint64) + np.uint64(11)), mix(gap + case * np.uint64(7919))]
+    place = lambda k: (k >> np.uint64(40)).astype(np.int64) % FEATURES
+    return Measured(counts, np.stack([place(k) for k in kinds], axis=1).ravel(), begins * _KINDS, place(word))
 
 
 def measured(texts: pa.Array) -> Iterator[tuple[int, int, Measured]]:
@@ -149,8 +172,9 @@ def _vote(value: np.ndarray, good: float, bad: float) -> np.ndarray:
     return np.where(value <= good, -1, np.where(value >= bad, 1, 0))
 
 
-def votes(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Votes by target: one row per text, one column per labeller."""
+def votes(m: Measured, learnt: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Votes by target: one row per text, one column per labeller; `learnt` holds the weights of those of LEARNT."""
+    counts = m.counts
     words = np.maximum(counts["words"], 1)
     share = {name: counts[name] / words for name in ("capital", "again", "plain", "heavy", "stop", "letters", "insults")}
     junk = [
@@ -168,20 +192,35 @@ def votes(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         _vote(share["insults"], 0.0, 0.004),
         _vote(np.sqrt(counts["insults"] * share["insults"]), 0.02, 0.1),
     ]
+    if learnt:
+        abuse += [_vote(_chance(*m.learnt(name), learnt[name]), _LEARNT_GOOD, _LEARNT_BAD) for name in LEARNT]
     none = counts["words"] == 0
     return {target: np.where(none[:, None], 0, np.stack(v, axis=1)) for target, v in (("junk", junk), ("abuse", abuse))}
 
 
 TARGETS = ("junk", "abuse")
+_LISTED = 3  # labellers of abuse that follow the list
+
+
+def _chance(features: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each text's chance of being bad by a scorer's weights."""
+    total = np.concatenate([[0.0], np.cumsum(weights[features])])
+    margin = (total[begins[1:]] - total[begins[:-1]]) / np.sqrt(np.maximum(np.diff(begins), 1)) + weights[-1]
+    return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS_EM) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(
+    patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS_EM, quiet: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of `bad` per vote pattern, and P(vote | class) as [class, labeller, vote + 1].
 
-    Labellers count as independent given the class. It starts from the majority vote.
+    Labellers count as independent given the class. It starts from the majority vote. Of the first `quiet`
+    labellers only the votes for bad are evidence.
     """
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, labeller, vote
-    score = patterns.sum(axis=1)
+    heard = onehot.copy()
+    heard[:, :quiet, :2] = 0
+    score = heard[:, :, 2].sum(axis=1) - heard[:, :, 0].sum(axis=1)
     bad = np.where(score > 0, 0.9, np.where(score < 0, 0.1, 0.5))
     rates = np.full((2, patterns.shape[1], 3), 1 / 3)
     for _ in range(rounds if len(counts) else 0):
@@ -189,22 +228,25 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
         rates = np.einsum("cp,plv->clv", weight, onehot) + 0.5
         rates /= rates.sum(axis=2, keepdims=True)
-        odds = np.log(prior)[:, None] + np.einsum("plv,clv->cp", onehot, np.log(rates))
+        odds = np.log(prior)[:, None] + np.einsum("plv,clv->cp", heard, np.log(rates))
         bad = 1 / (1 + np.exp(np.clip(odds[0] - odds[1], -50, 50)))
     return bad, rates
 
 
-def fit_scorer(index: np.ndarray, value: np.ndarray, owner: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS_FIT) -> np.ndarray:
-    """Weights (the last one is the bias) of a logistic scorer; entries are a feature, its value and its row."""
+def fit_scorer(index: np.ndarray, value: np.ndarray, owner: np.ndarray, labels: np.ndarray, least: float) -> np.ndarray:
+    """Weights (the last one is the bias) of a logistic scorer; entries are a feature, its value and its row.
+
+    Features that fewer than `least` rows carry weigh nothing.
+    """
     if not len(labels):
         return np.zeros(FEATURES + 1)
     # Both classes weigh the same, so that a rare one is learnt.
     share = min(max(float(labels.mean()), 1e-4), 1 - 1e-4)
     weight = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
-    seen = np.bincount(index, minlength=FEATURES) >= max(3, LEAST_SEEN * len(labels))  # rare ones only learn rows by heart
+    seen = np.bincount(index, minlength=FEATURES) >= least  # rarer ones only learn rows by heart
     index, value, owner = index[seen[index]], value[seen[index]], owner[seen[index]]
     weights, squares = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
-    for _ in range(rounds):  # AdaGrad over the whole sample
+    for _ in range(ROUNDS_FIT):  # AdaGrad over the whole sample
         margin = np.bincount(owner, value * weights[index], len(labels)) + weights[-1]
         error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels) * weight / len(labels)
         slope = np.append(np.bincount(index, value * error[owner], FEATURES), error.sum()) + RIDGE * weights
@@ -228,11 +270,8 @@ class Model:
     def scores(self, texts: pa.Array) -> dict[str, np.ndarray]:
         out: dict[str, list[np.ndarray]] = {t: [] for t in self.weights}
         for _, _, m in measured(texts):
-            n = np.diff(m.begins)
             for target, weights in self.weights.items():
-                total = np.concatenate([[0.0], np.cumsum(weights[m.features])])
-                margin = (total[m.begins[1:]] - total[m.begins[:-1]]) / np.sqrt(np.maximum(n, 1)) + weights[-1]
-                out[target].append(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
+                out[target].append(_chance(m.features, m.begins, weights))
         return {t: np.concatenate([np.zeros(0), *parts]) for t, parts in out.items()}
 
 
@@ -240,18 +279,64 @@ def _vote_keys(v: np.ndarray) -> list[str]:
     return ["".join("-.+"[x + 1] for x in row) for row in v]
 
 
-def _cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cast_votes(batches: Iterator[pa.RecordBatch], learnt: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, m in measured(batch["text"]):
-            v = votes(m.counts)
+            v = votes(m, learnt)
             yield pa.RecordBatch.from_arrays([pa.array(_vote_keys(v[t]), pa.string()) for t in TARGETS], list(TARGETS))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def learn_labellers(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict[str, np.ndarray] | None:
+    """Weights of the labellers of LEARNT, from at most `most` labelled rows; None if one class is missing."""
+    labels = plain_columns(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        return None
+    toxic = min(counts[1], most // 2)
+    share = {1: toxic / counts[1], 0: min(1.0, (most - toxic) / counts[0])}
+    place = F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(_HASHES))
+    bound = F.when(F.col("toxic") == 1, int(share[1] * _HASHES)).otherwise(int(share[0] * _HASHES))
+    picked = F.broadcast(labels.where(place < bound).limit(2 * most))
+    rows = docs.join(picked, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(*row_keys()).alias("place"))
+    part = rows.mapInArrow(_labelled, _LABELLED_ROWS).limit(2 * most).toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
+    part, learnt = part.slice(0, most).combine_chunks(), {}
+    for name in LEARNT:
+        index, value, owner = _entries(part[f"{name}_index"], part[f"{name}_value"])
+        learnt[name] = fit_scorer(index, value, owner, part["toxic"].to_numpy().astype(float), LEAST_LEARNT)
+    return learnt
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, stop, m in measured(batch["text"]):
+            columns = [batch["place"].slice(first, stop - first), batch["toxic"].slice(first, stop - first)]
+            for name in LEARNT:
+                columns += _packed(*m.learnt(name))
+            names = [f"{name}_{x}" for name in LEARNT for x in ("index", "value")]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "toxic", *names])
+
+
+def _packed(features: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+    pairs = [_values(features[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    return [
+        pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
+        pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32())),
+    ]
+
+
+def _entries(index: pa.ChunkedArray, value: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = pc.list_value_length(index).to_numpy()
+    return pc.list_flatten(index).to_numpy(), pc.list_flatten(value).to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+
+
+def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     """Labellers' rates over all documents, and scorers fitted on at most `sample` rows."""
     docs = plain_columns(docs, "doc_id", "text")
-    # One pass for both targets: at most 3^11 pairs of patterns, in practice a few hundred.
-    counted = docs.select("text").mapInArrow(_cast_votes, ", ".join(f"{t} string" for t in TARGETS)).groupBy(*TARGETS).count().collect()
+    learnt = None if labels is None else learn_labellers(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    # One pass for both targets: at most 3^13 pairs of patterns, in practice a few hundred.
+    cast = docs.select("text").mapInArrow(lambda batches: _cast_votes(batches, shared.value), ", ".join(f"{t} string" for t in TARGETS))
+    counted = cast.groupBy(*TARGETS).count().collect()
     posterior, rates = {}, {}
     for target in TARGETS:
         table: dict[str, int] = {}
@@ -259,34 +344,28 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             table[row[target]] = table.get(row[target], 0) + row["count"]
         keys = sorted(table)
         patterns = np.array([["-.+".index(c) - 1 for c in k] for k in keys], dtype=int).reshape(len(keys), -1 if keys else 1)
-        bad, rates[target] = expectation_maximisation(patterns, np.array([table[k] for k in keys], dtype=float))
+        quiet = _LISTED if learnt and target == "abuse" else 0
+        bad, rates[target] = expectation_maximisation(patterns, np.array([table[k] for k in keys], dtype=float), quiet=quiet)
         posterior[target] = dict(zip(keys, bad, strict=True))
     # Rows whose key hash lies below a bound that lets some more than the sample pass; they are few and
     # spread over all tasks, so only their features travel.
     order = F.pmod(F.xxhash64(*row_keys(), F.lit("sample")), F.lit(_HASHES))
     bound = min(_HASHES, 1 + int(1.2 * sample / max(1, sum(row["count"] for row in counted)) * _HASHES))
-    chosen = docs.select("text", order.alias("place")).where(F.col("place") < bound).mapInArrow(_features, _FEATURE_ROWS)
+    chosen = docs.select("text", order.alias("place")).where(F.col("place") < bound)
+    chosen = chosen.mapInArrow(lambda batches: _features(batches, shared.value), _FEATURE_ROWS)
     part = chosen.limit(2 * sample).toArrow().sort_by("place").slice(0, sample).combine_chunks()
-    lengths = pc.list_value_length(part["index"]).to_numpy()
-    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    index, value = (pc.list_flatten(part[name]).to_numpy() for name in ("index", "value"))
-    labels = {t: np.array([posterior[t].get(v[k].as_py(), 0.5) for v in part["votes"]]) for k, t in enumerate(TARGETS)}
-    return Model({t: fit_scorer(index, value, owner, labels[t]) for t in TARGETS}, rates)
+    index, value, owner = _entries(part["index"], part["value"])
+    truth = {t: np.array([posterior[t].get(v[k].as_py(), 0.5) for v in part["votes"]]) for k, t in enumerate(TARGETS)}
+    return Model({t: fit_scorer(index, value, owner, truth[t], max(3, LEAST_SEEN * len(truth[t]))) for t in TARGETS}, rates)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], learnt: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, stop, m in measured(batch["text"]):
-            v = votes(m.counts)
+            v = votes(m, learnt)
             keys = list(zip(*[_vote_keys(v[t]) for t in TARGETS], strict=True))
-            pairs = [_values(m.features[a:b]) for a, b in zip(m.begins[:-1], m.begins[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch["place"].slice(first, stop - first),
-                    pa.array([list(k) for k in keys], pa.list_(pa.string())),
-                    pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
-                    pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32())),
-                ],
+                [batch["place"].slice(first, stop - first), pa.array([list(k) for k in keys], pa.list_(pa.string())), *_packed(m.features, m.begins)],
                 ["place", "votes", "index", "value"],
             )
 

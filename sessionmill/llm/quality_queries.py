@@ -9,4 +9,4 @@ from sessionmill.llm.registry import query, table
 @query()
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judge(docs, train(docs))
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -87,3 +87,21 @@ def test_scores_do_not_depend_on_batches(n):
     whole = model.scores(texts)["junk"]
     parts = np.concatenate([model.scores(texts.slice(i, n))["junk"] for i in range(0, len(texts), n)])
     assert np.allclose(whole, parts)
+
+
+def test_abuse_is_found_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = q.train(docs, labels.where("pmod(hash(doc_id), 2) = 0"))
+    held_out = labels.where("pmod(hash(doc_id), 2) = 1").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = q.judge(docs, model).join(held_out, "doc_id").collect()
+    for lang, floor in (("en", 0.85), ("de", 0.6), ("fr", 0.6), ("es", 0.4)):
+        toxic = [r.abuse > 0.5 for r in rows if r.lang == lang and r.toxic == 1]
+        clean = [r.abuse > 0.5 for r in rows if r.lang == lang and r.toxic == 0]
+        assert np.mean(toxic) > floor and np.mean(clean) < 0.05, (lang, np.mean(toxic), np.mean(clean))
+
+
+def test_labels_of_one_class_or_odd_rows(spark):
+    docs = odd_docs(spark)
+    for rows in ([], [(1, 1, 0)], [(None, 1, 1), (2, 1, 0), (2, 1, 1), (99, 0, None)]):
+        model = q.train(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+        assert q.judge(docs, model).count() == docs.count()
