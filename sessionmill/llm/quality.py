@@ -4,7 +4,9 @@ Overlapping heuristic labellers vote on every text: bad (1), good (-1) or no vot
 maximisation over the counts of all vote patterns (at most 3^labellers rows, whatever the corpus) estimates
 for each labeller how it votes on good and on bad texts, and gives each pattern a posterior. A linear
 scorer over hashed features (stems of words, word lists, the signs between words, letter case, repeats)
-then learns the posteriors, from `SAMPLE` rows, those whose key hashes come first, and judges every text.
+then learns the posteriors, from `SAMPLE` rows, and judges every text. Half of these rows go to the vote patterns by their share
+of the documents, the others to the rare patterns first (`quotas`); of a pattern, those rows are taken whose key
+hashes come first, and they weigh as much as all rows of the pattern.
 
 There are two such targets: junk and abuse. A text is kept if neither scorer finds it more likely bad than
 good. The list of insults knows few languages, so two labellers of abuse do not rest on it: hashed words and
@@ -35,7 +37,7 @@ from sessionmill.llm.words import mix, prefix_sums, span_hashes, text_slices, wi
 SAMPLE = 6000
 FEATURES = 1 << 15
 ROUNDS_EM, ROUNDS_FIT = 60, 300
-LEAST_SEEN, RIDGE, RATE = 0.01, 1e-4, 1.0
+LEAST_SEEN, RIDGE, RATE = 3, 1e-4, 1.0
 _HASHES = 1 << 40
 _FEATURE_ROWS = "place long, votes array<string>, index array<int>, value array<float>"
 _LABELLED_ROWS = (
@@ -47,8 +49,6 @@ STEM = 5
 LABELLED = 4000
 #: Chances between which the learnt labellers do not vote.
 _LEARNT_GOOD, _LEARNT_BAD = 0.3, 0.5
-#: Rows a word or stem must be seen in for its labeller.
-LEAST_LEARNT = 3
 LEARNT = ("words", "stems")
 _KINDS = 5
 
@@ -233,17 +233,18 @@ def expectation_maximisation(
     return bad, rates
 
 
-def fit_scorer(index: np.ndarray, value: np.ndarray, owner: np.ndarray, labels: np.ndarray, least: float) -> np.ndarray:
+def fit_scorer(index: np.ndarray, value: np.ndarray, owner: np.ndarray, labels: np.ndarray, amount: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last one is the bias) of a logistic scorer; entries are a feature, its value and its row.
 
-    Features that fewer than `least` rows carry weigh nothing.
+    A row stands for `amount` rows. Features that fewer than `LEAST_SEEN` rows carry weigh nothing.
     """
     if not len(labels):
         return np.zeros(FEATURES + 1)
     # Both classes weigh the same, so that a rare one is learnt.
-    share = min(max(float(labels.mean()), 1e-4), 1 - 1e-4)
-    weight = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
-    seen = np.bincount(index, minlength=FEATURES) >= least  # rarer ones only learn rows by heart
+    amount = np.ones(len(labels)) if amount is None else amount / amount.mean()
+    share = min(max(float((labels * amount).mean()), 1e-4), 1 - 1e-4)
+    weight = amount * np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
+    seen = np.bincount(index, minlength=FEATURES) >= LEAST_SEEN  # rarer ones only learn rows by heart
     index, value, owner = index[seen[index]], value[seen[index]], owner[seen[index]]
     weights, squares = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-8)
     for _ in range(ROUNDS_FIT):  # AdaGrad over the whole sample
@@ -302,7 +303,7 @@ def learn_labellers(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
     part, learnt = part.slice(0, most).combine_chunks(), {}
     for name in LEARNT:
         index, value, owner = _entries(part[f"{name}_index"], part[f"{name}_value"])
-        learnt[name] = fit_scorer(index, value, owner, part["toxic"].to_numpy().astype(float), LEAST_LEARNT)
+        learnt[name] = fit_scorer(index, value, owner, part["toxic"].to_numpy().astype(float))
     return learnt
 
 
@@ -311,13 +312,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, stop, m in measured(batch["text"]):
             columns = [batch["place"].slice(first, stop - first), batch["toxic"].slice(first, stop - first)]
             for name in LEARNT:
-                columns += _packed(*m.learnt(name))
+                features, begins = m.learnt(name)
+                columns += _packed([_values(features[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)])
             names = [f"{name}_{x}" for name in LEARNT for x in ("index", "value")]
             yield pa.RecordBatch.from_arrays(columns, ["place", "toxic", *names])
 
 
-def _packed(features: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
-    pairs = [_values(features[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+def _packed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
     return [
         pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
         pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32())),
@@ -347,27 +348,50 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
         quiet = _LISTED if learnt and target == "abuse" else 0
         bad, rates[target] = expectation_maximisation(patterns, np.array([table[k] for k in keys], dtype=float), quiet=quiet)
         posterior[target] = dict(zip(keys, bad, strict=True))
-    # Rows whose key hash lies below a bound that lets some more than the sample pass; they are few and
-    # spread over all tasks, so only their features travel.
+    # Rows whose key hash lies below their pattern's bound, which lets some more than the quota pass; they are
+    # few and spread over all tasks, so only their features travel.
     order = F.pmod(F.xxhash64(*row_keys(), F.lit("sample")), F.lit(_HASHES))
-    bound = min(_HASHES, 1 + int(1.2 * sample / max(1, sum(row["count"] for row in counted)) * _HASHES))
-    chosen = docs.select("text", order.alias("place")).where(F.col("place") < bound)
-    chosen = chosen.mapInArrow(lambda batches: _features(batches, shared.value), _FEATURE_ROWS)
-    part = chosen.limit(2 * sample).toArrow().sort_by("place").slice(0, sample).combine_chunks()
+    held = {tuple(row[t] for t in TARGETS): row["count"] for row in counted}
+    quota = dict(zip(held, quotas(np.array(list(held.values()), dtype=float), sample), strict=True))
+    bounds = {k: min(_HASHES, 1 + int((n + 2 * np.sqrt(n) + 1) / held[k] * _HASHES)) for k, n in quota.items()}
+    picks = docs.sparkSession.sparkContext.broadcast((learnt, bounds))
+    chosen = docs.select("text", order.alias("place")).mapInArrow(lambda batches: _features(batches, *picks.value), _FEATURE_ROWS)
+    part = chosen.limit(4 * sample).toArrow().sort_by("place").combine_chunks()
+    pattern, taken, rows = [tuple(v) for v in part["votes"].to_pylist()], dict.fromkeys(held, 0), []
+    for k, key in enumerate(pattern):
+        if taken.get(key, np.inf) < quota.get(key, 0):
+            taken[key] += 1
+            rows.append(k)
+    part = part.take(pa.array(rows, pa.int64())).combine_chunks()
     index, value, owner = _entries(part["index"], part["value"])
-    truth = {t: np.array([posterior[t].get(v[k].as_py(), 0.5) for v in part["votes"]]) for k, t in enumerate(TARGETS)}
-    return Model({t: fit_scorer(index, value, owner, truth[t], max(3, LEAST_SEEN * len(truth[t]))) for t in TARGETS}, rates)
+    amount = np.array([held[pattern[k]] / taken[pattern[k]] for k in rows])
+    truth = {t: np.array([posterior[t][pattern[j][k]] for j in rows]) for k, t in enumerate(TARGETS)}
+    return Model({t: fit_scorer(index, value, owner, truth[t], amount) for t in TARGETS}, rates)
 
 
-def _features(batches: Iterator[pa.RecordBatch], learnt: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def quotas(counts: np.ndarray, sample: int) -> np.ndarray:
+    """Rows to take of each pattern, about `sample` together: half by share, the rest where a pattern has fewest."""
+    if counts.sum() <= sample:
+        return counts
+    shared, low, high = counts / counts.sum() * sample / 2, 0.0, float(sample)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.minimum(counts, np.maximum(shared, middle)).sum() <= sample else (low, middle)
+    return np.minimum(counts, np.maximum(shared, low))
+
+
+def _features(
+    batches: Iterator[pa.RecordBatch], learnt: dict[str, np.ndarray] | None, bounds: dict[tuple[str, ...], int]
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, stop, m in measured(batch["text"]):
             v = votes(m, learnt)
             keys = list(zip(*[_vote_keys(v[t]) for t in TARGETS], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch["place"].slice(first, stop - first), pa.array([list(k) for k in keys], pa.list_(pa.string())), *_packed(m.features, m.begins)],
-                ["place", "votes", "index", "value"],
-            )
+            place = batch["place"].slice(first, stop - first)
+            taken = np.flatnonzero(place.to_numpy() < np.array([bounds.get(k, 0) for k in keys]))
+            pairs = [_values(m.features[m.begins[k] : m.begins[k + 1]]) for k in taken]
+            votes_taken = pa.array([list(keys[k]) for k in taken], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([place.take(pa.array(taken, pa.int64())), votes_taken, *_packed(pairs)], ["place", "votes", "index", "value"])
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

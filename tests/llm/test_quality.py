@@ -105,3 +105,20 @@ def test_labels_of_one_class_or_odd_rows(spark):
     for rows in ([], [(1, 1, 0)], [(None, 1, 1), (2, 1, 0), (2, 1, 1), (99, 0, None)]):
         model = q.train(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
         assert q.judge(docs, model).count() == docs.count()
+
+
+def test_rare_abuse_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    sentences = [" ".join(rng.choice(" ".join(GOOD).split(), 12)) + ". " for _ in range(400)]
+    texts = ["".join(rng.choice(sentences, 8)) + f" number {i}" for i in range(20_000)]
+    rude = ["".join(rng.choice(sentences, 6)) + f" you idiot, pathetic scum and clown {i}. " for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + rude)), "doc_id long, text string").repartition(8)
+    rejected = {r.doc_id for r in q.judge(docs, q.train(docs)).where("abuse > 0.5").collect()}
+    assert rejected == set(range(20_000, 20_020))
+
+
+def test_quotas_take_rare_patterns_whole():
+    counts = np.array([1e7, 5e5, 40.0, 3.0])
+    got = q.quotas(counts, 6000)
+    assert abs(got.sum() - 6000) < 1 and list(got[2:]) == [40, 3] and got[0] >= 2800
+    assert list(q.quotas(np.array([5.0, 1.0]), 6000)) == [5, 1]
