@@ -3,7 +3,8 @@
 Transducers rewrite a text step by step: look-alike characters to ASCII, invisible ones to nothing, runs of
 spelled digits to digits, disguised `at` and `dot` to the signs. Each step keeps its edits, so a span in
 the rewritten text maps back to the characters of the source, edit by edit. Spans that need an edit are
-added to the plain ones; a plain span is never changed, and an added span overlaps no plain one of its kind.
+added to the plain ones; a plain span is never changed. An added span overlaps plain ones of its kind only where
+it is larger: a disguise within an identifier often leaves a part of it that looks plain by itself.
 
 Per kind, plain spans are leftmost and do not overlap; a match that fails its check (octets up to 255, 16 to
 19 digits with a right Luhn sum, 8 to 15 digits of a phone number) is dropped without another try.
@@ -194,7 +195,18 @@ _HINT = (
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans by kind that only the rewritten text shows, none overlapping a plain span of the kind."""
+    """The spans of `hidden` that overlap no plain span of their kind."""
+    return {kind: [s for s in spans if not _overlapped(plain[kind], s)] for kind, spans in hidden(text, plain).items()}
+
+
+def _overlapped(spans: list[Span], span: Span) -> list[Span]:
+    """Those of the sorted, disjoint spans that overlap the span."""
+    low = bisect_left(spans, span[0] + 1, key=lambda s: s[1])
+    return spans[low : bisect_left(spans, span[1], key=lambda s: s[0])]
+
+
+def hidden(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """Spans by kind that only the rewritten text shows; each is larger than every plain span of its kind that it overlaps."""
     steps: list[Rewritten] = []
     now = text
     for transducer in TRANSDUCERS:
@@ -206,15 +218,13 @@ def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     if not steps:
         return found
     for kind, spans in detect(now).items():
-        taken = list(plain[kind])
         for span in spans:
             edited = False
             for step in reversed(steps):
                 edited = edited or step.touched(span)
                 span = step.back(span)
-            k = bisect_left(taken, span)
-            if edited and (k == 0 or taken[k - 1][1] <= span[0]) and (k == len(taken) or span[1] <= taken[k][0]):
-                taken.insert(k, span)
+            size = span[1] - span[0]
+            if edited and all(end - start < size for start, end in _overlapped(plain[kind], span)):
                 found[kind].append(span)
     return found
 
@@ -232,7 +242,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, hint in zip(texts, hints, strict=True):
             text = text.as_py()
             plain = detect(text)
-            more = disguised(text, plain) if hint else dict.fromkeys(KINDS, [])
+            more = hidden(text, plain) if hint else dict.fromkeys(KINDS, [])
             for kind in KINDS:
                 counts[kind].append(len(plain[kind]))
             digests.append(hashlib.sha256(_line(plain).encode()).hexdigest())
@@ -256,7 +266,7 @@ def _mask(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBa
         out = []
         for text in batch.column(place).to_pylist():
             plain = detect(text or "")
-            more = disguised(text or "", plain)
+            more = hidden(text or "", plain)
             spans = sorted((*span, kind) for kind in KINDS for span in plain[kind] + more[kind])
             parts, at = [], 0
             for start, end, kind in spans:  # where kinds overlap, the earlier one names the part

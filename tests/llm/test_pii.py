@@ -92,3 +92,15 @@ def test_table_of_odd_rows(spark):
     assert pii.find_pii(docs.where("false")).collect() == []
     masked = pii.mask_pii(docs)
     assert masked.columns == docs.columns and {r.text for r in masked.collect()} == {"[email] [ip]", None, "", "[phone]", "é" * 9 + "[email]"}
+
+
+def test_partly_disguised_identifiers_are_found_whole(spark):
+    cases = ["j\u043ehn.doe@example.com", "john@mail.ex\u0430mple.com", "1\uff192.168.0.1", "+1 555 010 99\uff19\uff19"]
+    docs = odd_docs(spark, list(enumerate(f"x {c} y" for c in cases)))
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
+    for i, (case, kind) in enumerate(zip(cases, ("email", "email", "ip", "phone"), strict=True)):
+        text = f"x {case} y"
+        assert f"{kind}:2:{2 + len(case)}" in rows[i].spans.split(",") and rows[i].n_added == 1
+        assert rows[i].base_sha256 == hashlib.sha256(pii._line(brute(text)).encode()).hexdigest()
+        assert masked[i] == f"x [{kind}] y"
