@@ -10,7 +10,9 @@ Per kind, plain spans are leftmost and do not overlap; a match that fails its ch
 19 digits with a right Luhn sum, 8 to 15 digits of a phone number) is dropped without another try.
 
 Defined cases: a null text counts as empty and has no spans. A spelled digit counts only in a run of three
-or more. `at` between blanks counts only before a host with a disguised dot. Positions are code points, the
+or more, plain digits beside it included. A spaced `@` counts before any host with a disguised dot or an ending that
+begins with a letter; `at` between blanks only before a disguised dot, or before such an ending if the word in
+front ends in a part after one of `._%+-` or has a digit after a letter, or follows a word of `_CUE` (`look at example.com` is no address). Positions are code points, the
 end exclusive. Repeated rows and null ids are answered row by row; an empty table gives an empty result;
 other columns are not read. No step's time grows with the square of a text's length.
 """
@@ -144,11 +146,17 @@ _LOOKALIKE = re.compile("[" + re.escape("".join(_LOOKALIKES)) + "]")
 
 _NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![a-z])(?:plus[ -])?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}|[ ,-]{{1,2}}dot[ ,-]{{1,2}}{_NUMBER})+(?![a-z])")
+_SPELLED = re.compile(rf"(?i)(?<![a-z])(?:plus[ -])?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}|[ ,-]{{1,2}}dot[ ,-]{{1,2}}{_NUMBER})*(?![a-z])")
+_BESIDE = 24  # characters before and after a spelled run in which plain digits beside it count
+_DIGITS_BEFORE = re.compile(r"[0-9][0-9 ,().-]*[ ,-]$")
+_DIGITS_AFTER = re.compile(r"[ ,-]{1,2}[0-9][0-9 ,().-]*")
 _SPELLED_PART = re.compile(rf"(?i)plus[ -]|{_NUMBER}|[ ,-]+dot[ ,-]+|[ ,-]+")
 _BRACKETED = re.compile(r"(?i)\s{0,3}(?:\[\s?(at|dot|@|\.)\s?\]|\(\s?(at|dot|@|\.)\s?\)|\{\s?(at|dot|@|\.)\s?\}|<\s?(at|dot|@|\.)\s?>)\s{0,3}")
 _BARE = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})(?=[A-Za-z0-9])[A-Za-z0-9-]++(?:(?:\.|\s{1,3}dot\s{1,3})[A-Za-z0-9-]++)+")
 _DOT = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
+_ENDING = re.compile(r"\.[A-Za-z][A-Za-z0-9-]+\Z")
+_CUE = re.compile(r"(?i)\b(?:e-?mail|mailto|mail to|write to|contact|address is)(?:\s{0,3}:)?\s{1,3}(?!(?:us|me|him|her|them)\Z)[a-z0-9._%+-]{1,64}\Z")
+_NAME = re.compile(r"(?:[A-Za-z0-9][._%+-]+[A-Za-z0-9]+|[A-Za-z][0-9]+[A-Za-z]*)\Z")
 _LOCAL_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9._%+-]{1,64}@)")
 _SIGN = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
@@ -161,7 +169,10 @@ def _lookalikes(text: str) -> Iterator[tuple[int, int, str]]:
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     for run in _SPELLED.finditer(text):
         parts = [(m.start(), m.end(), m[0].lower()) for m in _SPELLED_PART.finditer(text, run.start(), run.end())]
-        if sum(p[2] in _NUMBERS for p in parts) >= 3:
+        before = _DIGITS_BEFORE.search(text[max(0, run.start() - _BESIDE) : run.start()])
+        after = _DIGITS_AFTER.match(text[run.end() : run.end() + _BESIDE])
+        beside = sum(len(_NO_DIGIT.sub("", m[0])) for m in (before, after) if m)
+        if beside + sum(p[2] in _NUMBERS for p in parts) >= 3:
             for start, end, part in parts:
                 yield start, end, _NUMBERS.get(part) or ("+" if "plus" in part else "." if "dot" in part else "")
 
@@ -174,11 +185,19 @@ def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
 def _bare(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _BARE.finditer(text):
         dots = list(_DOT.finditer(text, m.end(1), m.end()))
-        if dots:
+        sign = m[1].lower()
+        spaced = sign != "@" and _ENDING.search(m[0]) is not None
+        if dots or spaced and ("@" in sign or _names(text, m.start(1))):
             yield m.start(1), m.end(1), "@"
             yield from ((d.start(), d.end(), ".") for d in dots)
 
 
+def _names(text: str, end: int) -> bool:
+    """Whether the word that ends here looks like the local part of an address."""
+    near = text[max(0, end - 96) : end]
+    return _NAME.search(near) is not None or _CUE.search(near) is not None
+
+
 def _local_dots(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _LOCAL_DOT.finditer(text):
         yield m.start(), m.end(), "."
@@ -189,7 +208,8 @@ TRANSDUCERS: tuple[Callable[[str], Iterator[tuple[int, int, str]]], ...] = (_loo
 #: What a text must contain for any transducer to act; checked by a linear-time matcher on whole batches.
 _HINT = (
     r"[\x{a0}\x{ad}\x{370}-\x{10ffff}]"  # not under (?i), which would add letters that fold into it
-    r"|(?i:[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s"
+    r"|(?i:[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s|\s@|@\s|[a-z0-9._%+-]\s{1,3}at\s{1,3}[a-z0-9-]+\."
+    rf"|[0-9][ ,().-]*[ ,-](?:plus[ -])?{_NUMBER}|{_NUMBER}[ ,-]{{1,2}}[0-9]"
     rf"|{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER}[ ,-]{{1,2}}(?:dot[ ,-]{{1,2}})?{_NUMBER})"
 )
 

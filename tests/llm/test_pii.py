@@ -104,3 +104,14 @@ def test_partly_disguised_identifiers_are_found_whole(spark):
         assert f"{kind}:2:{2 + len(case)}" in rows[i].spans.split(",") and rows[i].n_added == 1
         assert rows[i].base_sha256 == hashlib.sha256(pii._line(brute(text)).encode()).hexdigest()
         assert masked[i] == f"x [{kind}] y"
+
+
+def test_plain_disguises_are_found(spark):
+    cases = ["jane @ example.com", "jane@ example.com", "jane.doe at example.com", "+1 555 010 nine nine 9 9", "+1 555 010 99 nine nine"]
+    docs = odd_docs(spark, [(i, f"({c}) y") for i, c in enumerate(cases)] + [(9, "email: jane at example.com")])
+    rows = {r.doc_id: r.spans.split(",") for r in pii.find_pii(docs).collect()}
+    for i, (case, kind) in enumerate(zip(cases, ["email"] * 3 + ["phone"] * 2, strict=True)):
+        assert f"{kind}:1:{1 + len(case)}" in rows[i], (case, rows[i])
+    assert rows[9] == ["email:7:26"]
+    for text in ("apples @ 3.50", "look at example.com", "we met at www.example.com", "going to look at example.com", "contact us at example.com", "chapter 3 one day"):
+        assert found(text) == {}
