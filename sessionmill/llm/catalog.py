@@ -6,7 +6,9 @@ import importlib
 
 from sessionmill.llm.registry import CHECKS, QUERIES
 
-_MODULES = ["bpe", "chat_format", "decontaminate", "exact_dedup", "near_dup", "pii", "quality", "suffix_dedup", "token_counts", "url_filter"]
+_MODULES = [
+    "bpe", "chat_format", "collocations", "decontaminate", "exact_dedup", "near_dup", "pii", "quality", "suffix_dedup", "token_counts", "url_filter",
+]
 
 for _module in _MODULES:
     importlib.import_module(f"sessionmill.llm.{_module}_queries")
