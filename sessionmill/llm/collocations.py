@@ -38,7 +38,7 @@ LEAST = 10  # occurrences of a candidate
 TOP = 2000  # rows of a language
 CONTAINED = 50  # per cent: the share of a phrase that lies in a longer candidate from which on it is dropped
 BURST = 1 << 14
-HELD = 1 << 20
+HELD = 1 << 19
 BITS = 1 << 26  # of the table of frequent pairs: 8 MB
 _ID_BITS = 21
 _MOST_WORDS = 1 << _ID_BITS

@@ -92,10 +92,13 @@ def test_a_long_text_of_one_word(spark):
     assert got(frame(spark, rows)) == brute(rows)
 
 
-def test_the_table_of_pairs_loses_none(spark, monkeypatch):
-    monkeypatch.setattr(co, "BITS", 64)  # nearly every pair looks frequent
-    rows = planted(4)
-    assert got(frame(spark, rows)) == brute(rows)
+def test_the_table_of_pairs_holds_each(spark):
+    pairs = [("en", f"w{i} w{i * 7 % 50}") for i in range(500)] + [("und", "w1 w7")]
+    table = co.pair_table(spark.createDataFrame(pairs, "lang string, phrase string"))
+    for lang, phrase in pairs:
+        (place,) = co.pair_places(*(co.word_hashes([w]) for w in phrase.split(" ")), lang).tolist()
+        assert table[place >> 3] >> (place & 7) & 1
+    assert np.unpackbits(table).sum() <= len(pairs)
 
 
 def test_odd_and_empty_tables(spark):
