@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that one task folds to a forest: some 16 MB.
+FOLD = 1 << 17
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, named by the cluster in spark.checkpoint.dir.
@@ -84,22 +90,40 @@ def join_salted(
     return left.join(one.withColumn("_salt", spread), [*keys, "_salt"]).drop("_salt")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition -> one row (hi, lo) for every linked node but the least one of its component there."""
+    parts = [np.stack([batch["a"].to_numpy(), batch["b"].to_numpy()]) for batch in batches]
+    ids, ends = np.unique(np.concatenate([np.zeros((2, 0), dtype=np.int64), *parts], axis=1), return_inverse=True)
+    left, right = ends.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, root[left], low)
+        np.minimum.at(new, root[right], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[root[out]])], ["hi", "lo"])
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): one row (node, root) per linked node; root is the least node.
+    """Connected components of links (a, b) of longs: one row (node, root) per linked node; root is the least node.
 
-    Alternating large-star and small-star steps; each joins the edges with one row per node, so the
-    neighbours of a node are never gathered. A checkpoint per round keeps the plan short.
+    First the links are dealt to partitions of at most about FOLD, and each is folded to a forest. What several
+    forests leave open is closed by alternating large-star and small-star steps; each joins the edges with one
+    row per node, so the neighbours of a node are never gathered. A checkpoint per round keeps the plan short.
     """
-    pairs = checkpointed(
-        links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    )
+    links = checkpointed(links.where("a != b").select("a", "b"))
+    parts = max(1, -(-links.count() // FOLD))
+    pairs = checkpointed(links.repartition(parts).mapInArrow(_forest, "hi long, lo long"))
     state = None
-    while True:
+    while parts > 1:
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == state:
-            return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
-                pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
-            )
+            break
         state = now
         both = pairs.union(pairs.select("lo", "hi")).toDF("node", "other")
         least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("m"))
@@ -107,3 +131,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = checkpointed(moved.union(least).distinct())
+    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
+        pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    )

@@ -12,6 +12,7 @@ class, and only classes are compared. The work goes in two rounds:
    There every pair is pruned in the same way, the rest compared exactly, and what comes out is one row
    per class and block pair with its number of links, again with a forest. So a group of n near copies
    takes (n / block)^2 bounded tasks and no row per pair, and no link between different texts is lost.
+   The shingle sets of linked classes are made once; pairs of blocks get sorted arrays, never texts.
 
 Defined cases: null texts count as empty; texts without words form one class; a text of one to four words
 has one shingle, all of them. Repeated rows and null ids count as documents of their own. The class id is
@@ -24,8 +25,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ BANDS, ROWS = 40, 6
 COMPARED, STEP = 64, 16  # MinHash values that are carried along, and compared at a time
 TOLERANCE = 1e-6
 BUCKET = 64
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 18
 BROADCAST_LIMIT = 64 << 20
 _COLUMNS = 1024  # of a block's shingle matrix at a time
 
@@ -141,7 +142,7 @@ def _pruned_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def forest(rows: pa.Table) -> pa.RecordBatch:
         key = rows["key"].to_numpy()
-        node = rows["node"].combine_chunks()
+        ids = rows["id"].to_numpy()
         signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype=np.uint16).reshape(-1, COMPARED)
         lefts, rights = [], []
         for lag in range(1, len(key)):
@@ -156,7 +157,7 @@ def _pruned_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         left, right = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (lefts, rights))
         root = _roots(len(key), left, right)
         out = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([node.take(pa.array(root[out])), node.take(pa.array(out))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[out]]), pa.array(ids[out])], ["a", "b"])
 
     held: pa.Table | None = None
     for batch in batches:
@@ -172,32 +173,38 @@ def _pruned_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that may be similar; classes: node, signature, keys."""
-    spread = classes.where("keys is not null").select("node", F.posexplode("keys").alias("band", "key")).drop("band")
-    counted = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    """Links (a, b) between classes that may be similar; classes: id, signature, keys."""
+    spread = classes.where("keys is not null").select("id", F.posexplode("keys").alias("band", "key")).drop("band")
+    counted = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     members = spread.join(counted, "key")
-    large = members.where(F.col("n") > BUCKET).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    large = members.where(F.col("n") > BUCKET).select(F.col("first").alias("a"), F.col("id").alias("b"))
     pruned = (
         members.where(F.col("n") <= BUCKET)
-        .select("key", "node")
-        .join(classes.select("node", "signature"), "node")
+        .select("key", "id")
+        .join(classes.select("id", "signature"), "id")
         .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .select("key", "node", "signature")
-        .mapInArrow(_pruned_forest, "a binary, b binary")
+        .sortWithinPartitions("key", "id")
+        .select("key", "id", "signature")
+        .mapInArrow(_pruned_forest, "a long, b long")
     )
-    return large.union(pruned).distinct()
+    return large.union(pruned)
 
 
-def _verified(rows: pd.DataFrame) -> pd.DataFrame:
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_slices(whole["text"])):
+        words, begins = batch_words(batch["text"])
+        sets = [shingles(words[begins[i] : begins[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["signature"], batch["copies"], pa.array(sets, pa.list_(pa.int64()))], ["id", "signature", "copies", "items"])
+
+
+def _verified(rows: pa.Table) -> pa.Table:
     """All links of one pair of blocks: for each class its weight in links, and its root among them."""
     needed = least_matches()
-    first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    rows = rows.sort_values("node").reset_index(drop=True)
-    block = rows["block"].to_numpy()
-    words, begins = batch_words(pa.array(rows["text"], pa.string()))
-    sets = [shingles(words[begins[k] : begins[k + 1]]) for k in range(len(rows))]
-    signatures = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(-1, COMPARED)
+    first, second = rows["i"][0].as_py(), rows["j"][0].as_py()
+    rows = rows.take(pc.sort_indices(rows["id"]))
+    ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
+    sets = [np.asarray(chunk.values[a:b]).view(np.uint64) for chunk in rows["items"].chunks for a, b in zip(chunk.offsets[:-1].to_pylist(), chunk.offsets[1:].to_pylist(), strict=True)]
+    signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype=np.uint16).reshape(-1, COMPARED)
     one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
     size = np.array([len(s) for s in sets])
     alive = []
@@ -210,11 +217,12 @@ def _verified(rows: pd.DataFrame) -> pd.DataFrame:
     similar = shared >= THRESHOLD * (size[left] + size[right] - shared) - 1e-9
     left, right = left[similar], right[similar]
     weight = rows["copies"].to_numpy()
-    links = np.zeros(len(rows), dtype=np.int64)
+    links = np.zeros(len(ids), dtype=np.int64)
     np.add.at(links, left, weight[right])
     np.add.at(links, right, weight[left])
-    root = _roots(len(rows), left, right)
-    return pd.DataFrame({"node": rows["node"], "root": rows["node"].to_numpy()[root], "links": links})[links > 0]
+    root = _roots(len(ids), left, right)
+    out = links > 0
+    return pa.table({"id": ids[out], "root": ids[root[out]], "links": links[out]})
 
 
 def _shared(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -238,18 +246,16 @@ def _shared(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, left: np.n
     return total[row[left], column[right]].astype(np.int64)
 
 
-def verified_links(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (node, root, links) per pair of blocks; classes: node, text, signature, shingles, copies; groups: node, root."""
-    members = classes.join(groups.withColumnRenamed("root", "grp"), "node")
-    sizes = groups.join(classes.select("node", "shingles"), "node").groupBy(F.col("root").alias("grp")).agg(
+def verified_links(sets: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (id, root, links) per pair of blocks; sets: id, signature, copies, items; sizes: id, shingles; groups: node, root."""
+    members = groups.toDF("id", "grp")
+    blocks = members.join(sizes, "id").groupBy("grp").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    units = other.select(
-        "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text", "signature", "copies"
-    )
-    return units.groupBy("grp", "i", "j").applyInPandas(_verified, "node binary, root binary, links long")
+    units = other.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+    return units.join(sets, "id").groupBy("grp", "i", "j").applyInArrow(_verified, "id long, root long, links long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -258,7 +264,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sketch = checkpointed(sketches(docs))
     classes = checkpointed(
-        sketch.groupBy("node").agg(
+        sketch.groupBy("node")
+        .agg(
             F.first("signature").alias("signature"),
             F.first("shingles").alias("shingles"),
             F.first("keys").alias("keys"),
@@ -266,25 +273,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("least_id"),
             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("row"),
         )
+        .withColumn("id", F.monotonically_increasing_id())  # fixed by the checkpoint
     )
-    groups = components(spark, candidate_links(classes))
+    groups = checkpointed(components(spark, candidate_links(classes)))
     k1, k2 = row_keys()
-    wanted = classes.join(groups, "node").select("node", "signature", "shingles", "copies", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
+    found = groups.select(F.col("node").alias("id"))
+    wanted = classes.join(found, "id").select("id", "signature", "copies", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
     if small(wanted, F.lit(256), BROADCAST_LIMIT):  # else the texts shuffle
         wanted = F.broadcast(wanted)
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(wanted, ["k1", "k2"]).dropDuplicates(["node"])
-    links = checkpointed(verified_links(texts.select("node", "text", "signature", "shingles", "copies"), groups))
-    final = components(spark, links.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(wanted, ["k1", "k2"]).select("id", "signature", "copies", "text")
+    sets = texts.mapInArrow(_shingle_sets, "id long, signature binary, copies long, items array<long>").dropDuplicates(["id"])
+    links = checkpointed(verified_links(checkpointed(sets), classes.select("id", "shingles"), groups))
+    final = components(spark, links.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
+    counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = (
-        classes.select("node", "copies", "least_id", "row")
-        .join(final, "node", "left")
-        .join(counted, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+        classes.select("id", "node", "copies", "least_id", "row")
+        .join(final, "id", "left")
+        .join(counted, "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
     )
     whole = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("row").alias("stays"))
-    per_class = named.join(whole, "root").select(
-        "node", "copies", "class_id", "class_size", "stays", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    per_class = checkpointed(
+        named.join(whole, "root").select(
+            "node", "copies", "class_id", "class_size", "stays", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        )
     )
     kept = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
     rows = sketch.select("doc_id", "k1", "k2", "node")

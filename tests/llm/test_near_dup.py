@@ -91,3 +91,26 @@ def test_minhash_estimates_similarity():
     values = rng.integers(0, 2**63, 1500, dtype=np.uint64)
     equal = np.mean(nd.minhash(values[:1200]) == nd.minhash(values[300:]))
     assert abs(equal - 900 / 1500) < 0.12
+
+
+@pytest.mark.parametrize("fold", [1 << 17, 40])
+def test_components_of_hubs_chains_and_pairs(spark, monkeypatch, fold):
+    from sessionmill.llm import common
+
+    monkeypatch.setattr(common, "FOLD", fold)  # small: many forests are left open and closed by rounds
+    rng = random.Random(5)
+    pairs = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(200)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)]
+    rng.shuffle(pairs)
+    root = {x: x for pair in pairs for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    out = common.components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, out)) == sorted((x, find(x)) for x in linked)
