@@ -25,8 +25,9 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sessionmill.llm.common import checkpointed, free_name, plain_columns, text_or_empty
+from sessionmill.llm.common import checkpointed, free_name, map_rows, plain_columns, text_or_empty
 from sessionmill.llm.words import text_slices
 
 CHUNK, OVERLAP = 32768, 256
@@ -119,7 +120,7 @@ def _coded(docs: DataFrame, ranks: bytes, pattern: str, digests: bool, chunk: in
     types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
     sql = ["long", "string", "string"] if digests else ["array<int>"]
     added = ", ".join(f"`{n}` {t}" for n, t in zip(names, sql, strict=True))
-    schema = docs.limit(0).select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, sql, strict=True)]).schema
+    new_columns = docs.sparkSession.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in zip(names, sql, strict=True))).schema
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
@@ -166,7 +167,7 @@ def _coded(docs: DataFrame, ranks: bytes, pattern: str, digests: bool, chunk: in
     spread = parts.repartition("row", "at").mapInArrow(pretokenise, "row long, at long, low long, part string, starts binary")
     joined = spread.groupBy("row").applyInPandas(join, f"row long, {added}").withColumnRenamed("row", row)
     stitched = long.join(joined, row).select(*[F.col(f"`{c}`") for c in [*docs.columns, *names]])
-    return docs.where(fits).mapInArrow(short, schema).union(stitched)
+    return map_rows(docs.where(fits), short, new_columns).union(stitched)
 
 
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -190,4 +191,4 @@ def decode_documents(tokens: DataFrame, ranks: bytes, pattern: str) -> DataFrame
             raw = [encoder.decode(ids or []) for ids in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, name])
 
-    return tokens.mapInArrow(decode, tokens.limit(0).select("*", F.lit(None).cast("binary").alias(name)).schema)
+    return map_rows(tokens, decode, StructType([StructField(name, BinaryType())]))

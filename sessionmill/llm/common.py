@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Links that one task folds to a forest: some 16 MB.
 FOLD = 1 << 17
@@ -56,6 +57,14 @@ def plain_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def map_rows(docs: DataFrame, run: Callable, added: StructType | None = None) -> DataFrame:
+    """docs.mapInArrow(run) for docs with columns of any name; `added` are the columns that run puts behind them."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    added = added or StructType([])
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)] + added.fields)
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, *added.names)
+
+
 def small(df: DataFrame, size: Column, limit: int) -> bool:
     """Whether the summed size of all rows stays below the limit in bytes: the check before a broadcast."""
     total = df.agg(F.sum(size).alias("bytes")).first()["bytes"]

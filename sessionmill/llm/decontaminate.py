@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import plain_columns, text_or_empty
+from sessionmill.llm.common import map_rows, plain_columns, text_or_empty
 from sessionmill.llm.words import SHINGLE, batch_words, text_slices, window_hashes
 
 COVERAGE = 0.8
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with all their columns."""
-    schema, place = docs.schema, docs.columns.index("text")
+    place = docs.columns.index("text")
 
     def drop(rows: DataFrame, index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
                 keep[[f[0] for f in index.value.matches(batch.column(place), coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, schema)
+        return map_rows(rows, run)
 
     for index in _blocks(benchmark, block_bytes):
         docs = drop(docs, docs.sparkSession.sparkContext.broadcast(index))

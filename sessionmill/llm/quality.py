@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import plain_columns, row_keys
+from sessionmill.llm.common import map_rows, plain_columns, row_keys
 from sessionmill.llm.words import mix, prefix_sums, span_hashes, text_slices, window_hashes
 
 SAMPLE = 6000
@@ -419,4 +419,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             scores = shared.value.scores(batch.column(place))
             yield batch.filter(pa.array(np.logical_and.reduce([scores[t] <= 0.5 for t in TARGETS])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
