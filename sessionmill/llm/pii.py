@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.llm.common import map_rows, plain_columns
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -59,7 +61,7 @@ def _emails(text: str) -> Iterator[Span]:
 
 def _ips(text: str) -> Iterator[Span]:
     for m in _IP.finditer(text):
-        if all(len(part) < 4000 and int(part) <= 255 for part in m[0].split(".")):
+        if all(int((part.lstrip("0") or "0")[:4]) <= 255 for part in m[0].split(".")):
             yield m.span()
 
 
@@ -276,9 +278,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Per document: n_email, n_ip, n_card, n_phone and base_sha256 of the plain spans, all spans, number added."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = plain_columns(docs, "doc_id", "text")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(_find, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(_find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string, n_added long")
 
 
 def _mask(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
@@ -300,4 +302,4 @@ def _mask(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBa
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; all columns stay."""
     place = docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: _mask(batches, place), docs.schema)
+    return map_rows(docs, lambda batches: _mask(batches, place))

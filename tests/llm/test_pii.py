@@ -115,3 +115,10 @@ def test_plain_disguises_are_found(spark):
     assert rows[9] == ["email:7:26"]
     for text in ("apples @ 3.50", "look at example.com", "we met at www.example.com", "going to look at example.com", "contact us at example.com", "chapter 3 one day"):
         assert found(text) == {}
+
+
+def test_addresses_with_very_many_zeros(spark):
+    text = "0" * 5000 + "1.2.3.4 and 0256.1.1.1 and " + "9" * 5000 + ".1.1.1"
+    docs = spark.createDataFrame([("x", text)], "doc_id string, text string")
+    row = pii.find_pii(docs).first()
+    assert (row.doc_id, row.n_ip) == ("x", 1) and "ip:0:5007" in row.spans
