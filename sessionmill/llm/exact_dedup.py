@@ -7,7 +7,7 @@ and few false positives, shuffles by text hash for the exact answer.
 
 Defined cases: a null text counts as empty. Of equal texts the row with the largest doc_id stays; a
 null doc_id is smaller than any other. Of rows equal in both, one stays (in `exact_dedup` the largest
-by its remaining columns). An empty table gives an empty result. Other columns are carried along and
+by the JSON of its remaining columns, which may be of any type). An empty table gives an empty result. Other columns are carried along and
 may have any name.
 """
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import free_name, text_or_empty
+from sessionmill.llm.common import checkpointed, free_name, text_or_empty
 
 CELLS_PER_ROW = 16
-#: Broadcast the filter below this many bytes (its size follows from the row count), else join it.
+#: The filter is broadcast in blocks of at most this many bytes, one probe each, so no row shuffles for it.
 FILTER_LIMIT = 64 << 20
 SALTS = 32
 _WORD_ROW = 32  # bytes that one word of the filter takes at most in a broadcast
@@ -42,16 +42,18 @@ def possibly_repeated(rows: DataFrame, digest: str, flag: str) -> DataFrame:
     """Add a boolean column: False only if no other row has the same digest."""
     hashes = rows.select(F.col(f"`{digest}`").alias("digest"))
     cells = max(64, CELLS_PER_ROW * hashes.count())
-    found = repeated_cells(hashes, cells)
-    if cells // 64 * _WORD_ROW <= FILTER_LIMIT:
-        found = F.broadcast(found)
+    found = checkpointed(repeated_cells(hashes, cells))
+    blocks = max(1, -(-found.count() * _WORD_ROW // FILTER_LIMIT))
     out, hits = rows, []
     for i, cell in enumerate(_cells(F.col(f"`{digest}`"), cells)):
-        word, bits, at = (free_name(rows, f"_{name}{i}") for name in ("word", "bits", "at"))
-        out = out.withColumn(at, cell).join(
-            found.select(F.col("word").alias(word), F.col("bits").alias(bits)), F.expr(f"`{at}` div 64 = `{word}`"), "left"
-        )
-        hits.append(F.coalesce(F.getbit(F.col(bits), (F.col(at) % 64).cast("int")) == 1, F.lit(False)))
+        at = free_name(rows, f"_at{i}")
+        out, hit = out.withColumn(at, cell), F.lit(False)
+        for k in range(blocks):
+            word, bits = (free_name(rows, f"_{name}{i}_{k}") for name in ("word", "bits"))
+            block = found.where(F.col("word") % blocks == k).select(F.col("word").alias(word), F.col("bits").alias(bits))
+            out = out.join(F.broadcast(block), F.expr(f"`{at}` div 64 = `{word}`"), "left")
+            hit = hit | F.coalesce(F.getbit(F.col(bits), (F.col(at) % 64).cast("int")) == 1, F.lit(False))
+        hits.append(hit)
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], (hits[0] & hits[1]).alias(flag))
 
 
@@ -83,7 +85,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     kept = (
         flagged.where(f"`{again}`")
         .groupBy(digest)
-        .agg(F.max(F.struct("doc_id", *others)).alias(rest))
+        .agg(F.max_by(F.struct(*columns), F.struct("doc_id", F.to_json(F.struct(F.lit(1), *others)))).alias(rest))
         .select(*[F.col(rest).getField(c).alias(c) for c in docs.columns])
     )
     return alone.union(kept)
