@@ -250,9 +250,10 @@ def verified_links(sets: DataFrame, sizes: DataFrame, groups: DataFrame) -> Data
     """Rows (id, root, links) per pair of blocks; sets: id, signature, copies, items; sizes: id, shingles; groups: node, root."""
     members = groups.toDF("id", "grp")
     blocks = members.join(sizes, "id").groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.count("*").alias("n"),
     )
-    placed = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = join_counted(members, blocks, ["grp"], "n", groups.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     units = other.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
     return units.join(sets, "id").groupBy("grp", "i", "j").applyInArrow(_verified, "id long, root long, links long")
