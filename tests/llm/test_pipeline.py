@@ -15,10 +15,10 @@ def test_stages_are_the_dealt_ones():
 
 
 def test_rows_against_brute_force(spark):
-    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
     got = {r.doc_id: r for r in cp.run(spark, SF).collect()}
     rows = {r.doc_id: r.text for r in docs.collect()}
-    good = {r.doc_id for r in q.judge(docs, q.train(docs)).where("kept").collect()}
+    good = {r.doc_id for r in q.judge(docs, q.train(docs, labels)).where("kept").collect()}
     by_text = defaultdict(list)
     for i in good:
         by_text[rows[i] or ""].append(i)
@@ -57,3 +57,13 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.columns[: len(docs.columns)] == docs.columns and out.collect() == []
         assert name == "encode" or out.columns == docs.columns
+
+
+def test_stages_take_columns_of_any_name_and_type(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = docs.selectExpr("*", "map('k', doc_id) AS `a.b`", "array(struct(doc_id AS `x y`)) AS `c d`", "lang AS _0")
+    for name, stage in cp.STAGES:
+        out = stage(spark, more, SF)
+        assert out.columns[: len(more.columns)] == more.columns
+        assert out.select("doc_id").union(out.select("doc_id")).count() == 2 * stage(spark, docs, SF).count(), name
+        assert all(r["a.b"] == {"k": r.doc_id} for r in out.collect())
