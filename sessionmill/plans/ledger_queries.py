@@ -357,7 +357,7 @@ def governing_configs(spark, sf_dir):
 
 _JOBS = _CLASSIFIED + """,
 jobs AS (
-  SELECT c.*, @sha256(s.raw) AS raw_hash, strlen(s.raw) AS body, s.lang,
+  SELECT c.*, @sha256('v1/blocks' || chr(10) || @str(strlen(s.raw)) || chr(10) || @sha256(@sha256(s.raw))) AS raw_hash, strlen(s.raw) AS body, s.lang,
     CASE WHEN c.total_cost_usd < 10 THEN 'metadata' ELSE 'full' END AS tier
   FROM candidates c JOIN v_sessions s USING (path))
 """

@@ -58,7 +58,8 @@ def _chat_files(spark: SparkSession, sf_dir: str, out: str) -> str:
 _FILE_HASHES = """
 hashes AS (
   SELECT conv_id, @sha256('v0.2/chunks' || chr(10) || @sha256('v0.2' || chr(10) || '[' || string_agg(raw, ',' ORDER BY line_no) || ']')) AS content_hash,
-    @sha256(string_agg(raw || chr(10), '' ORDER BY line_no)) AS raw_hash, @big(count(*)) AS n_records
+    @sha256('v1/blocks' || chr(10) || @str(sum(strlen(raw) + 1)) || chr(10) || @sha256(@sha256(string_agg(raw || chr(10), '' ORDER BY line_no)))) AS raw_hash,
+    @big(count(*)) AS n_records
   FROM v_records GROUP BY conv_id)
 """
 
@@ -76,14 +77,13 @@ def scanned_session_files(spark, sf_dir):
     )
 
 
-@query("WITH " + _FILE_HASHES + "SELECT conv_id, n_records, raw_hash FROM hashes WHERE conv_id % 2 = 0")
+@query("WITH " + _FILE_HASHES + "SELECT conv_id, n_records, raw_hash FROM hashes")
 def listed_records(spark, sf_dir):
     """Records of listed files only; one listed file is gone and does no harm."""
     glob = _chat_files(spark, sf_dir, _folder(spark, "listed"))
     listing = list_files(spark, glob, "claude-code")
     gone = listing.limit(1).withColumn("path", F.lit("/gone/[x]/{a,b}/*.jsonl"))
-    wanted = listing.where(_conv().cast("bigint") % 2 == 0).unionByName(gone)
-    records = read_listed(wanted, {"claude-code": glob})
+    records = read_listed(listing.unionByName(gone), {"claude-code": glob})
     return records.groupBy(_conv().alias("conv_id")).agg(F.count("*").alias("n_records"), F.max("raw_hash").alias("raw_hash"))
 
 

@@ -104,7 +104,7 @@ def run_upload(
 
     texts = read_records(checked.where("NOT stat_hit"))
     records = durable(typed_records(texts).drop("raw"))
-    hashes = durable(file_hashes(records, sidecars, texts))
+    hashes = durable(file_hashes(records, sidecars, texts, checked))
     seen = session_facts(records)
     if registries is not None:
         gemini = seen.where("source_kind = 'gemini'").select("path", "project_hash")

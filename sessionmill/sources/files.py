@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions.paths import file_name, physical_path
 from sessionmill.functions.text import utf16_length
+from sessionmill.sources.blocks import block_hash_of, block_hashes, file_blocks
 
 # Shape of a sidecar record.
 SIDECAR_TYPE = "tool_result_file"
@@ -58,15 +59,19 @@ def list_files(
 
 
 def raw_hashes(refs: DataFrame, contents: DataFrame) -> DataFrame:
-    """sha256 of each ref's physical file; refs into one store share a single pass.
+    """Raw hash of each ref's physical file; refs into one store share a single pass.
 
-    `contents` has path and content (binary). Returns the ref's path and raw_hash.
+    `contents` has path and content (binary), or path and size_bytes, and then the files are read block by
+    block, so that a store may have any size. Returns the ref's path and raw_hash.
     """
     wanted = refs.select("path", physical_path(F.col("path")).alias("_file")).distinct()
     files = wanted.select("_file").distinct()
-    hashed = contents.join(files, contents["path"] == files["_file"], "left_semi").select(
-        F.col("path").alias("_file"), F.sha2("content", 256).alias("raw_hash")
-    )
+    named = contents.join(files, contents["path"] == files["_file"], "left_semi")
+    if "content" in contents.columns:
+        hashed = named.select("path", block_hash_of(F.col("content")).alias("raw_hash"))
+    else:
+        hashed = block_hashes(file_blocks(named))
+    hashed = hashed.withColumnRenamed("path", "_file")
     return wanted.join(hashed, "_file").select("path", "raw_hash")
 
 

@@ -10,6 +10,7 @@ from sessionmill.functions.hashing import POLICY_VERSION
 from sessionmill.functions.json_text import is_json, string_or_null
 from sessionmill.functions.rows import unnest
 from sessionmill.functions.text import lines, trim_blank
+from sessionmill.sources.blocks import block_hash_of, block_hashes, file_blocks
 from sessionmill.sources.files import existing, scanned_path
 
 #: Larger files are read in splits. Lines, numbers and hashes are the same either way.
@@ -144,7 +145,7 @@ def read_ndjson(
         files = files.select(F.lit(source_kind).alias("source_kind"), path.alias("path"), "value", *more)
         return files if only is None else files.join(only.select("path"), "path", "left_semi")
 
-    whole = chosen(found, size <= whole_limit).withColumn("raw_hash", F.sha2("value", 256))
+    whole = chosen(found, size <= whole_limit).withColumn("raw_hash", block_hash_of(F.col("value")))
     small = explode_ndjson(whole, "value").select(
         "source_kind", "path", "line_no", "raw", "is_malformed", "file_hash",
         F.when(F.col("file_hash").isNotNull(), F.col("raw_hash")).alias("raw_hash"),
@@ -242,14 +243,14 @@ def content_hash(records: DataFrame, keys: list[str], chunk_lines: int = CHUNK_L
 
 
 def file_hashes(
-    records: DataFrame, appended: DataFrame | None = None, texts: DataFrame | None = None
+    records: DataFrame, appended: DataFrame | None = None, texts: DataFrame | None = None, files: DataFrame | None = None
 ) -> DataFrame:
     """Content and raw hash per (source_kind, path).
 
     Files read whole carry both. Only files read in splits, and files with `appended` records (their
     sidecars), are hashed over their rows, found by a mark and not by a join. `texts` has the rows
-    with `raw`, where `records` is a table that no longer holds it. sha256 cannot be merged, so
-    the raw hash of a split file is a digest of its content hash.
+    with `raw`, where `records` is a table that no longer holds it. The raw hash is that of the file's blocks,
+    whole or split; for split files it is read from `files` (path, size_bytes), without which it is null.
     """
     keys = ["source_kind", "path"]
     texts = records if texts is None else texts
@@ -263,5 +264,8 @@ def file_hashes(
         again = again.unionByName(rows).unionByName(appended.select(*keys, "line_no", "raw"))
     rehashed = content_hash(again, keys).select(*keys, F.col("content_hash").alias("_again"))
     joined = carried.join(rehashed, keys, "full")
-    raw_hash = F.coalesce("raw_hash", F.sha2(F.concat(F.lit("split\n"), "_again"), 256))
-    return joined.select(*keys, F.coalesce("_again", "content_hash").alias("content_hash"), raw_hash.alias("raw_hash"))
+    if files is not None:
+        split = files.join(records.where("is_split").select("path").distinct(), "path", "left_semi")
+        read = block_hashes(file_blocks(split)).withColumnRenamed("raw_hash", "_read")
+        joined = joined.join(read, "path", "left").withColumn("raw_hash", F.coalesce("raw_hash", "_read"))
+    return joined.select(*keys, F.coalesce("_again", "content_hash").alias("content_hash"), "raw_hash")
