@@ -99,12 +99,28 @@ def with_sequence(events: DataFrame, order: list[str]) -> DataFrame:
     return numbered.select(*events.columns, (F.col("_n") - 1).alias("seq"))
 
 
+# Events that end a session.
+OUTCOMES = ["session-acked", "session-failed", "session-skipped"]
+_START = "\0start"
+
+
+def session_outcomes(events: DataFrame) -> DataFrame:
+    """One row per session of a manifest that has ended, and one for the manifest's start: manifest_id, session_id,
+    event, expected_sessions. An event that is logged again changes nothing."""
+    starts = F.col("event") == "upload-start"
+    named = events.where(starts | F.col("event").isin(OUTCOMES)).select(
+        "manifest_id", F.when(starts, _START).otherwise(F.col("session_id")).alias("session_id"), "event",
+        F.when(starts, F.col("expected_sessions")).alias("expected_sessions"),
+    )
+    return named.groupBy("manifest_id", "session_id").agg(F.min("event").alias("event"), F.max("expected_sessions").alias("expected_sessions"))
+
+
 def batch_state(events: DataFrame) -> DataFrame:
-    """Live counters of each batch; works on a stream in update mode as well."""
+    """Counters of each batch by sessions; `streaming.triggers.gate_progress` keeps them live."""
     event = F.col("event")
-    return events.groupBy("manifest_id").agg(
-        F.max(F.when(event == "upload-start", F.col("expected_sessions"))).alias("total"),
-        F.count_if(event.isin("session-acked", "session-failed", "session-skipped")).alias("done"),
+    return session_outcomes(events).groupBy("manifest_id").agg(
+        F.max("expected_sessions").alias("total"),
+        F.count_if(event.isin(OUTCOMES)).alias("done"),
         F.count_if(event == "session-skipped").alias("skipped"),
         F.count_if(event == "session-failed").alias("failed"),
     )

@@ -194,7 +194,7 @@ def _progress(spark, sf_dir):
         event = F.when(F.col("event_type") == kind, name).otherwise(event)
     return view(spark, sf_dir, "v_events").select(
         F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("manifest_id"),
-        "event_id", event.alias("event"), F.col("k").alias("expected_sessions"),
+        "event_id", event.alias("event"), F.col("k").alias("expected_sessions"), F.col("event_id").cast("string").alias("session_id"),
     )
 
 
@@ -209,7 +209,9 @@ SELECT manifest_id, @big(max(k) FILTER (WHERE event = 'upload-start')) AS total,
   @big(count(*) FILTER (WHERE event = 'session-skipped')) AS skipped, @big(count(*) FILTER (WHERE event = 'session-failed')) AS failed
 FROM ev GROUP BY manifest_id""")
 def batch_states(spark, sf_dir):
-    return R.batch_state(_progress(spark, sf_dir))
+    """Counters per manifest; every event is logged twice and counts once."""
+    log = _progress(spark, sf_dir)
+    return R.batch_state(log.unionByName(log))
 
 
 # The chain of starts per endpoint, walked step by step.

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +33,8 @@ from sessionmill.sources.git_files import git_dir_files
 from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
 from sessionmill.sources.sinks import write_bodies, write_events
 from sessionmill.streaming.ingest import ingest_listings
-from sessionmill.streaming.triggers import gate_stream, snapshot_stream
+from sessionmill.streaming.state import output
+from sessionmill.streaming.triggers import gate_blocked, gate_progress, gate_snapshots, gate_triggers
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -178,58 +177,48 @@ def sql_functions(spark, sf_dir):
     )
 
 
-@contextmanager
-def _state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store the gates need, for the time of one query."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
-def _drain(spark: SparkSession, df: DataFrame, out: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read its output back."""
-    writer = df.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        done = writer.format("parquet").option("path", f"{out}/rows").outputMode("append").start()
-    else:
-        # Update mode: each batch brings the new state of the keys it touched.
-        done = writer.outputMode(mode).foreachBatch(
-            lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/b={n}")
-        ).start()
-    done.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+def _in_turns(spark: SparkSession, rows: DataFrame, at: str, folder: str, gate, turns: int = 3) -> DataFrame:
+    """The output of a gate that runs after each of some deliveries, dealt by the time of the rows."""
+    low, high = rows.agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
+    place = F.least(F.floor((F.col(at).cast("double") - low) / ((high - low) or 1) * turns), F.lit(turns - 1))
+    for k in range(turns):
+        rows.where(place == k).write.mode("append").parquet(f"{folder}/in")
+        gate(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return output(spark, folder)
 
 
 @query(_COOLDOWN + "SELECT endpoint, ts_ms FROM started")
 def streamed_uploads_started(spark, sf_dir):
-    """The cooldown gate as a stateful stream over trigger files."""
-    folder = _folder(spark, "triggers")
-    triggers = view(spark, sf_dir, "v_triggers")
-    triggers.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(triggers.schema).parquet(f"{folder}/in")
-    with _state_store(spark):
-        out = _drain(spark, gate_stream(stream), folder)
+    """The cooldown gate over trigger files that come in three deliveries."""
+    out = _in_turns(spark, view(spark, sf_dir, "v_triggers"), "ts_ms", _folder(spark, "triggers"), gate_triggers)
     return out.where("action = 'spawned'").select("endpoint", "ts_ms")
 
 
+@query("""
+WITH said AS (SELECT endpoint, ts_ms FROM v_triggers WHERE NOT logged_in)
+SELECT trigger_id, CASE WHEN max(s.ts_ms) + 43200000 > t.ts_ms THEN 'blocked' ELSE 'open' END AS action, @big(max(s.ts_ms) + 43200000) AS blocked_until_ms
+FROM v_triggers t LEFT JOIN said s ON s.endpoint = t.endpoint AND s.ts_ms <= t.ts_ms AND s.ts_ms + 43200000 > t.ts_ms
+WHERE logged_in GROUP BY trigger_id, t.ts_ms""")
+def streamed_block_verdicts(spark, sf_dir):
+    """Responses that block an endpoint and triggers as one stream; a verdict lives for twelve hours."""
+    t = view(spark, sf_dir, "v_triggers")
+    events = t.select("endpoint", "ts_ms", (~F.col("logged_in")).alias("is_response"), (~F.col("logged_in")).alias("blocked"), "trigger_id")
+    out = _in_turns(spark, events, "ts_ms", _folder(spark, "verdicts"), gate_blocked)
+    return out.select("trigger_id", "action", F.when(F.col("action") == "blocked", F.col("blocked_until_ms")).alias("blocked_until_ms"))
+
+
 @query(_EVENTS + """
 SELECT manifest_id, @big(max(k) FILTER (WHERE event = 'upload-start')) AS total, @big(count(*) FILTER (WHERE event IN ('session-acked', 'session-failed', 'session-skipped'))) AS done,
   @big(count(*) FILTER (WHERE event = 'session-skipped')) AS skipped, @big(count(*) FILTER (WHERE event = 'session-failed')) AS failed
 FROM ev GROUP BY manifest_id""")
 def streamed_batch_states(spark, sf_dir):
-    """Live batch counters from a streamed event log."""
+    """Live batch counters from an event log that is delivered twice."""
     folder = _folder(spark, "progress")
-    events = _progress(spark, sf_dir).select("manifest_id", "event", "expected_sessions")
-    events.write.json(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).json(f"{folder}/in")
-    rows = _drain(spark, R.batch_state(stream), folder, "update")
+    events = _progress(spark, sf_dir).select("manifest_id", "event", "expected_sessions", "session_id")
+    for _ in range(2):
+        events.write.mode("append").json(f"{folder}/in")
+        gate_progress(spark.readStream.schema(events.schema).json(f"{folder}/in"), folder).awaitTermination()
+    rows = output(spark, folder)
     latest = rows.groupBy("manifest_id").agg(F.max_by(F.struct("total", "done", "skipped", "failed"), "batch").alias("s"))
     return latest.select("manifest_id", "s.*")
 
@@ -247,18 +236,14 @@ WITH s AS (SELECT user_id, event_type AS kind, 'p' || @str(user_id % 3) AS proje
 p AS (SELECT *, lag(h) OVER (PARTITION BY user_id, kind, project ORDER BY ts, h) AS before FROM s)
 SELECT @str(user_id) AS user_id, kind, project, h AS content_hash, @big(count(*)) AS n FROM p WHERE before IS NULL OR before <> h GROUP BY ALL""")
 def streamed_changed_snapshots(spark, sf_dir):
-    """The snapshot gate as a stateful stream; how often each hash passes."""
-    folder = _folder(spark, "snapshots")
+    """The snapshot gate over snapshots that come in three deliveries; how often each hash passes."""
     snaps = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("kind"),
         F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project"),
         F.col("ts").cast("timestamp").alias("captured_at"), F.floor(F.col("value") / 40).alias("v"),
     )
     keyed = snaps.withColumn("content_hash", snapshot_key(["v"])).drop("v")
-    keyed.write.parquet(f"{folder}/in")
-    stream = snapshot_stream(spark.readStream.schema(keyed.schema).parquet(f"{folder}/in"))
-    with _state_store(spark):
-        out = _drain(spark, stream, folder)
+    out = _in_turns(spark, keyed, "captured_at", _folder(spark, "snapshots"), gate_snapshots)
     return out.groupBy("user_id", "kind", "project", "content_hash").agg(F.count("*").alias("n"))
 
 

@@ -87,7 +87,8 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for endpoint, rows in pdf.groupby("endpoint", sort=False):
             upper, end = rows["upper_ts"].to_numpy(), rows["end_ts"].to_numpy()
             blocks, at = np.unique(rows["block"].to_numpy(), return_index=True)
-            last = None
+            last = rows["stored_ms"].iloc[0]
+            last = None if pd.isna(last) else int(last)
             for block, lo, hi in zip(blocks, at, [*at[1:], len(rows)], strict=True):
                 out.append((endpoint, int(block), last))
                 earliest = upper[lo] if last is None else last + COOLDOWN_MS
@@ -116,11 +117,12 @@ def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"endpoint": pdf["endpoint"].to_numpy()[starts], "ts_ms": ts[starts]})
 
 
-def started_triggers(triggers: DataFrame) -> DataFrame:
+def started_triggers(triggers: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(endpoint, ts_ms) of the triggers that start an upload.
 
     Duplicates collapse before the shuffle, which bounds a block by its milliseconds. A busy
-    endpoint is spread over one group per block.
+    endpoint is spread over one group per block. `stored` (endpoint, last_ms) are the last starts before;
+    where the first trigger is older than that the clock was set back, and it starts one.
     """
     distinct = triggers.select("endpoint", "ts_ms").distinct()
     blocks = distinct.withColumn("block", F.floor(F.col("ts_ms") / BLOCK_MS))
@@ -131,6 +133,12 @@ def started_triggers(triggers: DataFrame) -> DataFrame:
     summaries = clustered(blocks).mapInPandas(
         _summaries, "endpoint string, block bigint, upper_ts bigint, end_ts bigint"
     )
+    if stored is None:
+        summaries = summaries.withColumn("stored_ms", F.lit(None).cast("bigint"))
+    else:
+        first = distinct.groupBy("endpoint").agg(F.min("ts_ms").alias("_first"))
+        valid = stored.join(first, "endpoint").where("last_ms <= _first")
+        summaries = summaries.join(valid.select("endpoint", F.col("last_ms").alias("stored_ms")), "endpoint", "left")
     entries = (
         summaries.repartition("endpoint")
         .sortWithinPartitions("endpoint", "block", "upper_ts")
@@ -146,7 +154,7 @@ def blocked(until_ms: Column, now_ms: Column) -> Column:
     return F.coalesce(until_ms > now_ms, F.lit(False))
 
 
-def hook_actions(triggers: DataFrame) -> DataFrame:
+def hook_actions(triggers: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Action of every trigger: not_logged_in, then blocked, then cooldown, else spawned.
 
     Only triggers that pass the first two gates take part in the cooldown. Of several triggers in
@@ -156,7 +164,7 @@ def hook_actions(triggers: DataFrame) -> DataFrame:
         blocked(F.col("blocked_until_ms"), F.col("ts_ms")), "blocked"
     )
     gated = triggers.withColumn("gate", gate)
-    started = started_triggers(gated.where("gate IS NULL")).withColumn("_started", F.lit(True))
+    started = started_triggers(gated.where("gate IS NULL"), stored).withColumn("_started", F.lit(True))
     first = (
         gated.where("gate IS NULL")
         .groupBy("endpoint", "ts_ms")

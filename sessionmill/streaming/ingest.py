@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionmill.operators.ordering import latest_per_key
-from sessionmill.operators.reports import batch_state
 from sessionmill.plans.upload import UploadRun, run_upload
 
 LISTING = "source_kind string, path string, size_bytes bigint, mtime_ms double"
-EVENTS = "manifest_id string, event string, expected_sessions bigint, session_id string"
 
 
 def ingest_listings(
@@ -45,8 +43,3 @@ def ingest_listings(
         .foreachBatch(sweep)
         .start()
     )
-
-
-def progress_state(spark: SparkSession, events: str) -> DataFrame:
-    """Streaming counters per manifest over an event log folder, for update mode."""
-    return batch_state(spark.readStream.schema(EVENTS).json(events))

@@ -12,7 +12,6 @@ from sessionmill.operators import snapshots as N
 from sessionmill.operators.redact import RedactionContext
 from sessionmill.plans.snapshot import context_snapshot, mcp_snapshot
 from sessionmill.sources import git_files as W
-from sessionmill.streaming.triggers import gate_stream, snapshot_stream
 
 
 def one(spark, *cols):
@@ -179,33 +178,3 @@ def test_sql_functions(spark):
     assert len(names) == 6
     row = spark.sql("SELECT redact_emails('O''Brien@x.co') AS a, shannon_entropy('') AS b, session_uuid('/p') AS c").first()
     assert row.b == 0.0 and row.c[14] == "5"
-
-
-def stream(spark, df, tmp_path, batches, transform):
-    """Feed rows in several micro-batches."""
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for n in range(batches):
-        df.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(src)
-        q = (
-            transform(spark.readStream.schema(df.drop("batch").schema).parquet(src))
-            .writeStream.option("checkpointLocation", str(tmp_path / "cp")).outputMode("append")
-            .trigger(availableNow=True).format("parquet").option("path", out).start()
-        )
-        q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def test_cooldown_state_lives_across_batches(spark, tmp_path):
-    times = [0, 60_000, 119_999, 120_000, 130_000, 240_000, 250_000]
-    rows = [("e", i, t, True, None, i // 3) for i, t in enumerate(times)] + [("f", 100, 5, False, None, 0), ("f", 101, 6, True, 7, 1), ("f", 102, 8, True, 7, 2)]
-    df = spark.createDataFrame(rows, "endpoint string, trigger_id bigint, ts_ms bigint, logged_in boolean, blocked_until_ms bigint, batch int")
-    got = stream(spark, df, tmp_path, 3, gate_stream).where("action = 'spawned'").collect()
-    assert sorted((r.endpoint, r.ts_ms) for r in got) == [("e", 0), ("e", 120_000), ("e", 240_000), ("f", 8)]
-
-
-def test_snapshot_gate_stream(spark, tmp_path):
-    rows = [("u", "context_snapshot", None, t, h, b) for t, h, b in [(1, "a", 0), (2, "a", 0), (3, "a", 1), (4, "b", 1), (5, "b", 2), (6, "a", 2)]]
-    df = spark.createDataFrame(rows, "user_id string, kind string, project string, t bigint, content_hash string, batch int")
-    df = df.withColumn("captured_at", F.timestamp_seconds("t")).select("user_id", "kind", "project", "captured_at", "content_hash", "batch")
-    got = stream(spark, df, tmp_path, 3, snapshot_stream).orderBy("captured_at").collect()
-    assert [(r.captured_at.second, r.content_hash) for r in got] == [(1, "a"), (4, "b"), (6, "a")]
