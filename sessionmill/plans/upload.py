@@ -95,11 +95,10 @@ def run_upload(
     session_cwd, recorded_branch) into their git coordinates, which the entries then carry.
     """
     spark = listing.sparkSession
-    if L.is_committed(spark, run.ledger_path, run.run_id):
+    if L.is_committed(spark, run.ledger_path, run.run_id, run.endpoint, run.user_id):
         return spark.read.parquet(f"{run.folder}/summary")
     rules = run.redaction.rules()
-    ledger = L.read_ledger(spark, run.ledger_path)
-    own = L.of_user(ledger, run.endpoint, run.user_id)
+    own = L.read_ledger(spark, run.ledger_path, run.endpoint, run.user_id)
     checked = durable(C.stat_check(listing, own))
 
     texts = read_records(checked.where("NOT stat_hit"))
@@ -158,7 +157,6 @@ def run_upload(
         F.col("path").alias("source_file_path"), "mtime_ms",
         F.col("size_bytes").alias("byte_size_on_disk"), "derivation",
         F.lit(POLICY_VERSION).alias("policy_version"),
-        F.lit(run.endpoint).alias("endpoint"), F.lit(run.user_id).alias("user_id"),
     )
-    L.write_ledger(L.upsert(ledger, moved), run.ledger_path, run.run_id)
+    L.write_ledger(moved, run.ledger_path, run.run_id, run.endpoint, run.user_id)
     return done

@@ -46,13 +46,34 @@ def test_newest_copy_wins(spark):
     assert sorted((r.source_kind, r.path) for r in got) == [("c", "/a"), ("d", "/x")]
 
 
+def test_a_write_follows_the_changes(spark, tmp_path):
+    """Only the buckets of changed entries are written, and owners do not meet."""
+    path = str(tmp_path / "l")
+    many = spark.createDataFrame([entry(f"s{i}", H["a"]) for i in range(500)], L.LEDGER_SCHEMA)
+    assert len(L.write_ledger(many, path, "r0", "e", "ann")) == L.BUCKETS
+    L.write_ledger(many.limit(3), path, "r0", "e", "bob")
+    few = many.where("session_id IN ('s7', 's9')").withColumns({"content_hash": F.lit(H["b"]), "last_uploaded_at": F.lit("2026-05")})
+    touched = L.write_ledger(few, path, "r1", "e", "ann")
+    (folder,) = [p.parent for p in (tmp_path / "l" / "data").glob("*/generation=1/_SUCCESS")]
+    assert sorted(int(p.name.split("=")[1]) for p in folder.glob("bucket=*")) == touched and len(touched) <= 2
+    ann = {r.session_id: r.content_hash for r in L.read_ledger(spark, path, "e", "ann").collect()}
+    assert len(ann) == 500 and {k for k, v in ann.items() if v == H["b"]} == {"s7", "s9"}
+    assert L.read_ledger(spark, path, "e", "bob").count() == 3 and L.read_ledger(spark, path).count() == 503
+    assert L.read_ledger(spark, path, "x", "ann").count() == 0
+    assert L.write_ledger(few.where("false"), path, "r2", "e", "ann") == [] and L.is_committed(spark, path, "r2", "e", "ann")
+    assert not L.is_committed(spark, path, "r1", "e", "bob")
+    # A folder that no commit names, as a broken run leaves it, is not read, and the next write goes over it.
+    few.withColumn("schema_version", F.lit(2)).withColumn("bucket", F.lit(touched[0])).write.partitionBy("bucket").parquet(f"{folder.parent}/generation=3")
+    assert L.read_ledger(spark, path, "e", "ann").count() == 500
+
+
 def test_ledger_generations(spark, tmp_path):
     path = str(tmp_path / "ledger")
     assert L.read_ledger(spark, path).count() == 0
     one = spark.createDataFrame([entry("s1", H["a"])], L.LEDGER_SCHEMA)
     L.write_ledger(one, path)
     newer = spark.createDataFrame([entry("s1", H["b"])], L.LEDGER_SCHEMA).withColumn("last_uploaded_at", F.lit("2026-02"))
-    L.write_ledger(L.upsert(L.read_ledger(spark, path), newer.unionByName(one)), path)
+    L.write_ledger(newer.unionByName(one), path)
     assert [(r.session_id, r.content_hash) for r in L.read_ledger(spark, path).collect()] == [("s1", H["b"])]
 
 
@@ -90,7 +111,9 @@ def test_run_twice_then_change(spark, fleet, tmp_path):
     entries = {r.path[-7]: r for r in spark.read.parquet(f"{run.folder}/entries").collect()}
     assert {k: (e.tier, e.expected_bytes > 0) for k, e in entries.items()} == {"0": ("full", True), "1": ("metadata", False), "3": ("full", True)}
     for k, e in entries.items():
-        assert e.raw_hash == hashlib.sha256((fleet / f"{k}.jsonl").read_bytes()).hexdigest()
+        data = (fleet / f"{k}.jsonl").read_bytes()
+        part = hashlib.sha256(hashlib.sha256(data).hexdigest().encode()).hexdigest()
+        assert e.raw_hash == hashlib.sha256(f"v1/blocks\n{len(data)}\n{part}".encode()).hexdigest()
         assert (e.redacted_hash is not None) == (e.tier == "full") and e.redacted_hash != e.content_hash
     bodies = spark.read.parquet(f"{run.folder}/payload")
     text = "\n".join(r.raw for r in bodies.collect())
