@@ -120,22 +120,17 @@ def resumable(entries: DataFrame, jobs: DataFrame, batch: DataFrame) -> DataFram
     with those of the run; `jobs` has (manifest_id, session_id). A manifest is resumable if the
     three agree, every job has an entry and every unfinished entry has a job.
     """
-    # One union and one count per entry: no side is read twice, and large manifests combine early.
-    none = F.lit(None).cast("string")
+    # One union and one count per entry, of numbers only, so that both groups are hashed and never sorted.
     saved = entries.select(
-        "manifest_id", "session_id", "source_kind", "endpoint", "user_id",
-        F.lit(1).alias("saved"), F.col("status").isin(UNFINISHED).cast("int").alias("open"), F.lit(0).alias("job"),
-    )
-    wanted = jobs.select(
-        "manifest_id", "session_id", *[none.alias(c) for c in ("source_kind", "endpoint", "user_id")],
-        F.lit(0).alias("saved"), F.lit(0).alias("open"), F.lit(1).alias("job"),
+        "manifest_id", "session_id", F.lit(1).alias("saved"), F.col("status").isin(UNFINISHED).cast("int").alias("open"), F.lit(0).alias("job")
     )
+    wanted = jobs.select("manifest_id", "session_id", F.lit(0).alias("saved"), F.lit(0).alias("open"), F.lit(1).alias("job"))
     per_entry = saved.unionByName(wanted).groupBy("manifest_id", "session_id").agg(
-        *[F.min(c).alias(c) for c in ("source_kind", "endpoint", "user_id")],
-        F.sum("saved").alias("saved"), F.sum("open").alias("open"), F.sum("job").alias("job"),
+        F.sum("saved").alias("saved"), F.sum("open").alias("open"), F.sum("job").alias("job")
     )
+    owner = ["source_kind", "endpoint", "user_id"]
+    owners = entries.select("manifest_id", *owner).distinct().groupBy("manifest_id").agg(*[F.min(c).alias(c) for c in owner])
     counted = per_entry.groupBy("manifest_id").agg(
-        *[F.min(c).alias(c) for c in ("source_kind", "endpoint", "user_id")],
         F.sum("saved").alias("saved"),
         F.sum(F.when(F.col("saved") == 0, F.col("job")).otherwise(0)).alias("unknown_jobs"),
         F.sum(F.when(F.col("job") == 0, F.col("open")).otherwise(0)).alias("orphan_entries"),
@@ -147,6 +142,7 @@ def resumable(entries: DataFrame, jobs: DataFrame, batch: DataFrame) -> DataFram
     )
     return (
         counted.where("saved > 0")
+        .join(owners, "manifest_id")
         .join(batch, "manifest_id")
         .select(
             "manifest_id",

@@ -24,11 +24,11 @@ from sessionmill.plans.redaction_queries import (
 )
 from sessionmill.plans.registry import query
 from sessionmill.plans.report_queries import _COOLDOWN, _EVENTS, _progress
-from sessionmill.plans.upload import UploadRun, all_acked, read_listed, run_upload
+from sessionmill.plans.upload import UploadRun, all_acked, read_listed, resume_upload, run_upload, saved_states
 from sessionmill.plans.usage_queries import _FACTS, _HASHED, _UUID5
 from sessionmill.plans.views import table, view
 from sessionmill.sources import ledger as L
-from sessionmill.sources.files import list_files
+from sessionmill.sources.files import list_files, raw_hashes
 from sessionmill.sources.git_files import git_dir_files
 from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
 from sessionmill.sources.sinks import write_bodies, write_events
@@ -152,6 +152,26 @@ def resumed_run(spark, sf_dir):
     return states.join(ledger, "session_id").drop("session_id")
 
 
+@query(_SENT + """
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END AS attempt, CASE WHEN conv_id % 3 <> 0 AND conv_id % 5 < 2 THEN 'skipped' ELSE 'acked' END AS status,
+  CASE WHEN conv_id % 3 <> 0 THEN CASE conv_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'modified' END END AS reason,
+  CASE WHEN conv_id % 3 = 0 OR conv_id % 5 > 1 THEN 'r1-claude' END AS ledger
+FROM sent""")
+def resumed_manifest(spark, sf_dir):
+    """A run whose delivery answers a third of the entries; its manifest is gone on with, but for files that are gone or
+    modified by then."""
+    listing, read, run = _chat_run(spark, sf_dir, "manifest")
+    run_upload(listing, read, run, deliver=lambda entries: all_acked(entries.where(_conv() % 3 == 0)))
+    hashes = raw_hashes(listing.select("path"), listing).where(_conv() % 5 != 0)
+    now = hashes.withColumn("raw_hash", F.when(_conv() % 5 == 1, F.lit("modified")).otherwise(F.col("raw_hash")))
+    resume_upload(listing, run, current=now)
+    resume_upload(listing, run, current=now)  # nothing is open any more
+    ledger = L.read_ledger(spark, run.ledger_path, run.endpoint, run.user_id).select("session_id", F.col("manifest_id").alias("ledger"))
+    entries = spark.read.parquet(f"{run.folder}/entries").select("session_id", _conv().alias("conv_id"))
+    states = saved_states(spark, run).select("session_id", "attempt", "status", "reason")
+    return entries.join(states, "session_id").join(ledger, "session_id", "left").drop("session_id")
+
+
 @query(_SENT + "SELECT conv_id, content_hash, 'st-0-claude' AS manifest_id FROM sent")
 def ingested_runs(spark, sf_dir):
     """Listings as a stream: each micro-batch is a run of its own, and the ledger follows."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.functions.hashing import POLICY_VERSION
@@ -31,6 +31,7 @@ from sessionmill.operators.identity import resolve_identity, session_facts
 from sessionmill.operators.projects import with_project
 from sessionmill.sources import ledger as L
 from sessionmill.sources import sinks
+from sessionmill.sources.files import existing, raw_hashes
 from sessionmill.sources.gemini import registry, resolve_cwds
 from sessionmill.sources.providers import by_source_kind
 from sessionmill.sources.records import RECORD_ROWS, content_hash, file_hashes, read_ndjson, typed_records
@@ -151,12 +152,65 @@ def run_upload(
     vanished = checked.where("NOT stat_hit").join(records.select(*SESSION).distinct(), SESSION, "left_anti")
     done = _saved(summary.withColumn("without_records", F.lit(vanished.count())), f"{run.folder}/summary")
 
+    L.write_ledger(_moved(entries, states, run.uploaded_at), run.ledger_path, run.run_id, run.endpoint, run.user_id)
+    return done
+
+
+def _moved(entries: DataFrame, states: DataFrame, uploaded_at: str) -> DataFrame:
+    """Ledger rows of the entries that were acknowledged."""
     acked = entries.join(states.where("status = 'acked'").select("session_id", "manifest_id"), ["session_id", "manifest_id"])
-    moved = acked.select(
-        "session_id", "content_hash", F.lit(run.uploaded_at).alias("last_uploaded_at"), "manifest_id",
+    return acked.select(
+        "session_id", "content_hash", F.lit(uploaded_at).alias("last_uploaded_at"), "manifest_id",
         F.col("path").alias("source_file_path"), "mtime_ms",
         F.col("size_bytes").alias("byte_size_on_disk"), "derivation",
         F.lit(POLICY_VERSION).alias("policy_version"),
     )
-    L.write_ledger(moved, run.ledger_path, run.run_id, run.endpoint, run.user_id)
+
+
+def saved_states(spark: SparkSession, run: UploadRun) -> DataFrame:
+    """The state of every entry of a run after all its attempts; `attempt` is the one that settled it, 0 the run."""
+    states = spark.read.parquet(f"{run.folder}/states").withColumn("attempt", F.lit(0))
+    resumed = existing(lambda: spark.read.parquet(f"{run.folder}/resumed"))
+    if resumed is not None:
+        states = states.unionByName(resumed)
+    return M.latest_entries(states.withColumn("seq", F.col("attempt"))).drop("seq")
+
+
+def resume_upload(
+    listing: DataFrame, run: UploadRun, deliver: Callable[[DataFrame], DataFrame] = all_acked, current: DataFrame | None = None
+) -> DataFrame:
+    """Go on with the manifests that a run has left open; returns the states of this attempt.
+
+    The payload lies redacted in the run's folder, so nothing is parsed again. A manifest is taken up if it is of
+    this run's endpoint and user and knows all of its sessions. Files are checked by their raw hash first (read
+    from `listing`, or given as `current`: path, raw_hash): entries whose file is missing or modified are
+    skipped, as a later run sends what is there now. Each attempt is committed like a run, and one that died
+    is made again under its number.
+    """
+    spark = listing.sparkSession
+    entries = spark.read.parquet(f"{run.folder}/entries")
+    attempt = 1
+    while L.is_committed(spark, run.ledger_path, f"{run.run_id}/{attempt}", run.endpoint, run.user_id):
+        attempt += 1
+    before = saved_states(spark, run).where(F.col("attempt") < attempt)
+    open_ = entries.drop("status").join(
+        before.where(F.col("status").isin(M.UNFINISHED)).select("manifest_id", "session_id"), ["manifest_id", "session_id"]
+    )
+    headers = spark.read.json(f"{run.folder}/manifest/headers")
+    owned = entries.select("manifest_id", "session_id").join(
+        before.select("manifest_id", "session_id", "status"), ["manifest_id", "session_id"]
+    ).join(headers.select("manifest_id", "source_kind", "endpoint", "user_id"), "manifest_id")
+    batch = headers.select(
+        "manifest_id", F.col("source_kind").alias("run_source_kind"), F.lit(run.endpoint).alias("run_endpoint"), F.lit(run.user_id).alias("run_user_id")
+    )
+    ready = M.resumable(owned, open_.select("manifest_id", "session_id"), batch).where("resume").select("manifest_id")
+    open_ = durable(open_.join(ready, "manifest_id"))
+    if current is None:
+        current = raw_hashes(open_.select("path"), listing.select("path", "size_bytes"))
+    checked = durable(M.recheck_entries(open_, current))
+    skipped = checked.where("skip_reason IS NOT NULL").select("session_id", F.lit("skipped").alias("status"), F.col("skip_reason").alias("reason"))
+    sent = checked.where("skip_reason IS NULL").drop("skip_reason")
+    states = M.entry_states(open_, deliver(sent).select("session_id", "status", "reason").unionByName(skipped))
+    done = _saved(states, f"{run.folder}/resumed/attempt={attempt}")
+    L.write_ledger(_moved(entries, done, run.uploaded_at), run.ledger_path, f"{run.run_id}/{attempt}", run.endpoint, run.user_id)
     return done

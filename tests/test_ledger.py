@@ -286,3 +286,24 @@ def test_event_sink(spark, tmp_path):
         sinks.write_events(with_sequence(events, ["ts"]), out)
     rows = spark.read.json(out).collect()
     assert sorted((r.manifest_id, r.seq, r.event) for r in rows) == [("m1", 0, "upload-start"), ("m1", 1, "session-acked"), ("m2", 0, "upload-start")]
+
+
+def test_a_manifest_is_gone_on_with(spark, fleet, tmp_path):
+    """One file is modified and one gone by the time of the second attempt; a later run sends the modified one."""
+    from sessionmill.plans.upload import resume_upload, saved_states
+
+    nobody = lambda entries: entries.select("session_id", F.lit("acked").alias("status"), F.lit(None).cast("string").alias("reason")).where("false")
+    _, run = upload(spark, fleet, tmp_path, "r1", deliver=nobody)
+    assert L.read_ledger(spark, run.ledger_path).count() == 0
+    with (fleet / "0.jsonl").open("a") as f:
+        f.write('{"type":"x"}\n')
+    (fleet / "1.jsonl").unlink()
+    listing = list_files(spark, str(fleet / "*.jsonl"), "claude-code").drop("machine_id")
+    states = resume_upload(listing, run).collect()
+    assert sorted((r.status, r.reason) for r in states) == [("acked", None), ("skipped", "missing"), ("skipped", "modified")]
+    assert [r.source_file_path[-7] for r in L.read_ledger(spark, run.ledger_path).collect()] == ["3"]
+    assert resume_upload(listing, run).count() == 0 and {r.attempt for r in saved_states(spark, run).collect()} == {1}
+    second, run2 = upload(spark, fleet, tmp_path, "r2")
+    assert [r.path[-7] for r in spark.read.parquet(f"{run2.folder}/entries").collect()] == ["0"]
+    other = UploadRun("r1", run.out, run.ledger_path, run.redaction, run.uploaded_at, user_id="else")
+    assert resume_upload(listing, other).count() == 0
