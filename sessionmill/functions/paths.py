@@ -114,7 +114,7 @@ def glob_regex(pattern: str) -> str:
     while i < len(pattern):
         ch = pattern[i]
         if pattern.startswith("**/", i):
-            out.append("(?:[^/]+/)*")
+            out.append("(?:[^/]+/)*" if i else "(?:.*/)?")  # at the start also below the root
             i += 3
         elif pattern.startswith("**", i):
             out.append(".*")

@@ -340,6 +340,42 @@ def upload_config_settings(spark, sf_dir):
     return configs.select("dir", "error", *lists, "enabled", "concurrency", "org")
 
 
+@query("""
+WITH p AS (
+  SELECT c_custkey, c_nationkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'codex' ELSE 'claude' END AS provider_id,
+    '/Users/dev' || @str(c_nationkey) || '/team' || @str(c_custkey % 13) || '/proj' || @str(c_custkey) AS path FROM customer),
+t AS (
+  SELECT *, CASE k % 4 WHEN 1 THEN regexp_matches(path, '^/Users/dev[0-9]+/team1[^/]*/.*$') WHEN 2 THEN regexp_matches(path, '^/Users/[^/]*/team(2|3|x)/proj[0-9]*0[0-9]$') OR regexp_matches(path, '/proj[0-9]*7$') ELSE true END AS inside,
+    k % 3 = 0 AND regexp_matches(path, '^/Users/dev[0-9]*/(.*/)?proj[0-9]*5$') AS outside FROM p)
+SELECT @big(c_custkey) AS c_custkey, provider_id FROM t WHERE inside AND NOT outside AND k % 7 <> 6 AND (k % 5 <> 0 OR provider_id = 'claude')""")
+def governed_projects(spark, sf_dir):
+    """Projects by the globs of the config that governs each: lists out of config files, one config per nation."""
+    key = F.col("n_nationkey")
+    names = lambda *globs: F.array(*map(F.lit, globs))
+    files = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("/Users/dev"), key.cast("string")).alias("dir"),
+        F.when(key % 7 == 6, '{"schemaVersion":1,"projects":{"include":[1]}}').otherwise(F.to_json(F.struct(
+            F.lit(1).alias("schemaVersion"),
+            F.when(key % 5 == 0, names("claude", "gemini")).alias("providers"),
+            F.struct(
+                F.when(key % 4 == 1, names("~/team1*/**")).when(key % 4 == 2, names("/Users/*/team{2,3,x}/proj*0?", "**/proj*7"))
+                .when(key % 4 == 3, F.array().cast("array<string>")).alias("include"),
+                F.when(key % 3 == 0, names("/Users/dev*/**/proj*5", "~/nowhere/**")).alias("exclude"),
+            ).alias("projects"),
+        ))).alias("content"),
+    )
+    configs = upload_configs(files).withColumn("home", F.col("dir"))
+    c = table(spark, sf_dir, "customer")
+    text = {n: F.col(n).cast("string") for n in ("c_nationkey", "c_custkey")}
+    home = F.concat(F.lit("/Users/dev"), text["c_nationkey"])
+    groups = c.select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), home.alias("config_dir"),
+        F.when(F.col("c_custkey") % 3 == 0, "codex").otherwise("claude").alias("provider_id"),
+        F.concat(F.lit("~/team"), (F.col("c_custkey") % 13).cast("string"), F.lit("/proj"), text["c_custkey"]).alias("project_name"),
+    )
+    return S.governed_selection(groups, configs).select("c_custkey", "provider_id")
+
+
 @query("""
 SELECT '/w/' || @str(c_custkey) || '/a/b' AS cwd,
   CASE WHEN c_custkey % 3 = 0 THEN '/w/' || @str(c_custkey) WHEN c_custkey % 3 = 1 THEN '/w/' || @str(c_custkey) || '/a' END AS config_dir,
