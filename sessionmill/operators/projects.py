@@ -88,13 +88,13 @@ def repository_sessions(sessions: DataFrame, group_repos: DataFrame) -> DataFram
 
 
 def group_by_repo(groups: DataFrame, group_repos: DataFrame) -> DataFrame:
-    """Merge groups of one repository; groups without a repository keep their path key."""
+    """Merge groups of one repository; groups without a repository keep their path key. Label and provider are
+    those of one group, the first by provider."""
     return _by_repo(groups, group_repos).groupBy("group_key").agg(
-        F.min("label").alias("label"),
-        F.min("provider_id").alias("provider_id"),
+        F.min(F.struct("provider_id", "label")).alias("_first"),
         F.sum("session_count").alias("session_count"),
         F.count("*").alias("merged_groups"),
-    )
+    ).select("group_key", "_first.label", "_first.provider_id", "session_count", "merged_groups")
 
 
 def biggest_first(groups: DataFrame, count: str = "session_count", name: str = "label") -> DataFrame:

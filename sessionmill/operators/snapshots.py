@@ -24,9 +24,8 @@ INVENTORY_DIRS = {"skills": "skill", "commands": "slash_command", "agents": "age
 ARTIFACT_FILES = {"codex": ("AGENTS.md", ".codex/AGENTS.md"), "gemini": ("GEMINI.md", ".gemini/GEMINI.md"),
                   "cursor": ("AGENTS.md", None)}
 
-# A server line is `name: target - glyph word`, a remote target ends in its kind.
-_MCP_LINE = r"^(\S+):\s+(.+?)\s+-\s+([✓✗⏸])\s+.*$"
-_MCP_REMOTE = r"\s*\((?:HTTP|SSE)\)\s*$"
+# Kinds of a remote target, in brackets at its end.
+MCP_REMOTE = ["HTTP", "SSE"]
 
 
 def _doc_lines(docs: DataFrame, split: str = "\n") -> DataFrame:
@@ -40,22 +39,37 @@ def _mcp_relevant(line: Column) -> Column:
     return (line != "") & ~F.startswith(line, F.lit(MCP_BANNER))
 
 
+def _mcp_fields(line: Column) -> Column:
+    """name, target and mark of a trimmed line `name: target - mark words`, null for any other line.
+
+    The name is the first word and ends in a colon; what stands before the first dash that a mark follows
+    is the target.
+    """
+    word = F.split(line, r"\s", 2)
+    head, rest = F.get(word, F.lit(0)), trim_blank(F.get(word, F.lit(1)))
+    marks = "".join(MCP_STATUS)
+    halves = F.split(rest, rf"\s+-\s+(?=[{marks}]\s)", 2)
+    target, tail = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
+    complete = F.endswith(head, F.lit(":")) & (F.length(head) > 1) & (target != "") & tail.isNotNull()
+    fields = F.struct(F.left(head, F.length(head) - 1).alias("name"), target.alias("target"), F.left(tail, F.lit(1)).alias("mark"))
+    return F.when(complete, fields)
+
+
 def mcp_servers(docs: DataFrame) -> DataFrame:
     """Servers of an MCP list text: name, transport, target, health."""
     line = F.col("line")
-    rows = _doc_lines(docs).withColumn("line", trim_blank(line)).where(
-        _mcp_relevant(line) & line.rlike(_MCP_LINE)
-    )
-    target = F.regexp_extract(line, _MCP_LINE, 2)
-    glyph = F.regexp_extract(line, _MCP_LINE, 3)
-    status = F.lit("unknown")
+    rows = _doc_lines(docs).withColumn("line", trim_blank(line)).where(_mcp_relevant(line))
+    rows = rows.withColumn("_f", _mcp_fields(line)).where("_f IS NOT NULL")
+    target, status = F.col("_f.target"), F.lit("unknown")
     for mark, word in MCP_STATUS.items():
-        status = F.when(glyph == mark, word).otherwise(status)
+        status = F.when(F.col("_f.mark") == mark, word).otherwise(status)
+    kind = F.substring_index(target, "(", -1)
+    remote = F.contains(target, F.lit("(")) & kind.isin([f"{k})" for k in MCP_REMOTE])
     return rows.select(
         "doc_id", "line_no",
-        F.regexp_extract(line, _MCP_LINE, 1).alias("name"),
-        F.when(target.rlike(_MCP_REMOTE), "http").otherwise("stdio").alias("transport"),
-        F.regexp_replace(target, _MCP_REMOTE, "").alias("target"),
+        F.col("_f.name").alias("name"),
+        F.when(remote, "http").otherwise("stdio").alias("transport"),
+        F.when(remote, trim_blank(F.left(target, F.length(target) - F.length(kind) - 1))).otherwise(target).alias("target"),
         status.alias("status"),
     )
 
@@ -64,7 +78,7 @@ def mcp_parse_status(docs: DataFrame) -> DataFrame:
     """'unparsed' for a text with a line that could not be read; found out inside the row."""
     bad = F.exists(
         F.transform(F.split("text", "\n", -1), trim_blank),
-        lambda s: _mcp_relevant(s) & ~s.rlike(_MCP_LINE),
+        lambda s: _mcp_relevant(s) & _mcp_fields(s).isNull(),
     )
     return docs.select("doc_id", F.when(bad, "unparsed").otherwise("parsed").alias("parse_status"))
 
