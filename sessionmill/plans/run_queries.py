@@ -32,6 +32,7 @@ from sessionmill.sources.files import list_files, raw_hashes
 from sessionmill.sources.git_files import git_dir_files
 from sessionmill.sources.records import file_hashes, read_ndjson, typed_records
 from sessionmill.sources.sinks import write_bodies, write_events
+from sessionmill.streaming.acks import settle_entries
 from sessionmill.streaming.ingest import ingest_listings
 from sessionmill.streaming.state import output
 from sessionmill.streaming.triggers import gate_blocked, gate_progress, gate_snapshots, gate_triggers
@@ -243,6 +244,36 @@ def streamed_batch_states(spark, sf_dir):
     return latest.select("manifest_id", "s.*")
 
 
+@query("""
+WITH sent AS (SELECT event_id, ts_ms, @sha256(@str(event_id)) AS content_hash FROM v_events WHERE event_id % 2 = 0),
+acks AS (SELECT event_id, ts_ms + CASE WHEN event_id % 4 = 0 THEN 60000 ELSE 259200000 END AS ts_ms FROM sent WHERE event_id % 8 <> 6),
+last AS (SELECT greatest((SELECT max(ts_ms) FROM sent), (SELECT max(ts_ms) FROM acks)) AS now),
+told AS (
+  SELECT event_id, content_hash, CASE WHEN event_id % 16 = 0 THEN 'failed' WHEN event_id % 8 <> 6 THEN 'acked' WHEN ts_ms + 3600000 <= now THEN 'unanswered' END AS status FROM sent, last)
+SELECT 's' || @str(event_id) AS session_id, status, CASE WHEN status = 'acked' THEN content_hash END AS ledger_hash FROM told WHERE status IS NOT NULL""")
+def streamed_acks(spark, sf_dir):
+    """Sent entries and their acks in three deliveries: some answers come days later, some never."""
+    folder = _folder(spark, "acks")
+    key = F.col("event_id")
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    sent = view(spark, sf_dir, "v_events").where(key % 2 == 0).select(
+        F.lit("m").alias("manifest_id"), F.concat(F.lit("s"), key.cast("string")).alias("session_id"), "event_id", "ts_ms"
+    )
+    entries = sent.select(
+        "manifest_id", "session_id", "ts_ms", F.lit(False).alias("is_ack"), F.sha2(key.cast("string"), 256).alias("content_hash"),
+        F.col("session_id").alias("path"), text(None).alias("status"), text(None).alias("reason"),
+    )
+    acks = sent.where(key % 8 != 6).select(
+        "manifest_id", "session_id", (F.col("ts_ms") + F.when(key % 4 == 0, 60_000).otherwise(259_200_000)).alias("ts_ms"), F.lit(True).alias("is_ack"),
+        text(None).alias("content_hash"), text(None).alias("path"), F.when(key % 16 == 0, "failed").otherwise("acked").alias("status"), text(None).alias("reason"),
+    )
+    ledger = f"{folder}/ledger"
+    out = _in_turns(spark, entries.unionByName(acks), "ts_ms", folder, lambda events, f: settle_entries(events, f, ledger, "acks"))
+    last = out.groupBy("session_id").agg(F.max_by("status", "batch").alias("status"))
+    moved = L.read_ledger(spark, ledger).select("session_id", F.col("content_hash").alias("ledger_hash"))
+    return last.join(moved, "session_id", "left")
+
+
 @query(_EVENTS + "SELECT manifest_id, event, @big(row_number() OVER (PARTITION BY manifest_id ORDER BY event_id) - 1) AS seq FROM ev")
 def event_log(spark, sf_dir):
     """Numbered events written as an NDJSON log and read back."""

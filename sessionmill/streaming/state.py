@@ -29,13 +29,15 @@ class Gate:
 
     `emit(rows, state, earlier)` gives the output rows; `earlier` is the output of the batches before, or None.
     `keep(rows, output, state)` gives the state rows that have
-    changed, with a boolean column `gone` for keys that leave the state.
+    changed, with a boolean column `gone` for keys that leave the state. `after(output, batch)` does what follows
+    from the output elsewhere; as a batch may be tried again, it must be able to run twice.
     """
 
     keys: list[str]
     schema: str
     emit: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
     keep: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+    after: Callable[[DataFrame, int], None] | None = None
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -80,6 +82,8 @@ def run_gate(stream: DataFrame, folder: str, gate: Gate) -> StreamingQuery:
         changed = gate.keep(rows, spark.read.parquet(out), state)
         columns = [c.split()[0] for c in gate.schema.split(", ")] + ["gone"]
         changed.select(*columns).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+        if gate.after:
+            gate.after(spark.read.parquet(out), batch)
         rows.unpersist()
 
     return (

@@ -100,3 +100,30 @@ def test_state_is_written_as_a_whole_now_and_then(spark, tmp_path, monkeypatch,
     got = feed(spark, df, tmp_path, 7, T.gate_snapshots).orderBy("captured_at").collect()
     assert [r.captured_at.second for r in got] == [1, 2, 5, 6]
     assert (tmp_path / "gate" / "whole").exists() == (every == 2)
+
+
+def test_acks_late_early_repeated_and_never(spark, tmp_path):
+    from sessionmill.sources import ledger as L
+    from sessionmill.streaming import acks as A
+
+    hour = A.TIMEOUT_MS
+    h = {k: k * 64 for k in "abcde"}
+    entry = lambda k, t, batch: ("m", k, t, False, h[k], f"/{k}", None, None, batch)
+    ack = lambda k, t, status, batch, reason=None: ("m", k, t, True, None, None, status, reason, batch)
+    rows = [
+        entry("a", 0, 0), ack("a", 5, "acked", 0), ack("b", 1, "acked", 0), entry("c", 0, 0),
+        entry("b", 2, 1), entry("d", hour, 1), ack("a", 9, "failed", 1, "again"),
+        ack("c", 2 * hour, "acked", 2), ack("d", 2 * hour, "failed", 2, "network"), entry("e", 2 * hour, 2),
+        ack("x", A.LATE_MS + 3 * hour, "acked", 3),
+    ]
+    df = spark.createDataFrame(rows, A.EVENTS + ", batch int")
+    ledger = str(tmp_path / "ledger")
+    out = feed(spark, df, tmp_path, 4, lambda events, folder: A.settle_entries(events, folder, ledger, "r", "e", "u"))
+    got = sorted((r.batch, r.session_id, r.status, r.reason, r.told) for r in out.collect())
+    assert got == [
+        (0, "a", "acked", None, False), (1, "b", "acked", None, False), (1, "c", "unanswered", None, False),
+        (2, "c", "acked", None, True), (2, "d", "failed", "network", False), (3, "e", "unanswered", None, False),
+    ]
+    assert {r.session_id: r.content_hash for r in L.read_ledger(spark, ledger, "e", "u").collect()} == {k: h[k] for k in "abc"}
+    gate = S.Gate(A._KEYS, f"manifest_id string, session_id string, {A._VALUES}", None, None)
+    assert [r.session_id for r in S.read_state(spark, str(tmp_path / "gate"), gate, 4).collect()] == ["x"]  # the others have ended
