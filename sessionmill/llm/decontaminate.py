@@ -63,7 +63,7 @@ def tiles(matches: list[tuple[int, int, int]], least: int = SHINGLE) -> list[tup
 class SeedIndex:
     """Seeds of a block of benchmark items: sorted hashes, and for each the items and places that have it."""
 
-    def __init__(self, ids: list, texts: pa.Array):
+    def __init__(self, ids: pa.Array, texts: pa.Array):
         words, begins = batch_words(texts)
         self.ids = ids
         self.size = np.diff(begins)
@@ -141,7 +141,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[SeedIndex]:
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        yield SeedIndex(part["item_id"].to_pylist(), part["text"].combine_chunks())
+        yield SeedIndex(part["item_id"].combine_chunks(), part["text"].combine_chunks())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = list(index.value.matches(batch["text"], coverage))
-                ids = pa.array([index.value.ids[f[1]] for f in found], index.value.id_type)
+                ids = index.value.ids.take(pa.array([f[1] for f in found], pa.int64()))
                 tiled = pa.array([[dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in f[3]] for f in found], tile_type)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(pa.array([f[0] for f in found], pa.int64())), ids, pa.array([f[2] for f in found], pa.float64()), tiled],
@@ -167,7 +167,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     out = spark.createDataFrame([], schema)
     for index in _blocks(benchmark, block_bytes):
-        index.id_type = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
         out = out.union(search(spark.sparkContext.broadcast(index)))
     return out
 

@@ -78,3 +78,14 @@ def test_given_tables(spark):
     short = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 1500][:60]
     got = {f for f in found(docs, items) if f[0] in {d for d, _ in short}}
     assert got == brute(short, [(r.item_id, r.text) for r in items.collect()])
+
+
+def test_item_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "x " + text + " y"), (2, "clean")], "doc_id long, text string")
+    for kind in ("double", "string", "int", "date", "decimal(10,2)"):
+        items = spark.createDataFrame([(1, text)], "n long, text string").selectExpr(
+            f"cast({'current_date()' if kind == 'date' else 'n'} AS {kind}) AS item_id", "text"
+        )
+        (row,) = dc.contaminated(docs, items).collect()
+        assert (row.doc_id, row.item_id) == (1, items.first().item_id)
