@@ -248,7 +248,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             )
         )
     )
-    listed = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # A set: rows equal in id and text bring the same spans, however many they are.
+    listed = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return listed.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<first: int, end: int>>")
 
 
