@@ -1,7 +1,11 @@
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, odd_docs, words
+from pyspark.sql import functions as F
 
 from sessionmill.llm import decontaminate as dc
 
@@ -89,3 +93,42 @@ def test_item_ids_of_any_type(spark):
         )
         (row,) = dc.contaminated(docs, items).collect()
         assert (row.doc_id, row.item_id) == (1, items.first().item_id)
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    """A benchmark of many blocks, met by suspects only, finds and drops the same rows."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.withColumnRenamed("lang", "dotted.name").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs = docs.union(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    size = items.selectExpr("sum(octet_length(text))").first()[0]
+    whole, parts = (sorted(found(docs, items, block_bytes=b), key=str) for b in (dc.BLOCK_BYTES, size // 5))
+    assert whole and whole == parts
+    rows = [sorted(map(str, dc.clean(docs, items, block_bytes=b).collect())) for b in (dc.BLOCK_BYTES, size // 5)]
+    assert rows[0] == rows[1] and 0 < len(rows[0]) < docs.count()
+
+
+def test_tiles_against_the_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        vocabulary = rng.integers(0, 2**64, rng.integers(1, 6), dtype=np.uint64)
+        doc, item = (vocabulary[rng.integers(0, len(vocabulary), rng.integers(1, n))] for n in (70, 45))
+        got = dc.tiles(doc, item)
+        assert sum(n for _, _, n in got) / len(item) == greedy(doc.tolist(), item.tolist())
+        assert all((doc[p : p + n] == item[t : t + n]).all() for p, t, n in got)
+
+
+def test_repeated_words_cost_their_length():
+    index = dc.SeedIndex(pa.array([1]), pa.array(["same " * 800]))
+    start = time.perf_counter()
+    ((_, _, coverage, marked),) = index.matches(pa.array(["same " * 200_000]))
+    assert coverage == 1 and marked == [(0, 0, 800)] and time.perf_counter() - start < 10
+
+
+def test_suspects_miss_no_covered_text(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "short one")], "item_id long, text string")
+    table, least = dc._seed_filter(items)
+    assert least == 20
+    texts = ["", None, "w1 w2 w3 w4", " ".join(f"w{i}" for i in range(16)), "x " * 500 + " ".join(f"w{i}" for i in range(4, 20)), "clean " * 40]
+    assert dc.suspects(pa.array(texts), table, 0.8 * least).tolist() == [False, False, False, True, True, False]
+    empty, least = dc._seed_filter(items.where("item_id = 2"))
+    assert least == 0 and not dc.suspects(pa.array(texts), empty, 0).any()
