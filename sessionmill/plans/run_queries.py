@@ -24,7 +24,7 @@ from sessionmill.plans.redaction_queries import (
 )
 from sessionmill.plans.registry import query
 from sessionmill.plans.report_queries import _COOLDOWN, _EVENTS, _progress
-from sessionmill.plans.upload import UploadRun, all_acked, read_listed, resume_upload, run_upload, saved_states
+from sessionmill.plans.upload import ListedFiles, UploadRun, all_acked, read_listed, resume_upload, run_upload, saved_states
 from sessionmill.plans.usage_queries import _FACTS, _HASHED, _UUID5
 from sessionmill.plans.views import table, view
 from sessionmill.sources import ledger as L
@@ -117,7 +117,7 @@ def _chat_run(spark, sf_dir, name):
     glob = _chat_files(spark, sf_dir, f"{folder}/files")
     listing = list_files(spark, glob, "claude-code").withColumn("mtime_ms", _conv().cast("double")).drop("machine_id")
     run = UploadRun("r1", f"{folder}/out", f"{folder}/ledger", context(), "2026-01-01T00:00:00.000Z")
-    return listing, lambda wanted: read_listed(wanted, {"claude-code": glob}), run
+    return listing, ListedFiles({"claude-code": glob}), run
 
 
 @query(_SENT + """

@@ -34,7 +34,7 @@ from sessionmill.sources import sinks
 from sessionmill.sources.files import existing, raw_hashes
 from sessionmill.sources.gemini import registry, resolve_cwds
 from sessionmill.sources.providers import by_source_kind
-from sessionmill.sources.records import RECORD_ROWS, content_hash, file_hashes, read_ndjson, typed_records
+from sessionmill.sources.records import RECORD_ROWS, WHOLE_FILE_LIMIT, content_hash, file_hashes, open_ndjson, read_ndjson, typed_records
 
 SESSION = ["source_kind", "path"]
 
@@ -61,19 +61,40 @@ def _saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_listed(wanted: DataFrame, globs: dict[str, str], whole_limit: int | None = None) -> DataFrame:
-    """Records of the listed files: each glob is scanned from the oldest wanted file on, and joined
-    with the wanted paths before anything is parsed. The list itself may have any length."""
-    spark = wanted.sparkSession
-    extra = {} if whole_limit is None else {"whole_limit": whole_limit}
-    out = spark.createDataFrame([], RECORD_ROWS)
-    oldest = wanted.where(F.col("source_kind").isin(*globs)).groupBy("source_kind").agg(F.min("mtime_ms").alias("ms"))
-    for row in oldest.collect():  # one per provider
-        of_kind = wanted.where(F.col("source_kind") == row.source_kind).select("path")
-        out = out.unionByName(
-            read_ndjson(spark, globs[row.source_kind], row.source_kind, only=of_kind, since_ms=row.ms, **extra)
-        )
-    return out
+class ListedFiles:
+    """Reads listed files (source_kind, path, mtime_ms, and size_bytes if known) of one glob per provider.
+
+    Each glob is listed once, however often files are read. The rows are scanned from the oldest wanted file on
+    and joined with the wanted paths before anything is parsed; the list itself may have any length. Only if a
+    wanted file is larger than `whole_limit`, or of unknown size, the glob is opened for splits as well.
+    """
+
+    def __init__(self, globs: dict[str, str], whole_limit: int = WHOLE_FILE_LIMIT):
+        self.globs, self.whole_limit = globs, whole_limit
+        self._opened: dict[str, DataFrame | None] = {}
+
+    def __call__(self, wanted: DataFrame) -> DataFrame:
+        spark = wanted.sparkSession
+        out = spark.createDataFrame([], RECORD_ROWS)
+        size = F.max(F.coalesce("size_bytes", F.lit(self.whole_limit + 1))) if "size_bytes" in wanted.columns else F.lit(self.whole_limit + 1)
+        stated = wanted.where(F.col("source_kind").isin(*self.globs)).groupBy("source_kind")
+        for row in stated.agg(F.min("mtime_ms").alias("ms"), size.alias("size")).collect():  # one per provider
+            kind = row.source_kind
+            if self._opened.get(kind) is None:
+                self._opened[kind] = open_ndjson(spark, self.globs[kind])
+            if self._opened[kind] is None:
+                continue
+            of_kind = wanted.where(F.col("source_kind") == kind).select("path")
+            limit = self.whole_limit if row["size"] > self.whole_limit else None
+            out = out.unionByName(
+                read_ndjson(spark, self.globs[kind], kind, limit, of_kind, row.ms, found=self._opened[kind])
+            )
+        return out
+
+
+def read_listed(wanted: DataFrame, globs: dict[str, str], whole_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+    """Records of the listed files, read once; see `ListedFiles`."""
+    return ListedFiles(globs, whole_limit)(wanted)
 
 
 def all_acked(entries: DataFrame) -> DataFrame:
@@ -89,7 +110,7 @@ def run_upload(
     """Classify, price, redact and write one batch; returns the summary row.
 
     `listing` has source_kind, path, size_bytes, mtime_ms; `read_records` turns the rows that must
-    be read into records (see `read_listed`). `deliver` gets the entries and answers with
+    be read into records (see `ListedFiles`). `deliver` gets the entries and answers with
     (session_id, status, reason), status being acked, failed or skipped; entries it does not
     answer stay pending and are sent again by a later run. `registries` (root, content) are the Gemini
     registries that name the directories of its sessions; `git_contexts` turns sessions (path,
@@ -122,11 +143,11 @@ def run_upload(
     will = durable(will)
 
     # Only new and updated full-tier sessions are read again and pay for redaction.
-    full = U.with_tier(will, run.min_usd).where("tier = 'full'").select(*SESSION, "session_id", "mtime_ms")
+    full = U.with_tier(will, run.min_usd).where("tier = 'full'").select(*SESSION, "session_id", "mtime_ms", "size_bytes")
     raw = read_records(full.drop("session_id")).select(*SESSION, "line_no", "raw")
     if sidecars is not None:
         raw = raw.unionByName(sidecars.select(*SESSION, "line_no", "raw"))
-    redacted = durable(R.redact_json(raw.join(full.drop("mtime_ms"), SESSION), "raw", rules))
+    redacted = durable(R.redact_json(raw.join(full.drop("mtime_ms", "size_bytes"), SESSION), "raw", rules))
     # The audit runs before anything leaves.
     R.assert_no_leak_json(redacted, "raw", rules)
 

@@ -15,6 +15,7 @@ A file that vanished has no blocks. A file of no bytes has a hash and no blocks.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -59,11 +60,16 @@ def block_hash_of(content: Column, block: int = BLOCK, fan: int = FAN) -> Column
     return _root(size, groups)
 
 
-def _open(path: str) -> pa.NativeFile:
-    """A file of any store Arrow knows, by plain path or URI."""
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a plain path or URI, of any kind Arrow knows, and the path inside it."""
     if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
     store, inside = fs.FileSystem.from_uri(quote(path, safe=":/?=&%@+"))
+    return store, inside
+
+
+def _open(path: str) -> pa.NativeFile:
+    store, inside = store_of(path)
     return store.open_input_file(inside)
 
 

@@ -115,13 +115,19 @@ def explode_json_array(texts: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
+def open_ndjson(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """The files of a glob as whole texts, listed once; None if there is no such root."""
+    return existing(lambda: spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True))
+
+
 def read_ndjson(
     spark: SparkSession,
     paths: str | list[str],
     source_kind: str,
-    whole_limit: int = WHOLE_FILE_LIMIT,
+    whole_limit: int | None = WHOLE_FILE_LIMIT,
     only: DataFrame | None = None,
     since_ms: float | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Records of NDJSON files below a glob. Small files are read whole, large ones in splits.
 
@@ -129,9 +135,11 @@ def read_ndjson(
     the lines of the file's earlier blocks, which come from one row per block. So both branches
     number lines alike, however the splits fall. `only` (path) and `since_ms` choose files before
     anything is parsed; the time bound also prunes the listing. Names are never taken as patterns,
-    and a chosen file that is gone is just not there. A missing root gives no records.
+    and a chosen file that is gone is just not there. A missing root gives no records. `found` is the glob
+    opened before (`open_ndjson`), which spares listing it again. Without a `whole_limit` all files are read whole,
+    and the glob is not opened a second time for splits.
     """
-    found = existing(lambda: spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True))
+    found = open_ndjson(spark, paths) if found is None else found
     if found is None:
         return spark.createDataFrame([], RECORD_ROWS)
     path = scanned_path(F.col("_metadata.file_path"))
@@ -145,12 +153,14 @@ def read_ndjson(
         files = files.select(F.lit(source_kind).alias("source_kind"), path.alias("path"), "value", *more)
         return files if only is None else files.join(only.select("path"), "path", "left_semi")
 
-    whole = chosen(found, size <= whole_limit).withColumn("raw_hash", block_hash_of(F.col("value")))
+    whole = chosen(found, F.lit(True) if whole_limit is None else size <= whole_limit).withColumn("raw_hash", block_hash_of(F.col("value")))
     small = explode_ndjson(whole, "value").select(
         "source_kind", "path", "line_no", "raw", "is_malformed", "file_hash",
         F.when(F.col("file_hash").isNotNull(), F.col("raw_hash")).alias("raw_hash"),
         F.lit(False).alias("is_split"),
     )
+    if whole_limit is None:
+        return small
     split = chosen(
         spark.read.option("ignoreMissingFiles", True).option("lineSep", "\n").text(paths),
         size > whole_limit,

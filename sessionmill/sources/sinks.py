@@ -6,10 +6,25 @@ run again leaves no second copy.
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINES_PER_BODY_FILE = 65_536
+from sessionmill.operators.ordering import LINES_PER_PIECE, durable
+from sessionmill.sources.blocks import store_of
+
+COPY_BYTES = 4 << 20
+BODY_FILE = "part-0.txt"
+_PIECES = "_pieces"
+_PIECE = pa.schema(
+    [("manifest_id", pa.string()), ("body", pa.string()), ("piece", pa.int64()), ("name", pa.string()), ("size_bytes", pa.int64())]
+)
 
 
 def write_payloads(records: DataFrame, out: str) -> None:
@@ -30,25 +45,94 @@ def write_payloads(records: DataFrame, out: str) -> None:
     )
 
 
-def write_bodies(records: DataFrame, out: str) -> None:
-    """NDJSON bodies, one folder per session below manifest_id=, in line order.
+def _folder_name(column: str, value: str | None) -> str:
+    """The folder of a partition value, spelled as Spark spells it and reads it back."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _write_pieces(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by session and number -> one file per piece of a session, under a name of its own; tells of each."""
+    store, root = store_of(out)
+    store.create_dir(root, recursive=True)
+    key = name = sink = None
+    told: list[tuple] = []
+
+    def close() -> None:
+        if sink is not None:
+            size = sink.tell()
+            sink.close()
+            told.append((*key, name, size))
+
+    for batch in batches:
+        manifest, body, piece, raw = (batch[c].to_pylist() for c in ("manifest_id", "body", "piece", "raw"))
+        for now, run in groupby(range(batch.num_rows), lambda i: (manifest[i], body[i], piece[i])):
+            if now != key:
+                close()
+                key, name = now, uuid.uuid4().hex
+                sink = store.open_output_stream(f"{root}/{name}")
+            sink.write("".join(f"{raw[i] or ''}\n" for i in run).encode())
+    close()
+    columns = list(zip(*told, strict=True)) or [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
+
 
-    Made for handing over a selection of sessions: every session is a file of its own. A very long
-    one continues in further folders `<session>~1`, `<session>~2`.
+def _join_pieces(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a session -> its body. A single piece is moved, several are copied one after another in order."""
+    store, root = store_of(out)
+    for batch in batches:
+        for row in batch.to_pylist():
+            folder = f"{root}/{_folder_name('manifest_id', row['manifest_id'])}/{_folder_name('body', row['body'])}"
+            pieces = [f"{root}/{_PIECES}/{p['name']}" for p in row["pieces"]]
+            whole = pieces[0]
+            store.create_dir(folder, recursive=True)
+            if len(pieces) > 1:
+                whole = f"{root}/{_PIECES}/{uuid.uuid4().hex}"
+                with store.open_output_stream(whole) as sink:
+                    for piece in pieces:
+                        with store.open_input_stream(piece) as source:
+                            while data := source.read(COPY_BYTES):
+                                sink.write(data)
+            try:
+                store.move(whole, f"{folder}/{BODY_FILE}")
+            except FileNotFoundError:  # an attempt before this one has moved it
+                if store.get_file_info(f"{folder}/{BODY_FILE}").size != row["size_bytes"]:
+                    raise
+        yield batch.select(["manifest_id", "body", "size_bytes"])
+
+
+def write_bodies(records: DataFrame, out: str, lines: int = LINES_PER_PIECE) -> DataFrame:
+    """NDJSON bodies of sessions of any length, one file each: manifest_id=/body=/part-0.txt, in line order.
+
+    A long session is written by several tasks, in pieces of `lines` lines. What a task has written counts only
+    by the row it returns, so pieces of an attempt that died are never met. Then one task per session moves its
+    piece into place, or puts the pieces together by copying a few megabytes at a time. Returns manifest_id, body and
+    size_bytes of what was written.
     """
-    piece = F.floor(F.col("line_no") / LINES_PER_BODY_FILE)
-    body = F.when(piece > 0, F.concat("session_id", F.lit("~"), piece.cast("string"))).otherwise(
-        F.col("session_id")
+    store, root = store_of(out)
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        store.delete_dir(root)
+    rows = records.select(
+        F.col("manifest_id").cast("string").alias("manifest_id"), F.col("session_id").cast("string").alias("body"),
+        F.floor(F.col("line_no") / lines).cast("long").alias("piece"), "line_no", "raw",
     )
-    (
-        records.withColumn("body", body)
-        .repartition("manifest_id", "body")
-        .sortWithinPartitions("manifest_id", "body", "line_no")
-        .select("manifest_id", "body", "raw")
-        .write.mode("overwrite")
-        .partitionBy("manifest_id", "body")
-        .text(out)
+    key = ["manifest_id", "body", "piece"]
+    pieces = rows.repartition(*key).sortWithinPartitions(*key, "line_no").drop("line_no").mapInArrow(
+        lambda batches: _write_pieces(batches, f"{out}/{_PIECES}"),
+        "manifest_id string, body string, piece bigint, name string, size_bytes bigint",
+    )
+    bodies = durable(pieces).groupBy("manifest_id", "body").agg(
+        F.array_sort(F.collect_list(F.struct("piece", "name"))).alias("pieces"), F.sum("size_bytes").alias("size_bytes")
+    )
+    done = durable(
+        bodies.repartition("manifest_id", "body").mapInArrow(
+            lambda batches: _join_pieces(batches, out), "manifest_id string, body string, size_bytes bigint"
+        )
     )
+    if store.get_file_info(f"{root}/{_PIECES}").type == fs.FileType.Directory:
+        store.delete_dir(f"{root}/{_PIECES}")
+    return done
 
 
 def write_manifests(headers: DataFrame, entries: DataFrame, out: str) -> None:
