@@ -274,8 +274,9 @@ def skill_scopes(docs: DataFrame) -> DataFrame:
         return F.transform(F.split(inner, r"\|", -1), trim_blank)
 
     ruled = F.filter(F.transform(table_lines, cells_of), lambda cells: ~F.forall(cells, lambda c: c.rlike("^:?-+:?$")))
-    tables = skills.select("doc_id", "section", ruled.alias("rows"))
-    header = F.transform(F.get("rows", F.lit(0)), F.lower)
+    # Rows and header are never null: else the optimizer puts tests for null in front, which parse all tables once more.
+    tables = skills.select("doc_id", "section", F.coalesce(ruled, F.array().cast("array<array<string>>")).alias("rows"))
+    header = F.coalesce(F.transform(F.get("rows", F.lit(0)), F.lower), F.array().cast("array<string>"))
     body = unnest(tables.withColumn("header", header), ["doc_id", "section", "header"], "rows", "cells", "at").where("at > 0")
 
     def cell(title: str) -> Column:

@@ -174,7 +174,7 @@ FROM (SELECT p_partkey, p_size, unnest([{'name': p_name, 'scope': 'user'}, {'nam
 WHERE p_size % 5 <> 0""")
 def skill_scopes(spark, sf_dir):
     """Skills table of a context breakdown: scope per skill, built-in ones dropped."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", heavy=True)
     head = F.when(F.col("p_size") % 5 == 0, F.lit("| Skill | Tokens |")).otherwise(F.lit("| Skill | Source | Tokens |"))
     text = F.concat(
         F.lit("# Context\r\n\r\n### Agents\r\n| Skill | Source |\r\n|---|---|\r\n| wrong | User |\r\n\r\n### Skills  \r\n\r\n"),

@@ -178,3 +178,24 @@ def test_sql_functions(spark):
     assert len(names) == 6
     row = spark.sql("SELECT redact_emails('O''Brien@x.co') AS a, shannon_entropy('') AS b, session_uuid('/p') AS c").first()
     assert row.b == 0.0 and row.c[14] == "5"
+
+
+def test_skill_tables_are_parsed_once_on_all_cores(spark, tmp_path):
+    from sessionmill.plans.views import table
+
+    text = "## Skills\n| Skill | Source |\n|--|--|\n| \u3000a b\ufeff | User |\n| c | plugin x |\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "## Skills\n"), (4, "## Skills\n| Skill |\n| a |\n")], "doc_id long, text string")
+    found = N.skill_scopes(docs)
+    assert {(r["doc_id"], r["name"], r["scope"]) for r in found.collect()} == {(1, "a b", "user"), (1, "c", "plugin")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace(") == 1
+    docs.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert table(spark, str(tmp_path), "part", heavy=True).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_trim_of_every_kind_of_blank(spark):
+    from sessionmill.functions.text import trim_blank
+
+    blanks = " \t\n\x0b\f\r\u00a0\ufeff\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    for text, want in ((blanks + "a\n b" + blanks, "a\n b"), (blanks, ""), ("", ""), ("\U0001f600 ", "\U0001f600"), (" \u200b\x1c", "\u200b\x1c"), ("a \u0085", "a\u0085"), (None, None)):
+        assert one(spark, trim_blank(F.lit(text))).c0 == want
