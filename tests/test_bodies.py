@@ -72,3 +72,24 @@ def test_globs_are_listed_once_and_splits_only_for_large_files(spark, tmp_path,
         assert all(r.n == r["last"] + 1 == 5 * 10 ** int(re.search(r"(\d)\.jsonl", r.path)[1]) for r in got)
     assert opened == [glob]
     assert ListedFiles({"claude-code": str(tmp_path / "none/*.x")})(listing).count() == 0
+
+
+def test_many_files_are_listed_in_few_tasks_and_moved_in_many(spark, tmp_path):
+    from sessionmill.sources.files import LISTING_TASKS_PER_CORE
+    from sessionmill.sources.records import open_ndjson, read_ndjson
+
+    sc, cores = spark.sparkContext, spark.sparkContext.defaultParallelism
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    rows = spark.range(5 * LISTING_TASKS_PER_CORE * cores).selectExpr("'m' AS manifest_id", "cast(id AS string) AS session_id", "0L AS line_no", "'{}' AS raw")
+    done = sinks.write_bodies(rows, str(tmp_path))
+    assert done.rdd.getNumPartitions() == sinks.MOVE_TASKS_PER_CORE * cores and done.count() == rows.count()
+    glob, before = f"{tmp_path}/*/*/*.txt", spark.conf.get(conf)
+    ways = [lambda: list_files(spark, glob, "claude-code"), lambda: open_ndjson(spark, glob), lambda: read_ndjson(spark, glob, "claude-code", 1)]
+    for k, way in enumerate(ways):
+        sc.setJobGroup(f"listing-{k}", "")
+        way()
+        stages = [s for j in sc.statusTracker().getJobIdsForGroup(f"listing-{k}") for s in sc.statusTracker().getJobInfo(j).stageIds]
+        tasks = [sc.statusTracker().getStageInfo(s).numTasks for s in stages]
+        assert tasks and max(tasks) <= LISTING_TASKS_PER_CORE * cores and spark.conf.get(conf) == before
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert list_files(spark, glob, "claude-code").count() == rows.count()
