@@ -130,3 +130,15 @@ def test_no_files(spark):
     seen = B.file_blocks(none, known)
     grown = B.growth(none, seen, known)
     assert B.block_hashes(seen).collect() == grown.collect() == B.tail_lines(seen, grown).collect() == []
+
+
+def test_blocks_of_many_small_files_are_read_in_many_tasks(spark, tmp_path):
+    """The rows that name the blocks are small, what they name is not."""
+    from sessionmill.operators.ordering import durable
+
+    for k in range(40):
+        (tmp_path / str(k)).write_bytes(b"x" * k)
+    (tmp_path / "0").unlink()
+    read = durable(B.file_blocks(listing(spark, sorted(tmp_path.iterdir()))))
+    assert read.count() == 39 and read.rdd.getNumPartitions() == B.reading_tasks(spark)
+    assert sum(n > 0 for n in read.rdd.glom().map(len).collect()) > spark.sparkContext.defaultParallelism

@@ -93,3 +93,57 @@ def test_many_files_are_listed_in_few_tasks_and_moved_in_many(spark, tmp_path):
         assert tasks and max(tasks) <= LISTING_TASKS_PER_CORE * cores and spark.conf.get(conf) == before
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert list_files(spark, glob, "claude-code").count() == rows.count()
+
+
+def test_small_files_are_read_without_a_scan(spark, tmp_path, monkeypatch):
+    """The same rows as by a scan, whatever names and bytes; only wanted ones, and none for those gone or not listed."""
+    import gzip
+
+    import sessionmill.plans.upload as upload
+    from sessionmill.operators.ordering import durable
+    from sessionmill.sources.records import read_ndjson
+
+    opened = []
+    monkeypatch.setattr(upload, "open_ndjson", lambda s, g, real=upload.open_ndjson: opened.append(g) or real(s, g))
+    names = ["plain", "with space", "a=b+c", "%41", "q?*#[x]{y}^", "Ünï", *map(str, range(40))]
+    for k, name in enumerate(names):
+        (tmp_path / f"{name}.jsonl").write_bytes(b'{"k": %d}\r\n\n not json \xff\xfe\n{"n": "\xc3\xa9"}' % k)
+    for odd, data in (("blank", b"\n \n"), ("empty", b""), ("_hidden", b"{}\n"), (".hidden", b"{}\n")):
+        (tmp_path / f"{odd}.jsonl").write_bytes(data)
+    glob = f"{tmp_path}/*.jsonl*"
+    key = lambda df: sorted(map(repr, df.select(*[F.col(c).cast("binary") if c == "raw" else c for c in df.columns]).collect()))
+    want = read_ndjson(spark, glob, "claude-code")
+    listing = list_files(spark, glob, "claude-code")
+    read = ListedFiles({"claude-code": glob})
+    got = durable(read(listing))
+    assert key(got) == key(want) and got.count() == 3 * len(names) and not opened
+    # An empty frame of the session's parallelism stands in front.
+    assert got.rdd.getNumPartitions() >= sinks.MOVE_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    hidden = listing.limit(1).withColumn("path", F.lit(f"{tmp_path}/_hidden.jsonl"))
+    some = listing.where("path LIKE '%plain%' OR path LIKE '%7.jsonl'").unionByName(hidden)
+    assert key(read(some)) == key(want.where("path LIKE '%plain%' OR path LIKE '%7.jsonl'")) and not opened
+    rows = read(listing)
+    (tmp_path / "plain.jsonl").unlink()
+    assert key(rows) == key(want.where("path NOT LIKE '%plain%'"))
+    # A scan unpacks compressed files, so they are left to it.
+    (tmp_path / "z.jsonl.gz").write_bytes(gzip.compress(b'{"z": 1}\n'))
+    packed = list_files(spark, glob, "claude-code")
+    assert key(ListedFiles({"claude-code": glob})(packed)) == key(read_ndjson(spark, glob, "claude-code")) and opened == [glob]
+
+
+def test_a_listing_at_hand_is_not_made_again(spark, tmp_path, monkeypatch):
+    import sessionmill.plans.upload as upload
+    from sessionmill.sources.files import kept_listing
+
+    for k in range(600):
+        (tmp_path / f"{k}.jsonl").write_text("{}\n")
+    glob = f"{tmp_path}/*.jsonl"
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = kept_listing(spark, glob, "claude-code")
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and "Scan binaryFile" not in found._jdf.queryExecution().toString()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    listed = []
+    monkeypatch.setattr(upload, "kept_listing", lambda *a, real=upload.kept_listing: listed.append(a) or real(*a))
+    assert ListedFiles({"claude-code": glob}, found={"claude-code": found})(found).count() == 600 and not listed
+    read = ListedFiles({"claude-code": glob})
+    assert read(found).count() == read(found.limit(5)).count() + 595 == 600 and len(listed) == 1

@@ -307,3 +307,15 @@ def test_a_manifest_is_gone_on_with(spark, fleet, tmp_path):
     assert [r.path[-7] for r in spark.read.parquet(f"{run2.folder}/entries").collect()] == ["0"]
     other = UploadRun("r1", run.out, run.ledger_path, run.redaction, run.uploaded_at, user_id="else")
     assert resume_upload(listing, other).count() == 0
+
+
+def test_a_chat_run_lists_its_files_once(spark, tmp_path):
+    from sessionmill.plans.run_queries import _chat_run
+
+    turns = [(c, t, "assistant" if t % 2 else "user", f"text {c}") for c in range(6) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    listing, read, _ = _chat_run(spark, str(tmp_path), "once")
+    records = read(listing)
+    plans = listing._jdf.queryExecution().toString() + records._jdf.queryExecution().toString()
+    assert "binaryFile" not in plans and "Scan text" not in plans
+    assert (listing.count(), records.count()) == (6, 18)
